@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STEPS = 1000  # cells per factor e in magnitude
+_LARGEST = 1.7e308  # infinities share the outermost cell
 _SHIFT = 800_000  # lifts floor(ln(x) * _STEPS) above zero for every positive double
 
 
 def value_cell(value: Column) -> Column:
     """Coarse cell of a double, non-decreasing in the value."""
-    size = F.floor(F.ln(F.abs(value)) * _STEPS) + _SHIFT
+    size = F.floor(F.ln(F.least(F.abs(value), F.lit(_LARGEST))) * _STEPS) + _SHIFT
     return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * size).cast("long")
 
 
