@@ -6,6 +6,8 @@ per calendar day, so their size is bounded by the calendar and not by the volume
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -49,16 +51,21 @@ def change(value: Column, w: WindowSpec, n: int = 1) -> Column:
     return F.try_divide(value, F.lag(value, n).over(w)) - 1
 
 
-def sorted_median(values: Column) -> Column:
-    """Median of an already sorted array of doubles."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate an expression once per row and use it any number of times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _middle(values: Column) -> Column:
     n = F.size(values)
-    low = F.floor((n - 1) / F.lit(2)).cast("int") + 1
-    high = F.floor(n / F.lit(2)).cast("int") + 1
-    return F.when(n > 0, (F.try_element_at(values, low) + F.try_element_at(values, high)) / 2)
+    low = F.floor((n - 1) / F.lit(2)).cast("int")
+    high = F.floor(n / F.lit(2)).cast("int")
+    return F.when(n > 0, (F.get(values, low) + F.get(values, high)) / 2)
 
 
 def array_median(values: Column) -> Column:
-    return sorted_median(F.array_sort(values))
+    """Exact median of an array of doubles; null for an empty array."""
+    return let(F.array_sort(values), _middle)
 
 
 def array_mad(values: Column, center: Column) -> Column:

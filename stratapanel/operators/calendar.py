@@ -65,7 +65,14 @@ def _with_ordinals(df: DataFrame, calendar: DataFrame, date: str, prefix: str) -
         F.col("ord_upto").alias(f"{prefix}_upto"),
         F.col("ord_before").alias(f"{prefix}_before"),
     )
-    return df.join(o, date, "left")
+    # Dates outside the span lie before all trading days or after all of them.
+    span = calendar.agg(F.struct(F.min("date").alias("lo"), F.count("date").alias("n"))).scalar()
+    outside = F.when(F.col(date) < F.col("_span.lo"), F.lit(0)).when(
+        F.col(date).isNotNull(), F.col("_span.n")
+    )
+    return df.join(o, date, "left").withColumn("_span", span).withColumns(
+        {c: F.coalesce(c, outside) for c in (f"{prefix}_upto", f"{prefix}_before")}
+    ).drop("_span")
 
 
 def trading_days_between(
@@ -73,8 +80,7 @@ def trading_days_between(
 ) -> DataFrame:
     """Add ``both``, ``left``, ``right`` and ``neither``: trading days between two dates.
 
-    Counts come from ordinals (two equi-joins), not from a range join. Both dates must lie inside
-    the span of the calendar.
+    Counts come from ordinals (two equi-joins), not from a range join.
     """
     d = _with_ordinals(_with_ordinals(df, calendar, start, "_s"), calendar, end, "_e")
 

@@ -8,6 +8,7 @@ from stratapanel.operators import cleaning as K
 from stratapanel.plans import panel as P
 from stratapanel.plans.registry import cut, qcut, query, view
 from stratapanel.plans.source_queries import news, raw_quotes
+from stratapanel.sources import scratch
 
 
 @query("clean_prices", "SELECT gvkey, datadate, prccd, ajexdi, adj_close, adj_open, adj_high, adj_low FROM clean_quotes")
@@ -36,7 +37,7 @@ def sector_median_impute(spark, sf):
         "tic", "datadate", "sector", F.when(F.col("n") % 5 != 0, F.col("price")).alias("price"),
         F.when((F.col("sector") != "AFRICA") & (F.col("n") % 7 != 0), F.col("revenue")).alias("revenue"),
     )
-    f = K.sector_median_impute(p, ["price", "revenue"])
+    f = K.sector_median_impute(scratch.cut_lineage(p, "predictions"), ["price", "revenue"])
     return f.select("tic", "datadate", cut(F.col("price"), 4).alias("price"), cut(F.col("revenue"), 4).alias("revenue"))
 
 
@@ -74,7 +75,7 @@ def supervised_dataset(spark, sf):
         F.when(F.col("n") % 3 != 0, F.col("n")).alias("n"), "shares", F.lit(7).alias("constant"),
         F.col("price").alias("adj_close_q"), "y_return",
     )
-    d = K.supervised_dataset(p)
+    d = K.supervised_dataset(scratch.cut_lineage(p, "dataset"))
     return d.select("tic", "datadate", cut(F.col("revenue"), 4).alias("revenue"), cut(F.col("n"), 4).alias("n"),
                     *[c for c in d.columns if c not in ("tic", "datadate", "revenue", "n", "y_return")],
                     cut(F.col("y_return")).alias("y_return"))
@@ -95,7 +96,8 @@ WITH q AS (SELECT quantile_cont(ret, 0.01) AS rl, quantile_cont(ret, 0.99) AS rh
 SELECT tic, date, """ + qcut("CASE WHEN ret IS NOT NULL THEN least(greatest(ret, rl), rh) END") + " AS ret, "
 + qcut("least(greatest(volume, vl), vh)") + " AS volume FROM day_returns, q")
 def winsorize_quantile(spark, sf):
-    w = K.winsorize_quantile(day_returns(spark, sf).select("tic", "date", "ret", "volume"), ["ret", "volume"])
+    r = scratch.cut_lineage(day_returns(spark, sf).select("tic", "date", "ret", "volume"), "returns")
+    w = K.winsorize_quantile(r, ["ret", "volume"])
     return w.select("tic", "date", cut(F.col("ret")).alias("ret"), cut(F.col("volume")).alias("volume"))
 
 

@@ -63,12 +63,15 @@ def bench(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calendar(spark: SparkSession, sf: str) -> DataFrame:
+    """Trading days: weekdays with an order. At most one row per day, so it is kept in memory and
+    the many lookups of a plan do not scan the orders again."""
     d = F.col("o_orderdate").cast("date")
     return (
         table(spark, sf, "orders")
         .select(d.alias("date"))
         .filter(F.weekday("date") < 5)
         .distinct()
+        .cache()
     )
 
 
