@@ -168,33 +168,41 @@ def last_label_fill(labels: DataFrame, prices: DataFrame) -> DataFrame:
     ).drop("_fill")
 
 
-def robust_zscore(
-    value: Column, n: int, center: str = "median", key: str = "tic", order: str = "date"
-) -> Column:
-    """(x - centre) / MAD over the last n values, null until n values are there.
-
-    The frame is an array of at most n doubles; every step on it is evaluated once per row. A
-    MAD below the floor gives 0 or plus or minus 10.
-    """
+def mad_score(xs: Column, value: Column, center: str = "median") -> Column:
+    """(value - centre) / MAD of an array of doubles; below the MAD floor 0 or plus or minus 10."""
     centers = {
         "median": R.array_median,
-        "mean": lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / n,
+        "mean": lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a),
     }
     if center not in centers:
         raise ValueError(f"unknown centre {center!r}")
 
-    def score(xs: Column) -> Column:
-        return R.let(
-            centers[center](xs),
-            lambda c: R.let(R.array_mad(xs, c), lambda m: scaled(value - c, m)),
-        )
-
     def scaled(off: Column, m: Column) -> Column:
         flat = F.when(F.abs(off) < MAD_FLOOR, 0.0).otherwise(10.0 * F.signum(off))
         return F.when(m < MAD_FLOOR, flat).otherwise(F.try_divide(off, m))
 
+    return R.let(
+        centers[center](xs), lambda c: R.let(R.array_mad(xs, c), lambda m: scaled(value - c, m))
+    )
+
+
+def robust_zscore(
+    value: Column,
+    n: int,
+    center: str = "median",
+    key: str = "tic",
+    order: str = "date",
+    min_rows: int | None = None,
+) -> Column:
+    """Robust score of the last of n values, null until ``min_rows`` (default n) values are there.
+
+    The frame is an array of at most n doubles; every step on it is evaluated once per row.
+    """
     xs = F.collect_list(value).over(R.last_rows(R.by(key, order=order), n))
-    return R.let(xs, lambda a: F.when((F.size(a) == n) & value.isNotNull(), score(a)))
+    need = n if min_rows is None else min_rows
+    return R.let(
+        xs, lambda a: F.when((F.size(a) >= need) & value.isNotNull(), mad_score(a, value, center))
+    )
 
 
 def with_rolling_mad(df: DataFrame, value: str, n: int, name: str = "mad") -> DataFrame:
