@@ -18,6 +18,11 @@ def by(*keys: str, order: str = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def whole(order: str = "date") -> WindowSpec:
+    """Ordered window over a whole table, for calendar-sized tables only (a row per day at most)."""
+    return Window.partitionBy(F.lit(1)).orderBy(order)
+
+
 def last_rows(w: WindowSpec, n: int) -> WindowSpec:
     """Frame of the current row and the n-1 rows before it."""
     return w.rowsBetween(-(n - 1), 0)

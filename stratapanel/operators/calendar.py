@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALL = Window.partitionBy(F.lit(1))
+from stratapanel.functions import rolling as R
+
 
 
 def trading_calendar(bounds: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
@@ -42,7 +43,7 @@ def day_ordinals(calendar: DataFrame) -> DataFrame:
     days = span.select(F.explode(F.sequence("a", "b")).alias("date"))
     marked = days.join(calendar.select("date", F.lit(1).alias("open")), "date", "left")
     open_day = F.coalesce("open", F.lit(0))
-    upto = F.sum(open_day).over(_ALL.orderBy("date")).cast("long")
+    upto = F.sum(open_day).over(R.whole()).cast("long")
     return marked.select(
         "date",
         (open_day == 1).alias("is_open"),
@@ -54,7 +55,7 @@ def day_ordinals(calendar: DataFrame) -> DataFrame:
 def calendar_ordinals(calendar: DataFrame) -> DataFrame:
     """Trading days numbered 1, 2, 3 .. in date order."""
     return calendar.select(
-        "date", F.row_number().over(_ALL.orderBy("date")).cast("long").alias("ord")
+        "date", F.row_number().over(R.whole()).cast("long").alias("ord")
     )
 
 

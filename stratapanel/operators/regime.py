@@ -20,7 +20,6 @@ from stratapanel.operators import joins as J
 REGIME_LIMITS = {"risk_on": (1.0, 0.0), "neutral": (0.7, 0.1), "risk_off": (0.5, 0.3)}
 FAST_CAP, FAST_FLOOR = 0.3, 0.5
 
-_ONE = Window.partitionBy(F.lit(1)).orderBy("date")
 
 
 def slow_regime(
@@ -29,8 +28,8 @@ def slow_regime(
     """Risk score 0 to 3 of every week of ``index(date, spx, vix)``."""
     p = F.col("spx")
     d = index.withColumn("_k", F.lit(1))
-    ma = R.rolling_mean(p, _ONE, ma_weeks)
-    peak = R.full(p, F.max(p), _ONE, dd_weeks)
+    ma = R.rolling_mean(p, R.whole(), ma_weeks)
+    peak = R.full(p, F.max(p), R.whole(), dd_weeks)
     z = F.coalesce(W.robust_zscore(F.col("vix"), z_weeks, key="_k", min_rows=52), F.lit(0.0))
     d = d.withColumns({"ma": ma, "drawdown": F.coalesce((p - peak) / peak, F.lit(0.0)), "vix_z": z})
 
@@ -59,7 +58,7 @@ def regime_mapping(scored: DataFrame, persistence: int = 2) -> DataFrame:
         floor = F.when(F.col("state") == name, F.lit(f)).otherwise(floor)
     lasted = F.lit(True)
     for k in range(1, persistence):
-        lasted = lasted & F.coalesce(F.lag("state", k).over(_ONE) == F.col("state"), F.lit(False))
+        lasted = lasted & F.coalesce(F.lag("state", k).over(R.whole()) == F.col("state"), F.lit(False))
     return d.withColumns({"group_cap": cap, "cash_floor": floor, "is_persistent": lasted})
 
 
@@ -72,8 +71,8 @@ def price_vol_shock(
     """
     d = daily.withColumn("_k", F.lit(1))
     for c in ("spx", "qqq"):
-        d = d.withColumn(f"{c}_ret", F.coalesce(R.change(F.col(c), _ONE, days), F.lit(0.0)))
-    d = d.withColumn("_dv", F.col("vix") - F.lag("vix").over(_ONE))
+        d = d.withColumn(f"{c}_ret", F.coalesce(R.change(F.col(c), R.whole(), days), F.lit(0.0)))
+    d = d.withColumn("_dv", F.col("vix") - F.lag("vix").over(R.whole()))
     z = W.robust_zscore(F.col("vix"), rows, key="_k", min_rows=252)
     dz = W.robust_zscore(F.col("_dv"), rows, key="_k")
     d = d.withColumns({"vix_z": F.coalesce(z, F.lit(0.0)), "dvix_z": F.coalesce(dz, F.lit(0.0))})
@@ -94,7 +93,7 @@ def fast_overlay_state(shocks: DataFrame, params: Sequence[tuple[str, int, float
     p = F.col("spx")
     steps = shocks.select(
         "date", "trigger",
-        (p / F.lag(p, 2).over(_ONE) - 1).alias("r2"), (p / F.lag(p, 3).over(_ONE) - 1).alias("r3"),
+        (p / F.lag(p, 2).over(R.whole()) - 1).alias("r2"), (p / F.lag(p, 3).over(R.whole()) - 1).alias("r3"),
     )
     sets = F.array(*(
         F.struct(F.lit(n).alias("params"), F.lit(int(k)).alias("duration"), F.lit(float(x)).alias("exit_at"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratapanel.functions import rolling as R
 from stratapanel.operators import calendar as C
 from stratapanel.operators import metrics as A
 from stratapanel.operators import portfolio as B
@@ -17,7 +18,6 @@ from stratapanel.operators import regime as G
 from stratapanel.plans import panel as P
 from stratapanel.plans.registry import view
 
-_ONE = Window.partitionBy(F.lit(1)).orderBy("date")
 
 
 def week_ends(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,17 +37,17 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
 
 def index_daily(spark: SparkSession, sf: str) -> DataFrame:
     """Daily index level, a second index (one sector) and a volatility index in percent."""
-    b = P.bench(spark, sf).withColumn("_r", F.col("close") / F.lag("close").over(_ONE) - 1)
+    b = P.bench(spark, sf).withColumn("_r", F.col("close") / F.lag("close").over(R.whole()) - 1)
     vol = F.when(
-        F.count("_r").over(_ONE.rowsBetween(-19, 0)) == 20,
-        F.round(F.stddev_samp("_r").over(_ONE.rowsBetween(-19, 0)) * 100, 9),
+        F.count("_r").over(R.whole().rowsBetween(-19, 0)) == 20,
+        F.round(F.stddev_samp("_r").over(R.whole().rowsBetween(-19, 0)) * 100, 9),
     )
     second = (
         P.smooth(spark, sf).join(P.sectors(spark, sf), "tic").filter(F.col("sector") == "ASIA")
         .groupBy("date").agg((F.sum(F.floor(F.col("close") * 100)) / F.count("*") / 100).alias("qqq"))
     )
     d = b.select("date", F.col("close").alias("spx"), vol.alias("vix")).join(second, "date", "left")
-    filled = F.last("qqq", ignorenulls=True).over(_ONE.rowsBetween(Window.unboundedPreceding, 0))
+    filled = F.last("qqq", ignorenulls=True).over(R.whole().rowsBetween(Window.unboundedPreceding, 0))
     return d.withColumn("qqq", filled).filter(F.col("vix").isNotNull())
 
 
@@ -68,7 +68,7 @@ def bench_weekly(spark: SparkSession, sf: str) -> DataFrame:
     m = A.week_map(d, week_ends(spark, sf))
     b = d.join(m, "date").groupBy(F.col("week_end").alias("_w")).agg(F.max_by("close", "date").alias("close"))
     b = b.withColumnRenamed("_w", "date")
-    return b.withColumn("ret", F.col("close") / F.lag("close").over(_ONE) - 1)
+    return b.withColumn("ret", F.col("close") / F.lag("close").over(R.whole()) - 1)
 
 
 def regime_weekly(spark: SparkSession, sf: str) -> DataFrame:
