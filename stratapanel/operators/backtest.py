@@ -17,6 +17,7 @@ from stratapanel.functions import rolling as R
 from stratapanel.functions.order_stats import grouped_quantiles
 from stratapanel.operators import calendar as C
 from stratapanel.operators import joins as J
+from stratapanel.sources.scratch import cut_lineage
 
 KEYS = ("strategy", "date")
 
@@ -125,8 +126,10 @@ def priced_trades(daily_weights: DataFrame, prices: DataFrame, liquidity: DataFr
     ``prices(tic, date, close)``; ``liquidity(tic, date, volume, volatility)``. Sizes follow the value path before
     costs. A trade on a day without a price row uses the last known one.
     """
-    t = trade_table(daily_weights, prices).filter(F.abs("change") > 1e-12)
-    path = trade_table(daily_weights, prices).groupBy(*KEYS).agg(F.max("gross").alias("_g"))
+    # Read twice below, and behind several joins: write it once.
+    every = cut_lineage(trade_table(daily_weights, prices), "trades")
+    t = every.filter(F.abs("change") > 1e-12)
+    path = every.groupBy(*KEYS).agg(F.max("gross").alias("_g"))
     w = R.upto(R.by("strategy"))
     path = path.select(*KEYS, (capital * F.product(1 + F.col("_g")).over(w)).alias("_v"))
     m = prices.select("tic", "date", "close").join(liquidity, ["tic", "date"]).withColumnRenamed("date", "_pd")

@@ -225,7 +225,7 @@ def exception_candidates(z: DataFrame, bench: DataFrame, pool: DataFrame | None
     d = exception_strong_signal(mk, bench, rules.get("strong", 3.5), rules.get("multiple", 1.5), rules.get("prices", 12))
     d = d.withColumn("qualifies", F.col("mk") | F.col("strong"))
     ranked = grouped_rank(
-        d.withColumn("_z", F.when("qualifies", F.col("z"))), ["date"], "_z", method="first", tie_break=["tic"], rank="place"
+        d.withColumn("_z", F.when(F.col("qualifies"), F.col("z"))), ["date"], "_z", method="first", tie_break=["tic"], rank="place"
     )
     return ranked.drop("_z")
 
