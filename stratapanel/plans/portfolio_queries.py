@@ -70,7 +70,7 @@ view("overlay_rows", """
 SELECT date, trigger, row_number() OVER (ORDER BY date) AS rn, spx / lag(spx, 2) OVER (ORDER BY date) - 1 AS r2, spx / lag(spx, 3) OVER (ORDER BY date) - 1 AS r3 FROM shocks""")
 view("overlay_sets", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}, {x}::DOUBLE)" for n, k, x in _SETS) + ") t(params, duration, exit_at)")
 _OVERLAY = """
-WITH RECURSIVE nxt AS (SELECT rn, date, trigger, r2, r3 FROM overlay_rows),
+WITH RECURSIVE nxt AS MATERIALIZED (SELECT rn, date, trigger, r2, r3 FROM overlay_rows),
 st AS (SELECT params, duration, exit_at, 0::BIGINT AS rn, NULL::DATE AS date, NULL::BIGINT AS start, false AS is_active, 0::BIGINT AS days_remaining, 'inactive' AS reason FROM overlay_sets
   UNION ALL
   SELECT params, duration, exit_at, n.rn, n.date,
@@ -144,7 +144,7 @@ SELECT tic, entry_date, date, entry_price, close, peak, fe, fp, kind, row_number
   SELECT *, close / entry_price - 1 AS fe, close / peak - 1 AS fp, CASE WHEN close / entry_price - 1 <= -0.05 THEN 'absolute' WHEN close / peak - 1 <= -0.10 THEN 'trailing' END AS kind FROM (
     SELECT *, max(close) OVER (PARTITION BY tic, entry_date ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM positions) p) q WHERE kind IS NOT NULL""")
 _STOPS = """
-WITH RECURSIVE br AS (SELECT * FROM breaches),
+WITH RECURSIVE br AS MATERIALIZED (SELECT * FROM breaches),
 sg AS (SELECT tic, entry_date, date, rn FROM br WHERE rn = 1
   UNION ALL SELECT tic, entry_date, nd, nr FROM (SELECT s.tic, s.entry_date, min(b.date) AS nd, min(b.rn) AS nr FROM sg s JOIN br b ON b.tic = s.tic AND b.entry_date = s.entry_date AND b.date >= s.date + 21 GROUP BY s.tic, s.entry_date) z)
 """
@@ -167,7 +167,7 @@ _QUIET = [("base", 10), ("long", 30)]
 
 @query("decision_timeline", _STOPS + """, dy AS (SELECT s.date, s.date IN (SELECT date FROM week_ends) AS wk, s.trigger, s.date IN (SELECT date FROM sg WHERE year(date) % 2 = 0) AS stop FROM shocks s),
 ps AS (SELECT * FROM (VALUES ('base', 10), ('long', 30)) t(params, quiet)),
-cd AS (SELECT date FROM dy WHERE trigger AND NOT wk),
+cd AS MATERIALIZED (SELECT date FROM dy WHERE trigger AND NOT wk),
 fr AS (SELECT params, quiet, (SELECT min(date) FROM cd) AS date FROM ps
   UNION ALL SELECT params, quiet, nd FROM (SELECT f.params, f.quiet, min(c.date) AS nd FROM fr f JOIN cd c ON c.date > f.date + f.quiet GROUP BY 1, 2) z)
 SELECT ps.params, dy.date, CASE WHEN wk THEN 'weekly' WHEN fr.date IS NOT NULL THEN 'fast_track_trigger' WHEN stop THEN 'stop_loss_trigger' ELSE 'none' END AS action

@@ -6,6 +6,7 @@ import datetime
 import decimal
 import math
 import sys
+import threading
 import time
 
 import duckdb
@@ -59,10 +60,13 @@ def compare(spark, con, name, fn, sql, sf_dir):
     got = rows_sorted(df.select(*cols).collect())
     if sql is None:
         return None if got else "no rows"
+    guard = threading.Timer(120, con.interrupt)
+    guard.start()
     rel = con.execute(sql)
     names = [d[0] for d in rel.description]
     types = {d[0]: kind(str(d[1])) for d in rel.description}
     data = rel.fetchall()
+    guard.cancel()
     if sorted(names) != cols:
         return f"columns {cols} vs {sorted(names)}"
     spark_types = {f.name: kind(f.dataType.simpleString()) for f in df.schema.fields}
