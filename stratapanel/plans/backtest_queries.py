@@ -14,7 +14,7 @@ from stratapanel.plans import rotation as T
 from stratapanel.plans.feature_queries import sector_weekly
 from stratapanel.plans.metric_queries import cut_all
 from stratapanel.plans.portfolio_queries import _OVERLAY, _SAFE, overlay
-from stratapanel.plans.ranking_queries import bucket_preds, smooth_returns, weekly_z
+from stratapanel.plans.ranking_queries import bucket_preds, smooth_returns, z_of
 from stratapanel.plans.registry import cut, qcut, query, view
 from stratapanel.sources import scratch
 
@@ -199,7 +199,7 @@ def decision_weights(spark, sf):
     d = T.decisions(spark, sf)
     o = overlay(spark, sf).filter(F.col("params") == "base").select("date", "is_active")
     budget = B.risk_budget(T.regime_weekly(spark, sf).join(o, "date"))
-    ex = X.exception_candidates(weekly_z(spark, sf), T.bench_weekly(spark, sf).select("date", "close")).filter("qualifies")
+    ex = X.exception_candidates(z_of(d["scores"]), T.bench_weekly(spark, sf).select("date", "close")).filter("qualifies")
     w = B.portfolio_weights(d["top"], budget, ex.select("date", "tic"))
     f = B.fallback_portfolio(budget, d["strength"].filter("is_active"), _SAFE).withColumn("sector", F.lit("FALLBACK"))
     return w.select("date", "sector", "tic", "weight", "cash", "regime").unionByName(f.select("date", "sector", "tic", "weight", "cash", "regime"))

@@ -10,13 +10,12 @@ from stratapanel.operators import joins as J
 from stratapanel.operators import metrics as A
 from stratapanel.operators import portfolio as B
 from stratapanel.operators import regime as G
-from stratapanel.operators.cleaning import sector_to_bucket  # noqa: F401 - used by callers
 from stratapanel.plans import panel as P
 from stratapanel.plans import rotation as T
 from stratapanel.plans.feature_queries import _MEDL
 from stratapanel.plans.join_queries import monthly_signal, universe_days
-from stratapanel.plans.ranking_queries import bucket_preds, smooth_returns, weekly_z
-from stratapanel.plans.registry import cut, long, qcut, query, view
+from stratapanel.plans.ranking_queries import bucket_preds, z_of
+from stratapanel.plans.registry import cut, qcut, query, view
 
 
 def _o(n):
@@ -120,7 +119,7 @@ def portfolio_weights(spark, sf):
     from stratapanel.operators.ranking import exception_mk
 
     d = T.decisions(spark, sf)
-    ex = exception_mk(weekly_z(spark, sf)).filter("mk").select("date", "tic")
+    ex = exception_mk(z_of(d["scores"])).filter("mk").select("date", "tic")
     w = B.portfolio_weights(d["top"], d["budget"], ex)
     return w.select("date", "sector", "tic", cut(F.col("weight")).alias("weight"), cut(F.col("cash")).alias("cash"), "regime", "risk_budget")
 

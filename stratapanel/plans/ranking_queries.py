@@ -10,6 +10,7 @@ from stratapanel.plans import rotation as T
 from stratapanel.plans.cleaning_queries import buckets
 from stratapanel.plans.feature_queries import _MEDL, bench_returns
 from stratapanel.plans.registry import cut, long, qcut, query, view
+from stratapanel.sources import scratch
 
 _F12 = "OVER (PARTITION BY tic ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
 view("scores", f"""
@@ -150,9 +151,12 @@ SELECT tic, date, close, z, CASE WHEN count(*) {_F4} = 4 THEN CAST(sum((z > 2.5)
 
 
 def weekly_z(spark, sf):
-    w = T.weekly(spark, sf)
-    s = X.asset_scores(w, T.group_returns(w)).filter("is_valid")
-    return s.select("tic", "date", "close", cut(F.col("zscore"), 4).alias("z"))
+    w = scratch.cut_lineage(T.weekly(spark, sf), "weekly")
+    return z_of(scratch.cut_lineage(X.asset_scores(w, T.group_returns(w)), "scores"))
+
+
+def z_of(scores):
+    return scores.filter("is_valid").select("tic", "date", "close", cut(F.col("zscore"), 4).alias("z"))
 
 
 def _dates_text(d):

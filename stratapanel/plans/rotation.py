@@ -17,6 +17,7 @@ from stratapanel.operators import ranking as X
 from stratapanel.operators import regime as G
 from stratapanel.plans import panel as P
 from stratapanel.plans.registry import view
+from stratapanel.sources.scratch import cut_lineage
 
 
 
@@ -48,7 +49,7 @@ def index_daily(spark: SparkSession, sf: str) -> DataFrame:
     )
     d = b.select("date", F.col("close").alias("spx"), vol.alias("vix")).join(second, "date", "left")
     filled = F.last("qqq", ignorenulls=True).over(R.whole().rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("qqq", filled).filter(F.col("vix").isNotNull())
+    return cut_lineage(d.withColumn("qqq", filled).filter(F.col("vix").isNotNull()), "index")
 
 
 def index_weekly(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,10 +78,11 @@ def regime_weekly(spark: SparkSession, sf: str) -> DataFrame:
 
 def decisions(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The tables of one weekly decision run: regime, strength, scores, weights."""
-    w = weekly(spark, sf)
+    # The weekly panel and the scores are read by several branches: each is written once.
+    w = cut_lineage(weekly(spark, sf), "weekly")
     g = group_returns(w)
     strength = X.rank_groups_select_active(A.group_strength(g, bench_weekly(spark, sf)))
-    scores = X.asset_scores(w, g)
+    scores = cut_lineage(X.asset_scores(w, g), "scores")
     active = strength.filter("is_active")
     top = X.top_n_per_group(scores, 3, active)
     budget = B.risk_budget(regime_weekly(spark, sf))
