@@ -35,6 +35,8 @@ def view(name: str, sql: str) -> None:
 
 def _needed(sql: str, seen: list[str]) -> list[str]:
     for name in VIEWS:
+        if re.search(rf"\b{name} AS \(", sql):  # the statement defines it itself
+            continue
         if name not in seen and re.search(rf"\b(FROM|JOIN)\s+{name}\b", sql):
             _needed(VIEWS[name], seen)
             if name not in seen:
