@@ -102,12 +102,12 @@ def bucket_select_strict_relaxed(
     selection itself is one top-n in both modes.
     """
     keys = list(keys)
-    t = grouped_quantiles(preds, keys, "pred", {"threshold": q})
+    t = grouped_quantiles(preds, keys, "pred", {"threshold": q}).withColumnRenamed("n", "candidates")
     strict = (F.col("pred") >= F.col("threshold")) & (F.col("pred") > 0)
-    marks = preds.join(t, keys).groupBy(*keys, "threshold", "n").agg(F.count_if(strict).alias("strict"))
+    marks = preds.join(t, keys).groupBy(*keys, "threshold", "candidates").agg(F.count_if(strict).alias("strict"))
     best = top_rows(preds, keys, [F.desc("pred"), "tic"], n, "bucket_rank")
     mode = F.when(F.col("strict") >= n, "strict_quantile").otherwise("relaxed_topk")
-    return best.join(marks, keys).withColumn("mode", mode).withColumnRenamed("n", "candidates").drop("strict")
+    return best.join(marks, keys).withColumn("mode", mode).drop("strict")
 
 
 def bucket_selection_summary(selected: DataFrame, dates: DataFrame, buckets: Sequence[str] = BUCKETS) -> DataFrame:
