@@ -4,51 +4,74 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
+import regex
 
-#: Words whose ids a task remembers, and how many new ones are encoded at once.
-REMEMBERED, AT_ONCE = 250_000, 4096
+#: Entries that each of an encoder's two memories may hold; then the older half of it goes.
+REMEMBERED = 400_000
+#: Visible characters below U+0250: composed, with one lower case each, and no blanks among them.
+_PLAIN = regex.compile(r"[!-~\u00A1-\u024F]+")
+#: Fixed value: how the tokenizer's file splits lower-cased text.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+class _Memory(dict):
+    """A dictionary that computes what it does not hold, and forgets what was not asked for lately."""
+
+    def __init__(self, compute: Callable[[Any], bytes]) -> None:
+        super().__init__()
+        self.compute = compute
+        self.older: dict = {}
+
+    def __missing__(self, key: Any) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class WordEncoder:
     """Token ids of whole texts with a tokenizer that never joins across blanks.
 
-    Such a tokenizer gives a text the ids of its blank-separated pieces, one after the other, so each
-    distinct piece is encoded once and remembered; ids are as if the whole text had been
-    encoded. Ids must fit 16 bits.
+    Such a tokenizer gives a text the ids of its blank-separated pieces, one after the other, and a
+    piece the ids of its runs of letters, digits and other signs. Each is encoded once and remembered; the ids are those of
+    the whole text. Plain pieces are lower-cased and split here and only their runs go to the
+    tokenizer's model; any other piece goes through the whole tokenizer. Ids must fit 16 bits.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        for at in range(0, len(new), AT_ONCE):
-            part = new[at : at + AT_ONCE]
-            pieces = [w.decode("utf-8", "replace") for w in part]
-            ends = np.cumsum([len(p) + 1 for p in pieces])
-            encoded = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-            ids = np.array(encoded.ids, dtype="<u2")
-            starts = np.fromiter((a for a, _ in encoded.offsets), dtype=np.int64, count=len(ids))
-            cuts = np.searchsorted(starts, ends[:-1])
-            for w, own in zip(part, np.split(ids, cuts), strict=True):
-                self.known[w] = own.tobytes()
+        self.model = self.tokenizer.model
+        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.runs = _Memory(self._encode_run)
+        self.pieces = _Memory(self._encode_piece)
+
+    def _encode_run(self, run: str) -> bytes:
+        if not run.isascii():
+            run = self.bytes.pre_tokenize_str(run)[0][0]
+        return np.array([t.id for t in self.model.tokenize(run)], dtype="<u2").tobytes()
+
+    def _encode_piece(self, piece: bytes) -> bytes:
+        text = piece.decode("utf-8", "replace")
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array(ids, dtype="<u2").tobytes()
+        return b"".join(map(self.runs.__getitem__, _SPLIT.findall(text.lower())))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, little-endian, 16 bits each."""
-        split = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        out = []
-        for words in split:
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            if new:
-                self._learn(new)
-            out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+        look_up = self.pieces.__getitem__
+        return [b"".join(map(look_up, t.split())) for t in texts]
 
 
 @functools.lru_cache(maxsize=2)
