@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import attribution, chat, classifier, fingerprints, materialise, mixing, neardup, packing, rules, sharding
+from stratapanel.llm import (
+    attribution, chat, classifier, fingerprints, materialise, mixing, neardup, packing, rules, sharding, twins,
+)
 from stratapanel.llm.common import table
 from stratapanel.sources.scratch import cut_lineage
 
@@ -79,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_curve_packing, op10_simhash_groups,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = twins.ORACLES
