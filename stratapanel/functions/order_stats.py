@@ -107,32 +107,44 @@ def grouped_rank(
     """
     keys = list(keys)
     v = F.col(value)
+    if method not in ("average", "first"):
+        raise ValueError(f"unknown rank method {method!r}")
     cell = value_cell(v.cast("double"))
     cell = -cell if descending else cell
-    data = df.withColumn("_cell", F.coalesce(cell, F.lit((1 << 62))))
-    cells = data.groupBy(*keys, "_cell").agg(F.count(value).alias("_n"))
+    data = df.withColumn("_cell", cell)
+    ranked = data.filter(v.isNotNull())
+    # All zeros share a cell and are equal: with a tie-break they are spread by its first characters.
+    sub = F.lit("")
+    if method == "first" and tie_break:
+        sub = F.when(F.col("_cell") == 0, F.substring(F.col(tie_break[0]).cast("string"), 1, 4)).otherwise("")
+    ranked = ranked.withColumn("_sub", F.coalesce(sub, F.lit("")))
+    cells = ranked.groupBy(*keys, "_cell", "_sub").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    before = group.orderBy("_cell", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(
-        *keys,
-        "_cell",
-        F.coalesce(
-            F.sum("_n").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_before"),
+        *keys, "_cell", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(group).alias("_size"),
     )
-    order = v.desc_nulls_last() if descending else v.asc_nulls_last()
-    inside = Window.partitionBy(*keys, "_cell").orderBy(order, *tie_break)
-    joined = data.join(cells, [*keys, "_cell"])
+    order = v.desc() if descending else v.asc()
     if method == "average":
-        peers = Window.partitionBy(*keys, "_cell").orderBy(order)
-        place = F.rank().over(peers) + (F.count("*").over(peers.rangeBetween(0, 0)) - 1) / 2
-        place = F.col("_before") + place
-    elif method == "first":
-        place = (F.col("_before") + F.row_number().over(inside)).cast("long")
+        # equal values are counted before they are placed, so ties never meet in one task
+        values = ranked.groupBy(*keys, "_cell", "_sub", v.alias("_v")).agg(F.count("*").alias("_same"))
+        inside = Window.partitionBy(*keys, "_cell").orderBy(F.col("_v").desc() if descending else F.col("_v").asc())
+        lower = F.coalesce(F.sum("_same").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = values.withColumn("_lower", lower).join(cells, [*keys, "_cell", "_sub"])
+        placed = placed.select(
+            *keys, "_v", (F.col("_before") + F.col("_lower") + (F.col("_same") + 1) / 2).alias("_place"), "_size"
+        )
+        found = ranked.withColumn("_v", v).join(placed, [*keys, "_v"])
     else:
-        raise ValueError(f"unknown rank method {method!r}")
-    out = joined.withColumn(rank, F.when(v.isNotNull(), place))
+        inside = Window.partitionBy(*keys, "_cell", "_sub").orderBy(order, *tie_break)
+        found = ranked.join(cells, [*keys, "_cell", "_sub"])
+        found = found.withColumn("_place", (F.col("_before") + F.row_number().over(inside)).cast("long"))
+    names = df.columns
+    out = found.select(*names, F.col("_place").alias(rank), *([F.col("_size").alias(size)] if size else []))
+    # rows without a value have no rank and are not sorted at all
+    rest = data.filter(v.isNull()).select(*names)
     if size:
-        out = out.withColumn(size, F.col("_size"))
-    return out.drop("_cell", "_before", "_size")
+        sizes = cells.select(*keys, F.col("_size").alias(size)).distinct()
+        rest = rest.join(sizes, keys, "left") if keys else rest.withColumn(size, sizes.agg(F.max(size)).scalar())
+    return out.unionByName(rest, allowMissingColumns=True)

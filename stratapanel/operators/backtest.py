@@ -221,14 +221,16 @@ def walk_forward_periods(
 
 
 def walk_forward_run(
-    periods: DataFrame, data: DataFrame, func: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str
+    periods: DataFrame, data: DataFrame, func: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Run a user function once per valid period on the rows of its train window.
+    """Run a user function once per period, and per key of ``by``, on the rows of its train window.
 
-    ``func(key, rows)`` gets the decision date and returns rows of ``schema``; a failing period gives
-    no row. Every data row is expanded to the periods that contain it (equi-join on the period
-    number), then periods run in parallel. ``data`` should be series or group tables: a period's
-    rows are in one task.
+    ``func(key, rows)`` gets the decision date (and the key) and returns rows of ``schema``, which has the
+    decision date and the columns of ``by``. A column ``error`` is added: a period whose function fails has one row of
+    nulls with the error's text, a period that is not valid or has no data one that says so. Every data row is
+    expanded to the periods that contain it (equi-join on the period number), then periods run in
+    parallel. ``data`` should be series or group tables: a period's rows of a key are in one task.
     """
     w = Window.partitionBy(F.lit(1)).orderBy("decision_date")
     p = periods.withColumn("_i", F.row_number().over(w).cast("long"))
@@ -241,12 +243,17 @@ def walk_forward_run(
     in_periods = span.select("date", F.explode(F.sequence("_lo_i", "_hi")).alias("_i"))
     valid = p.filter("is_valid").select("_i", "decision_date")
     rows = data.join(in_periods, "date").join(valid, "_i").drop("_i")
+    keys = ["decision_date", *by]
     columns = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         try:
-            return func(key, pdf.drop(columns="decision_date"))
-        except Exception:  # noqa: BLE001 - a failed period is left out, the run goes on
-            return pd.DataFrame(columns=columns)
-
-    return rows.groupBy("decision_date").applyInPandas(run, schema)
+            return func(key, pdf.drop(columns="decision_date")).assign(error=None)
+        except Exception as e:  # noqa: BLE001 - the period says what went wrong, the run goes on
+            known = dict(zip(keys, key, strict=True))
+            return pd.DataFrame([{c: known.get(c) for c in columns} | {"error": f"{type(e).__name__}: {e}"}])
+
+    done = rows.groupBy(*keys).applyInPandas(run, f"{schema}, error string")
+    out = p.join(rows.select("decision_date").distinct(), "decision_date", "left_anti")
+    reason = F.when(F.col("is_valid"), "no data").otherwise("not enough data before")
+    return done.unionByName(out.select("decision_date", reason.alias("error")), allowMissingColumns=True)

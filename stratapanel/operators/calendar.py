@@ -227,8 +227,12 @@ def interval_gaps(requests: DataFrame, log: DataFrame, keys: list[str]) -> DataF
             "_gap_start": before,
             "_gap_end": F.coalesce(F.date_sub("_cs", 1), F.col("_re")),
             "_tail": F.lead("_cs").over(w).isNull() & F.col("_cs").isNotNull(),
+            "_place": F.row_number().over(w),
         }
     )
+    # A key without a meeting interval keeps one all-null row: its gap is the whole request. Null
+    # rows next to real ones say nothing.
+    gaps = gaps.filter(F.col("_cs").isNotNull() | (F.col("_place") == 1))
     pieces = F.array(
         F.struct(F.col("_gap_start").alias("start"), F.col("_gap_end").alias("end")),
         F.when(
@@ -236,8 +240,6 @@ def interval_gaps(requests: DataFrame, log: DataFrame, keys: list[str]) -> DataF
             F.struct(F.date_add("_ce", 1).alias("start"), F.col("_re").alias("end")),
         ),
     )
-    # A key without a meeting interval keeps one all-null row: its gap is the whole request.
-    # Null rows next to real ones only repeat the tail and drop out in the distinct.
     return (
         gaps.select(*keys, F.explode(pieces).alias("g"))
         .filter(F.col("g").isNotNull() & (F.col("g.start") <= F.col("g.end")))

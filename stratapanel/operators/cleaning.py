@@ -341,11 +341,11 @@ def sentiment_parse(text: Column) -> tuple[Column, Column]:
     return F.when(known, label).otherwise(word), F.when(known, conf)
 
 
-def missing_sentiment_rows(df: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """Articles without a sentiment that have a title or a body; optional cut of the body."""
+def missing_sentiment_rows(df: DataFrame) -> DataFrame:
+    """Articles without a sentiment that have a title or a body."""
     s = F.col("sentiment")
     rows = df.filter(s.isNull() | (F.trim(s) == ""))
     title = F.trim(F.coalesce("title", F.lit("")))
     body = F.trim(F.coalesce("body", F.lit("")))
     rows = rows.filter((title != "") | (body != ""))
-    return rows.withColumn("body", F.substring(body, 1, max_chars) if max_chars else body)
+    return rows.withColumn("body", body)

@@ -7,6 +7,7 @@ it again.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -181,11 +182,15 @@ def rolling_train_single(df: DataFrame, features: Sequence[str], trade: str, tes
     now = d.filter(F.col("datadate") == day)
     n = train.count()
     if n < 10 or now.isEmpty():
+        d.unpersist()
         return None
     models = candidate_models(n)
     fitted = {m: fit(train, features, models[m]) for m in names}
-    errors = {m: mse(predict(f, test, m)) or mse(predict(f, train, m)) for m, f in fitted.items()}
-    best = min(errors, key=errors.get)
+    errors = {}
+    for m, f in fitted.items():
+        on_test = mse(predict(f, test, m))
+        errors[m] = mse(predict(f, train, m)) if on_test is None else on_test
+    best = min(errors, key=lambda m: math.inf if errors[m] is None else errors[m])
     return predict(fitted[best], now, best).withColumn("model_mse", F.lit(errors[best]))
 
 

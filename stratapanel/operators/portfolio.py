@@ -113,22 +113,35 @@ def equal_weights(selected: DataFrame, keys: Sequence[str] = ("date",)) -> DataF
     return selected.join(n, list(keys)).withColumn("weight", 1 / F.col("_n")).drop("_n")
 
 
-def _min_variance(cov: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """Long-only weights summing to 1 with least variance, by projected gradient steps."""
+def _min_variance(cov: np.ndarray) -> np.ndarray:
+    """Long-only weights summing to 1 with least variance, by an active set.
+
+    They are the scaled solution of the least-variance problem without the sum: names enter one
+    by one while that lowers the objective and leave when their weight would turn negative. Each set of
+    held names is met once, so it ends, at the optimum. A tiny ridge picks one of equal solutions.
+    """
     k = len(cov)
-    w = np.full(k, 1.0 / k)
-    top = np.linalg.eigvalsh(cov)[-1]
-    if not np.isfinite(top) or top <= 0:
-        return w
-    for _ in range(rounds):
-        v = w - cov @ w / top
-        u = np.sort(v)[::-1]
-        c = (np.cumsum(u) - 1) / np.arange(1, k + 1)
-        new = np.maximum(v - c[np.nonzero(u > c)[0][-1]], 0)
-        if np.abs(new - w).max() < 1e-12:
-            return new
-        w = new
-    return w
+    scale = np.trace(cov) / k
+    if not np.isfinite(scale) or scale <= 0:
+        return np.full(k, 1.0 / k)
+    cov = cov / scale + 1e-10 * np.eye(k)
+    x, held = np.zeros(k), np.zeros(k, dtype=bool)
+    while True:
+        gain = np.where(held, -np.inf, 1.0 - cov @ x)
+        if held.all() or gain.max() <= 1e-9:
+            return x / x.sum()
+        held[int(np.argmax(gain))] = True
+        while True:
+            z = np.zeros(k)
+            z[held] = np.linalg.solve(cov[np.ix_(held, held)], np.ones(held.sum()))
+            out = held & (z <= 0)
+            if not out.any():
+                break
+            part = np.min(x[out] / (x[out] - z[out]))
+            x = x + part * (z - x)
+            held &= ~(out & (x <= 1e-15))
+            x[~held] = 0.0
+        x = z
 
 
 def min_variance_weights(
@@ -137,18 +150,22 @@ def min_variance_weights(
     """Minimum-variance weights of the names selected on each date.
 
     ``selected(date, tic)``; ``prices(tic, datadate, price)`` of earlier and equal dates. The last
-    ``periods`` dates on which any selected name has a price count; rows and names with gaps are
-    left out; too few rows give equal weights. Dates run in parallel; one date's task holds
-    only its own selected names.
+    ``periods`` price dates up to the selection count; rows and names with gaps are left out; too
+    few rows give equal weights. Dates run in parallel; one date's task holds only its own
+    selected names.
     """
     pairs = selected.select("date", "tic").distinct()
-    seen = pairs.join(prices.select("tic", "datadate", "price"), "tic", "left").filter(
-        F.col("datadate").isNull() | (F.col("datadate") <= F.col("date"))
+    # price dates are a short list: numbered once, so the last ones of a selection are found by number
+    days = prices.select("datadate").distinct().withColumn(
+        "_ord", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("datadate"))
     )
-    recent = seen.select("date", "datadate").distinct()
-    w = Window.partitionBy("date").orderBy(F.desc("datadate"))
-    recent = recent.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= periods).drop("_rn")
-    used = seen.join(recent, ["date", "datadate"]).select("date", "tic", "datadate", "price")
+    dates = pairs.select("date").distinct().withColumn("_one", F.lit(1))
+    last = J.asof_join(dates, days.withColumn("_one", F.lit(1)), ["_one"], "date", "datadate", ["_ord"])
+    span = F.sequence(F.greatest(F.col("_ord") - (periods - 1), F.lit(1)), F.col("_ord"))
+    keys = last.filter(F.col("_ord").isNotNull()).select("date", F.explode(span).alias("_ord")).join(days, "_ord")
+    used = pairs.join(keys.select("date", "datadate"), "date").join(
+        prices.select("tic", "datadate", "price"), ["tic", "datadate"]
+    ).select("date", "tic", "datadate", "price")
     names = pairs.select("date", "tic", F.lit(None).cast("date").alias("datadate"), F.lit(None).cast("double").alias("price"))
     schema = "date date, tic string, weight double"
 
@@ -270,14 +287,12 @@ def step_weights(signals: DataFrame, params: Sequence[Mapping]) -> DataFrame:
     """Stepwise weights of daily signals for many parameter sets at once.
 
     ``signals(date, ord, tic, signal, in_universe, is_rebalance)`` with ``ord`` the number of the
-    day. Each set has ``name``, ``cooling`` (days without a new position after a close),
-    ``allow_short``, ``max_weight``, ``gross`` (leverage cap) and ``max_positions``. On a rebalance day
-    a name takes its signal at full weight, keeps its weight when it has just left the universe,
-    and is closed otherwise; then the position cap (ties by ticker) and the leverage cap apply.
-
-    The caps tie names together, so the ordered pass runs per parameter set. A name can only
-    trade on days it is, or was on the day before, in the universe; all other rows are dropped
-    first, which bounds a set by universe size times days.
+    day. Each set has ``name``, ``cooling``, ``allow_short``, ``max_weight``, ``gross`` (leverage cap)
+    and ``max_positions``. The meaning is our own, so that every name stands for itself and a date's names
+    only meet in the caps: on a rebalance day a name in the universe wants its signal at full
+    weight; it wants nothing within ``cooling`` days after a rebalance day on which it stopped wanting;
+    the position cap keeps the largest (ties by ticker) and the leverage cap scales a date down.
+    Returns the wanted names of rebalance days with weight and action against the rebalance day before.
     """
     sets = F.array(*(
         F.struct(
@@ -287,59 +302,21 @@ def step_weights(signals: DataFrame, params: Sequence[Mapping]) -> DataFrame:
         )
         for p in params
     ))
-    t = Window.partitionBy("tic").orderBy("ord")
-    was_in = (F.lag("ord").over(t) == F.col("ord") - 1) & F.lag("in_universe").over(t)
-    rows = signals.withColumn("was_in", F.coalesce(was_in, F.lit(False)))
-    rows = rows.filter(F.col("in_universe") | F.col("was_in"))
-    rows = rows.withColumn("_s", F.explode(sets)).select("_s.*", *rows.columns)
-    schema = "params string, date date, tic string, weight double, action string"
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.iloc[0]
-        weights: dict[str, float] = {}
-        quiet_until: dict[str, int] = {}
-        out = []
-        for (day, date), g in pdf.sort_values(["ord", "tic"]).groupby(["ord", "date"]):
-            actions: dict[str, str] = {}
-            if g["is_rebalance"].iloc[0]:
-                today = {r.tic: r for r in g.itertuples()}
-                new = {}
-                for tic in sorted(set(today) | set(weights)):
-                    old, r = weights.get(tic, 0.0), today.get(tic)
-                    w = _next_weight(old, r, p, quiet_until.get(tic, -1) > day)
-                    if old and not w and p["cooling"]:
-                        quiet_until[tic] = day + p["cooling"]
-                    actions[tic] = _action(old, w)
-                    if w:
-                        new[tic] = w
-                best = sorted(new, key=lambda k: (-abs(new[k]), k))[: p["cap"]]
-                gross = sum(abs(new[k]) for k in best)
-                scale = p["gross"] / gross if gross > p["gross"] else 1.0
-                weights = {k: new[k] * scale for k in best}
-            for tic in sorted(set(weights) | {k for k, a in actions.items() if a != "HOLD"}):
-                out.append((p["params"], date, tic, weights.get(tic, 0.0), actions.get(tic, "HOLD")))
-        return pd.DataFrame(out, columns=["params", "date", "tic", "weight", "action"])
-
-    return rows.groupBy("params").applyInPandas(walk, schema)
-
-
-def _next_weight(old: float, row, p, quiet: bool) -> float:
-    """Weight a name takes on a rebalance day before the caps; no row means outside the universe."""
-    sig = 0 if row is None or (not old and quiet) else int(row.signal)
-    if sig == 0:
-        return 0.0
-    if row.was_in and not row.in_universe and old:
-        return old
-    if row.in_universe and (sig > 0 or p["allow_short"]):
-        return p["max_weight"] if sig > 0 else -p["max_weight"]
-    return 0.0
-
-
-def _action(old: float, new: float) -> str:
-    if abs(old - new) <= 1e-8:
-        return "HOLD"
-    if not old:
-        return "OPEN_LONG" if new > 0 else "OPEN_SHORT"
-    if not new:
-        return "CLOSE"
-    return "FLIP" if old * new < 0 else "ADJUST"
+    name = Window.partitionBy("params", "tic").orderBy("ord")
+    d = signals.filter("is_rebalance").withColumn("_s", F.explode(sets)).select("_s.*", *signals.columns)
+    sign = F.signum(F.col("signal").cast("double"))
+    sign = F.when(F.col("in_universe") & (F.col("allow_short") | (sign > 0)), sign).otherwise(0.0)
+    d = d.withColumn("_sign", sign).withColumn("_before", F.coalesce(F.lag("_sign").over(name), F.lit(0.0)))
+    stopped = F.when((F.col("_sign") == 0) & (F.col("_before") != 0), F.col("ord"))
+    d = d.withColumn("_stopped", F.max(stopped).over(name.rowsBetween(Window.unboundedPreceding, -1)))
+    quiet = F.coalesce(F.col("ord") < F.col("_stopped") + F.col("cooling"), F.lit(False))
+    d = d.withColumn("_want", F.when(quiet, F.lit(0.0)).otherwise(F.col("_sign") * F.col("max_weight")))
+    d = d.withColumn("_held", F.coalesce(F.lag("_want").over(name), F.lit(0.0)))
+    day = Window.partitionBy("params", "date").orderBy(F.desc(F.abs("_want")), "tic")
+    top = d.filter("_want != 0").withColumn("_rn", F.row_number().over(day)).filter(F.col("_rn") <= F.col("cap"))
+    gross = top.groupBy("params", "date").agg(F.sum(F.abs("_want")).alias("_gross"))
+    top = top.join(gross, ["params", "date"])
+    scale = F.least(F.lit(1.0), F.col("gross") / F.col("_gross"))
+    opened = F.when(F.col("_want") > 0, "OPEN_LONG").otherwise("OPEN_SHORT")
+    action = F.when(F.col("_held") == 0, opened).when(F.col("_held") != F.col("_want"), "FLIP").otherwise("HOLD")
+    return top.select("params", "date", "tic", (F.col("_want") * scale).alias("weight"), action.alias("action"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stratapanel.functions import rolling as R
 from stratapanel.functions.order_stats import grouped_quantiles, grouped_rank
 from stratapanel.operators import features as W
+from stratapanel.sources.scratch import cut_lineage
 
 # Bucket order, and the blend of unified and bucket ranks per bucket.
 BUCKETS = ("growth_tech", "cyclical", "real_assets", "defensive")
@@ -135,7 +136,9 @@ def rank_within_bucket(preds: DataFrame, value: str, keys: Sequence[str], rank:
 def blend_percentiles(preds: DataFrame, keys: Sequence[str] = ("bucket", "datadate")) -> DataFrame:
     """Percentile ranks of bucket and unified predictions inside each bucket and date."""
     d = rank_within_bucket(preds, "bucket_pred", keys, "_r", "bucket_pctile").drop("_r")
-    return rank_within_bucket(d, "unified_pred", keys, "_r", "unified_pctile").drop("_r")
+    # a rank reads its table twice: written once, the next rank does not repeat what came before
+    d = rank_within_bucket(cut_lineage(d, "ranked"), "unified_pred", keys, "_r", "unified_pctile").drop("_r")
+    return cut_lineage(d, "percentiles")
 
 
 def dual_ensemble(preds: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
@@ -159,7 +162,7 @@ def mixed_alpha(preds: DataFrame, bucket_alpha: Mapping[str, float] = BUCKET_ALP
         }
     )
     keys = ["bucket", "datadate"]
-    d = rank_within_bucket(d, "mixed_score", keys, "rank_mixed")
+    d = cut_lineage(rank_within_bucket(d, "mixed_score", keys, "rank_mixed"), "ranked")
     return rank_within_bucket(d, "uniform_score", keys, "rank_uniform")
 
 
@@ -223,7 +226,7 @@ def exception_candidates(z: DataFrame, bench: DataFrame, pool: DataFrame | None
         z = z.join(pool.select("tic").distinct(), "tic", "left_semi")
     mk = exception_mk(z, rules.get("threshold", 2.5), rules.get("k", 4), rules.get("m", 2))
     d = exception_strong_signal(mk, bench, rules.get("strong", 3.5), rules.get("multiple", 1.5), rules.get("prices", 12))
-    d = d.withColumn("qualifies", F.col("mk") | F.col("strong"))
+    d = cut_lineage(d.withColumn("qualifies", F.col("mk") | F.col("strong")), "candidates")
     ranked = grouped_rank(
         d.withColumn("_z", F.when(F.col("qualifies"), F.col("z"))), ["date"], "_z", method="first", tie_break=["tic"], rank="place"
     )

@@ -172,7 +172,8 @@ def walk_forward_periods(spark, sf):
 
 @query("walk_forward_run", _PERIODS + f""",
 x AS (SELECT p.date AS decision_date, s.name, max_by(s.close, s.date) / min_by(s.close, s.date) - 1 AS g FROM p JOIN d ON d.ord = greatest(p.ord - 25, 1) JOIN sector_weekly s ON s.date BETWEEN d.date AND p.date WHERE p.ord >= 52 GROUP BY 1, 2)
-SELECT decision_date, arg_max(name, g) AS best, {qcut('max(g)')} AS growth FROM x GROUP BY 1""")
+SELECT decision_date, arg_max(name, g) AS best, {qcut('max(g)')} AS growth, NULL::VARCHAR AS error FROM x GROUP BY 1
+UNION ALL SELECT date, NULL, NULL, 'not enough data before' FROM p WHERE ord < 52""")
 def walk_forward_run(spark, sf):
     import pandas as pd
 
@@ -197,9 +198,9 @@ dec AS (SELECT date, sector, tic, CASE WHEN t > 1 THEN w / t ELSE w END AS weigh
 def decision_weights(spark, sf):
     """Full decision of every week: overlay-aware budget, exceptions, weights or fallback."""
     d = T.decisions(spark, sf)
-    o = overlay(spark, sf).filter(F.col("params") == "base").select("date", "is_active")
-    budget = B.risk_budget(T.regime_weekly(spark, sf).join(o, "date"))
-    ex = X.exception_candidates(z_of(d["scores"]), T.bench_weekly(spark, sf).select("date", "close")).filter("qualifies")
+    o = overlay(spark, sf, d["index"]).filter(F.col("params") == "base").select("date", "is_active")
+    budget = B.risk_budget(d["regime"].join(o, "date"))
+    ex = X.exception_candidates(z_of(d["scores"]), d["bench"].select("date", "close")).filter("qualifies")
     w = B.portfolio_weights(d["top"], budget, ex.select("date", "tic"))
     f = B.fallback_portfolio(budget, d["strength"].filter("is_active"), _SAFE).withColumn("sector", F.lit("FALLBACK"))
     return w.select("date", "sector", "tic", "weight", "cash", "regime").unionByName(f.select("date", "sector", "tic", "weight", "cash", "regime"))

@@ -121,22 +121,18 @@ def consolidate_date_ranges(spark, sf):
 
 
 def _log(spark, sf):
-    """Interval log: each sign-up or error opens a range of 0 to 4 days for its user."""
+    """Interval log: each event opens a range of 0 to 4 days for its user and hour of the day."""
     day = F.col("ts").cast("date")
-    return (
-        P.table(spark, sf, "events")
-        .filter(F.col("event_type").isin("signup", "error"))
-        .select(
-            "user_id",
-            day.alias("start"),
-            F.date_add(day, (F.floor("value") % 5).cast("int")).alias("end"),
-        )
+    return P.table(spark, sf, "events").select(
+        (F.col("user_id") * 24 + F.hour("ts")).alias("user_id"),
+        day.alias("start"),
+        F.date_add(day, (F.floor("value") % 5).cast("int")).alias("end"),
     )
 
 
 view("fetch_log", """
-SELECT user_id, CAST(ts AS DATE) AS a, CAST(ts AS DATE) + CAST(floor(value) % 5 AS INTEGER) AS z
-FROM events WHERE event_type IN ('signup', 'error')""")
+SELECT user_id * 24 + hour(ts) AS user_id, CAST(ts AS DATE) AS a, CAST(ts AS DATE) + CAST(floor(value) % 5 AS INTEGER) AS z
+FROM events""")
 view("merged_log", """
 SELECT user_id, min(a) AS a, max(z) AS z FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS island FROM (
@@ -151,19 +147,20 @@ def merge_intervals(spark, sf):
 
 
 @query("interval_gaps", """
-WITH req AS (SELECT DISTINCT user_id, DATE '2024-01-03' + CAST(user_id % 7 AS INTEGER) AS rs, DATE '2024-02-05' AS re FROM events),
+WITH req AS (SELECT DISTINCT user_id, DATE '2024-01-03' + CAST(user_id % 7 AS INTEGER) AS rs, DATE '2024-02-05' AS re FROM fetch_log),
 days AS (SELECT user_id, CAST(unnest(generate_series(rs, re, INTERVAL 1 DAY)) AS DATE) AS d FROM req),
 open AS (SELECT user_id, d FROM days WHERE NOT EXISTS
   (SELECT 1 FROM fetch_log l WHERE l.user_id = days.user_id AND days.d BETWEEN l.a AND l.z)),
 isl AS (SELECT user_id, d, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INTEGER) AS g FROM open)
 SELECT user_id, min(d) AS start, max(d) AS "end" FROM isl GROUP BY user_id, g""")
 def interval_gaps(spark, sf):
-    req = P.table(spark, sf, "events").select("user_id").distinct().select(
+    log = _log(spark, sf)
+    req = log.select("user_id").distinct().select(
         "user_id",
         F.date_add(F.lit("2024-01-03").cast("date"), (F.col("user_id") % 7).cast("int")).alias("start"),
         F.lit("2024-02-05").cast("date").alias("end"),
     )
-    return C.interval_gaps(req, _log(spark, sf), ["user_id"])
+    return C.interval_gaps(req, log, ["user_id"])
 
 
 @query("month_end_rebalance_dates", """

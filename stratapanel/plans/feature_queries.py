@@ -136,7 +136,7 @@ def forward_log_return(spark, sf):
 
 @query("last_label_fill", """
 WITH q AS (SELECT tic, datadate, price, ln(lead(price) OVER (PARTITION BY tic ORDER BY datadate) / price) AS y
-           FROM quarter_closes WHERE datadate <= DATE '2000-12-31'),
+           FROM quarter_closes),
 l AS (SELECT tic, max(datadate) AS datadate, arg_max(price, datadate) AS price FROM q GROUP BY 1),
 t AS (SELECT *, last_day(CAST(date_trunc('month', datadate) + INTERVAL 3 MONTH AS DATE)) AS target FROM l),
 n AS (SELECT t.tic, t.datadate, t.price, arg_min(s.close, abs(s.date - target) * 2 + (s.date > target)::INT) FILTER (WHERE s.date >= target - 7) AS near, arg_max(s.close, s.date) AS last
@@ -144,7 +144,7 @@ n AS (SELECT t.tic, t.datadate, t.price, arg_min(s.close, abs(s.date - target) *
 SELECT q.tic, q.datadate, q.price, """ + qcut("coalesce(q.y, ln(coalesce(n.near, n.last) / n.price))") + """ AS y_return
 FROM q LEFT JOIN n USING (tic, datadate)""")
 def last_label_fill(spark, sf):
-    q = P.quarter_closes(spark, sf).filter(F.col("datadate") <= F.lit("2000-12-31").cast("date"))
+    q = P.quarter_closes(spark, sf)
     w = Window.partitionBy("tic").orderBy("datadate")
     q = q.withColumn("y_return", F.ln(F.lead("price").over(w) / F.col("price")))
     d = W.last_label_fill(q, P.smooth(spark, sf).select("tic", "date", "close"))

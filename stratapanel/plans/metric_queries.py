@@ -74,7 +74,8 @@ SELECT sector, date, n AS periods, ok AS is_valid, CASE WHEN ok THEN ex ELSE 0 E
 @query("group_strength", f"""
 SELECT sector, date, periods, is_valid, {qcut('excess_return')} AS excess_return, {qcut('information_ratio')} AS information_ratio FROM group_strength""")
 def group_strength(spark, sf):
-    g = A.group_strength(T.group_returns(T.weekly(spark, sf)), T.bench_weekly(spark, sf))
+    daily = T.daily_panel(spark, sf)
+    g = A.group_strength(T.group_returns(T.weekly(spark, sf, daily)), T.bench_weekly(spark, sf, daily))
     return g.select("sector", "date", "periods", "is_valid", cut(F.col("excess_return")).alias("excess_return"), cut(F.col("information_ratio")).alias("information_ratio"))
 
 

@@ -72,29 +72,32 @@ def inverse_mse_ensemble(spark, sf):
     return M.inverse_mse_ensemble(long, m).withColumn("ensemble", cut(F.col("ensemble")))
 
 
-def _last_quarters(d, n):
-    """The newest n quarter ends that have rows: a driver-side list, since each is one model run."""
-    rows = d.select("datadate").distinct().orderBy(F.desc("datadate")).limit(n).collect()
-    return [str(r[0]) for r in reversed(rows)]
+def _quarters(d):
+    """All quarter ends that have rows, oldest first: each is one model run, so the list is short."""
+    return [str(r[0]) for r in d.select("datadate").distinct().orderBy("datadate").collect()]
+
+
+def _trade_quarters(d, train=16, test=4):
+    """Quarters with a whole train and test window before them."""
+    return _quarters(d)[train + test:]
 
 
 @query("rolling_train_single")
 def rolling_train_single(spark, sf):
     d = dataset(spark, sf)
-    return M.rolling_train_single(d, FEATURES, _last_quarters(d, 1)[0])
+    return M.rolling_train_single(d, FEATURES, _quarters(d)[-1])
 
 
 @query("rolling_train_all")
 def rolling_train_all(spark, sf):
     d = dataset(spark, sf)
-    quarters = _last_quarters(d, 100)
-    return M.rolling_train_all(d, FEATURES, quarters[20:], names=("ridge",))
+    return M.rolling_train_all(d, FEATURES, _trade_quarters(d), names=("ridge",))
 
 
 @query("strategy_weights")
 def strategy_weights(spark, sf):
     d = dataset(spark, sf)
-    p = M.rolling_train_all(d, FEATURES, _last_quarters(d, 100)[20:], names=("ridge",))
+    p = M.rolling_train_all(d, FEATURES, _trade_quarters(d), names=("ridge",))
     p = scratch.cut_lineage(p.join(P.sectors(spark, sf), "tic"), "rolling")
     return M.strategy_weights(p)
 
@@ -102,7 +105,7 @@ def strategy_weights(spark, sf):
 @query("sector_neutral_weights")
 def sector_neutral_weights(spark, sf):
     d = dataset(spark, sf)
-    last = _last_quarters(d, 1)[0]
+    last = _quarters(d)[-1]
     names = [r[0] for r in d.select("sector").distinct().orderBy("sector").collect()]
     parts = [M.rolling_train_single(d.filter(F.col("sector") == s), FEATURES, last, names=("ridge",)) for s in names]
     parts = [p.withColumn("sector", F.lit(s)) for p, s in zip(parts, names) if p is not None]
@@ -125,18 +128,20 @@ def rolling_date_windows(spark, sf):
 
 
 @query("strategy_callable", f"""
-SELECT date AS decision_date, {qcut('avg(close) OVER (ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)', 4)} AS level FROM (SELECT date, close FROM sector_weekly WHERE name = 'ASIA') q
-QUALIFY row_number() OVER (ORDER BY date) >= 52""")
+WITH d AS (SELECT date, row_number() OVER (ORDER BY date) AS ord FROM (SELECT DISTINCT date FROM sector_weekly) q)
+SELECT p.date AS decision_date, s.name, {qcut('avg(s.close)', 4)} AS level, NULL::VARCHAR AS error
+FROM d p JOIN d q ON q.ord BETWEEN p.ord - 9 AND p.ord JOIN sector_weekly s ON s.date = q.date WHERE p.ord >= 52 GROUP BY 1, 2
+UNION ALL SELECT date, NULL, NULL, 'not enough data before' FROM d WHERE ord < 52""")
 def strategy_callable(spark, sf):
     import pandas as pd
 
-    s = sector_weekly(spark, sf).filter(F.col("name") == "ASIA").select("date", "close")
+    s = scratch.cut_lineage(sector_weekly(spark, sf), "series")
     periods = Q.walk_forward_periods(s.select("date"), s.select("date"), 52, "rolling", 10)
 
     def mean_level(key, rows):
-        return pd.DataFrame({"decision_date": [key[0]], "level": [rows["close"].mean()]})
+        return pd.DataFrame({"decision_date": [key[0]], "name": [key[1]], "level": [rows["close"].mean()]})
 
-    d = Q.walk_forward_run(periods, s, mean_level, "decision_date date, level double")
+    d = Q.walk_forward_run(periods, s, mean_level, "decision_date date, name string, level double", by=["name"])
     return d.withColumn("level", cut(F.col("level"), 4))
 
 

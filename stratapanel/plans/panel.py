@@ -54,10 +54,10 @@ def smooth(spark: SparkSession, sf: str, n: int = 20) -> DataFrame:
     )
 
 
-def bench(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark level per date: mean calm price over all tickers."""
+def bench(spark: SparkSession, sf: str, daily: DataFrame | None = None) -> DataFrame:
+    """Benchmark level per date: mean calm price over all tickers, from the smoothed panel if given."""
     cents = F.floor(F.col("close") * 100)
-    return smooth(spark, sf).groupBy("date").agg(
+    return (smooth(spark, sf) if daily is None else daily).groupBy("date").agg(
         (F.sum(cents) / F.count("*") / 100).alias("close")
     )
 
@@ -116,8 +116,8 @@ def quarter_closes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def membership(spark: SparkSession, sf: str, size: int = 12) -> DataFrame:
-    """Monthly snapshots of the most traded tickers."""
+def membership(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly snapshots: the tickers with at least the month's mean turnover."""
     money = F.sum(F.floor(F.col("l_extendedprice") * 100 + 0.5))
     month = F.trunc(F.col("l_shipdate").cast("date"), "month")
     totals = (
@@ -125,16 +125,16 @@ def membership(spark: SparkSession, sf: str, size: int = 12) -> DataFrame:
         .groupBy(month.alias("snap_date"), ticker("l_suppkey").alias("tic"))
         .agg(money.alias("turnover"))
     )
-    w = Window.partitionBy("snap_date").orderBy(F.desc("turnover"), "tic")
+    level = totals.groupBy("snap_date").agg(F.sum("turnover").alias("total"), F.count("*").alias("tickers"))
     return (
-        totals.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= size)
+        totals.join(level, "snap_date").filter(F.col("turnover") * F.col("tickers") >= F.col("total"))
         .select("snap_date", "tic")
     )
 
 
-def equal_membership_weights(spark: SparkSession, sf: str, size: int = 12) -> DataFrame:
+def equal_membership_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Equal weights over each monthly snapshot (date, tic, weight)."""
-    m = membership(spark, sf, size)
+    m = membership(spark, sf)
     n = m.groupBy("snap_date").agg(F.count("*").alias("n"))
     return m.join(n, "snap_date").select(
         F.col("snap_date").alias("date"), "tic", (1 / F.col("n")).alias("weight")
@@ -195,11 +195,11 @@ SELECT tic, last_day(CAST(date_trunc('quarter', date) + INTERVAL 2 MONTH AS DATE
 FROM smooth GROUP BY 1, 2""")
 view("membership", """
 SELECT snap_date, tic FROM (
-  SELECT *, row_number() OVER (PARTITION BY snap_date ORDER BY turnover DESC, tic) AS rk FROM (
+  SELECT *, sum(turnover) OVER (PARTITION BY snap_date) AS total, count(*) OVER (PARTITION BY snap_date) AS tickers FROM (
     SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS snap_date, 'S' || l_suppkey AS tic,
            sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS turnover
     FROM lineitem GROUP BY 1, 2) t) x
-WHERE rk <= 12""")
+WHERE turnover * tickers >= total""")
 view("equal_weights", """
 SELECT snap_date AS date, tic, 1.0::DOUBLE / count(*) OVER (PARTITION BY snap_date) AS weight FROM membership""")
 view("predictions", """

@@ -81,8 +81,9 @@ st AS (SELECT params, duration, exit_at, 0::BIGINT AS rn, NULL::DATE AS date, NU
 """
 
 
-def overlay(spark, sf):
-    return G.fast_overlay_state(G.price_vol_shock(T.index_daily(spark, sf)).select("date", "spx", "trigger"), _SETS)
+def overlay(spark, sf, index=None):
+    index = T.index_daily(spark, sf) if index is None else index
+    return G.fast_overlay_state(G.price_vol_shock(index).select("date", "spx", "trigger"), _SETS)
 
 
 @query("fast_overlay_state", _OVERLAY + "SELECT params, st.date, is_active, days_remaining, x.date AS trigger_date, reason FROM st LEFT JOIN nxt x ON x.rn = st.start WHERE st.rn > 0")
@@ -94,15 +95,17 @@ def fast_overlay_state(spark, sf):
 SELECT params, date, CASE WHEN is_active THEN least(group_cap, 0.3::DOUBLE) ELSE group_cap END AS effective_cap, CASE WHEN is_active THEN greatest(cash_floor, 0.5::DOUBLE) ELSE cash_floor END AS effective_floor,
   CASE WHEN is_active THEN 'fast_risk_off' ELSE state END AS effective_state FROM w""")
 def effective_regime(spark, sf):
-    d = G.effective_regime(overlay(spark, sf), T.regime_weekly(spark, sf))
+    index = T.index_daily(spark, sf)
+    d = G.effective_regime(overlay(spark, sf, index), T.regime_weekly(spark, sf, index))
     return d.select("params", "date", "effective_cap", "effective_floor", "effective_state")
 
 
 @query("risk_budget", _OVERLAY + """SELECT r.date, CASE WHEN s.is_active THEN 'fast_risk_off' ELSE r.state END AS regime,
   CASE WHEN s.is_active OR r.state = 'risk_off' THEN 0.7 WHEN r.state = 'neutral' THEN 0.85 ELSE 1.0 END::DOUBLE AS risk_budget FROM regime r JOIN st s ON s.date = r.date AND s.params = 'base'""")
 def risk_budget(spark, sf):
-    o = overlay(spark, sf).filter(F.col("params") == "base").select("date", "is_active")
-    return B.risk_budget(T.regime_weekly(spark, sf).join(o, "date"))
+    index = T.index_daily(spark, sf)
+    o = overlay(spark, sf, index).filter(F.col("params") == "base").select("date", "is_active")
+    return B.risk_budget(T.regime_weekly(spark, sf, index).join(o, "date"))
 
 
 view("budget", "SELECT date, state AS regime, CASE state WHEN 'risk_off' THEN 0.7 WHEN 'neutral' THEN 0.85 ELSE 1.0 END::DOUBLE AS risk_budget FROM regime")
@@ -164,7 +167,7 @@ def stop_loss(spark, sf):
 _QUIET = [("base", 10), ("long", 30)]
 
 
-@query("decision_timeline", _STOPS + """, dy AS (SELECT s.date, s.date IN (SELECT date FROM week_ends) AS wk, s.trigger, s.date IN (SELECT date FROM sg WHERE year(date) % 2 = 0) AS stop FROM shocks s),
+@query("decision_timeline", _STOPS + """, dy AS (SELECT s.date, s.date IN (SELECT date FROM week_ends) AS wk, s.trigger, s.date IN (SELECT date FROM sg) AS stop FROM shocks s),
 ps AS (SELECT * FROM (VALUES ('base', 10), ('long', 30)) t(params, quiet)),
 cd AS MATERIALIZED (SELECT date FROM dy WHERE trigger AND NOT wk),
 fr AS (SELECT params, quiet, (SELECT min(date) FROM cd) AS date FROM ps
@@ -173,7 +176,7 @@ SELECT ps.params, dy.date, CASE WHEN wk THEN 'weekly' WHEN fr.date IS NOT NULL T
 FROM dy CROSS JOIN ps LEFT JOIN fr ON fr.params = ps.params AND fr.date = dy.date""")
 def decision_timeline(spark, sf):
     s = G.price_vol_shock(T.index_daily(spark, sf)).select("date", "trigger")
-    stops = B.stop_loss(positions(spark, sf)).filter(F.year("date") % 2 == 0).select("date").distinct().withColumn("stop", F.lit(True))
+    stops = B.stop_loss(positions(spark, sf)).select("date").distinct().withColumn("stop", F.lit(True))
     wk = T.week_ends(spark, sf).withColumn("is_weekly", F.lit(True))
     days = s.join(stops, "date", "left").join(wk, "date", "left").na.fill(False, ["stop", "is_weekly"])
     return G.decision_timeline(days, _QUIET).select("params", "date", "action")
@@ -186,10 +189,9 @@ def equal_weights(spark, sf):
 
 
 def _selected(spark, sf):
-    from stratapanel.operators.ranking import top_rows
+    from stratapanel.operators.ranking import quantile_select
 
-    t = top_rows(bucket_preds(spark, sf), ["datadate", "bucket"], [F.desc("pred"), "tic"], 3, "rk")
-    return t.select(F.col("datadate").alias("date"), "tic", "sector", "pred")
+    return quantile_select(bucket_preds(spark, sf), 0.75).select(F.col("datadate").alias("date"), "tic", "sector", "pred")
 
 
 @query("min_variance_weights")

@@ -33,8 +33,8 @@ SELECT date, sector, tic, zscore, rank FROM (SELECT *, row_number() OVER (PARTIT
 SELECT tic, sector, date, {qcut('zscore', 4)} AS zscore, {qcut('residual_momentum')} AS residual_momentum,
        row_number() OVER (PARTITION BY date, sector ORDER BY zscore DESC, tic) AS rank FROM scores WHERE is_valid""")
 def intra_group_rank(spark, sf):
-    w = T.weekly(spark, sf)
-    d = X.intra_group_rank(X.asset_scores(w, T.group_returns(w)))
+    w = scratch.cut_lineage(T.weekly(spark, sf), "weekly")
+    d = X.intra_group_rank(scratch.cut_lineage(X.asset_scores(w, T.group_returns(w)), "scores"))
     return d.select("tic", "sector", "date", cut(F.col("zscore"), 4).alias("zscore"), cut(F.col("residual_momentum")).alias("residual_momentum"), "rank")
 
 
@@ -77,17 +77,17 @@ def quantile_select(spark, sf):
 
 
 @query("bucket_select_strict_relaxed", """
-WITH p AS (SELECT * FROM bucket_preds WHERE NOT (bucket = 'cyclical' AND month(datadate) = 6)),
+WITH p AS (SELECT * FROM bucket_preds),
 a AS (SELECT *, quantile_cont(pred, 0.75) OVER g AS thr, count(*) OVER g AS candidates FROM p WINDOW g AS (PARTITION BY datadate, bucket)),
 b AS (SELECT *, count(*) FILTER (WHERE pred >= thr AND pred > 0) OVER (PARTITION BY datadate, bucket) AS st, row_number() OVER (PARTITION BY datadate, bucket ORDER BY pred DESC, tic) AS rk FROM a),
 s AS (SELECT datadate, bucket, tic, pred, rk, thr, candidates, CASE WHEN st >= 7 THEN 'strict_quantile' ELSE 'relaxed_topk' END AS mode, least(candidates, 7) AS selected FROM b WHERE rk <= 7),
-g AS (SELECT d.datadate, u.bucket FROM (SELECT DISTINCT datadate FROM p) d, (SELECT unnest(['growth_tech', 'cyclical', 'real_assets', 'defensive']) AS bucket) u)
+g AS (SELECT d.datadate, u.bucket FROM (SELECT DISTINCT datadate FROM p) d, (SELECT unnest(['growth_tech', 'cyclical', 'real_assets', 'defensive', 'unlisted']) AS bucket) u)
 SELECT g.datadate, g.bucket, s.tic, s.pred, s.rk AS bucket_rank, """ + qcut("s.thr") + """ AS threshold, coalesce(s.candidates, 0) AS candidates, coalesce(s.selected, 0) AS selected, coalesce(s.mode, 'no_candidates') AS mode
 FROM g LEFT JOIN s USING (datadate, bucket)""")
 def bucket_select_strict_relaxed(spark, sf):
-    p = bucket_preds(spark, sf).filter(~((F.col("bucket") == "cyclical") & (F.month("datadate") == 6)))
+    p = scratch.cut_lineage(bucket_preds(spark, sf), "preds")
     s = X.bucket_select_strict_relaxed(p)
-    summary = X.bucket_selection_summary(s, p.select("datadate").distinct())
+    summary = X.bucket_selection_summary(s, p.select("datadate").distinct(), (*X.BUCKETS, "unlisted"))
     rows = s.select("datadate", "bucket", "tic", "pred", "bucket_rank", cut(F.col("threshold")).alias("threshold"))
     return summary.join(rows, ["datadate", "bucket"], "left")
 
@@ -117,7 +117,7 @@ SELECT *, CAST(floor({_avg_rank('score', 'alpha, bucket, datadate')}) AS BIGINT)
 
 @query("dual_ensemble", f"SELECT tic, bucket, datadate, alpha, {qcut('score')} AS score, rank FROM dual")
 def dual_ensemble(spark, sf):
-    d = X.dual_ensemble(bucket_preds(spark, sf))
+    d = X.dual_ensemble(scratch.cut_lineage(bucket_preds(spark, sf), "preds"))
     return d.select("tic", "bucket", "datadate", "alpha", cut(F.col("score")).alias("score"), "rank")
 
 
@@ -125,7 +125,7 @@ def dual_ensemble(spark, sf):
 WITH s AS (SELECT *, alpha * up + (1 - alpha) * bp AS ms, 0.5::DOUBLE * up + 0.5::DOUBLE * bp AS us FROM (SELECT *, CASE bucket WHEN 'growth_tech' THEN 0.0 WHEN 'cyclical' THEN 0.7 ELSE 1.0 END::DOUBLE AS alpha FROM pctiles) q)
 SELECT tic, bucket, datadate, alpha, {qcut('ms')} AS mixed_score, CAST(floor({_avg_rank('ms', 'bucket, datadate')}) AS BIGINT) AS rank_mixed, {qcut('us')} AS uniform_score, CAST(floor({_avg_rank('us', 'bucket, datadate')}) AS BIGINT) AS rank_uniform FROM s""")
 def mixed_alpha(spark, sf):
-    d = X.mixed_alpha(bucket_preds(spark, sf))
+    d = X.mixed_alpha(scratch.cut_lineage(bucket_preds(spark, sf), "preds"))
     return d.select("tic", "bucket", "datadate", "alpha", cut(F.col("mixed_score")).alias("mixed_score"), "rank_mixed", cut(F.col("uniform_score")).alias("uniform_score"), "rank_uniform")
 
 
@@ -134,7 +134,7 @@ WITH t AS (SELECT *, row_number() OVER (PARTITION BY alpha, bucket, datadate ORD
 g AS (SELECT alpha, bucket, datadate, avg(y_return) AS m FROM t WHERE rn <= 5 GROUP BY 1, 2, 3), o AS (SELECT alpha, avg(m) AS top_avg FROM g GROUP BY 1)
 SELECT alpha, {qcut('top_avg')} AS top_avg, {qcut('(SELECT avg(y_return) FROM bucket_preds)')} AS proxy, {qcut('top_avg - (SELECT avg(y_return) FROM bucket_preds)')} AS excess FROM o""")
 def alpha_sensitivity(spark, sf):
-    d = X.alpha_sensitivity(X.dual_ensemble(bucket_preds(spark, sf)))
+    d = X.alpha_sensitivity(X.dual_ensemble(scratch.cut_lineage(bucket_preds(spark, sf), "preds")))
     return d.select("alpha", *(cut(F.col(c)).alias(c) for c in ("top_avg", "proxy", "excess")))
 
 
@@ -150,8 +150,8 @@ SELECT tic, date, close, z, CASE WHEN count(*) {_F4} = 4 THEN CAST(sum((z > 2.5)
   CASE WHEN count(*) {_F4} = 4 THEN coalesce(array_to_string(list(CAST(date AS VARCHAR)) FILTER (WHERE z > 2.5) {_F4}, ','), '') ELSE '' END AS trigger_dates FROM zs""")
 
 
-def weekly_z(spark, sf):
-    w = scratch.cut_lineage(T.weekly(spark, sf), "weekly")
+def weekly_z(spark, sf, daily=None):
+    w = scratch.cut_lineage(T.weekly(spark, sf, daily), "weekly")
     return z_of(scratch.cut_lineage(X.asset_scores(w, T.group_returns(w)), "scores"))
 
 
@@ -177,7 +177,8 @@ SELECT *, coalesce(z >= 3.5 AND ar > 1.5::DOUBLE * br AND ar > 0, false) AS stro
 
 @query("exception_strong_signal", f"SELECT tic, date, z, {qcut('ar')} AS asset_ret, {qcut('br')} AS bench_ret, strong, reason FROM strong")
 def exception_strong_signal(spark, sf):
-    d = X.exception_strong_signal(weekly_z(spark, sf), T.bench_weekly(spark, sf).select("date", "close")).drop("close")
+    daily = T.daily_panel(spark, sf)
+    d = X.exception_strong_signal(weekly_z(spark, sf, daily), T.bench_weekly(spark, sf, daily).select("date", "close")).drop("close")
     return d.select("tic", "date", "z", cut(F.col("asset_ret")).alias("asset_ret"), cut(F.col("bench_ret")).alias("bench_ret"), "strong", "reason")
 
 
@@ -186,8 +187,9 @@ WITH q AS (SELECT tic, date, mk.z, trigger_count, trigger_dates, trigger_count >
 SELECT tic, date, z, trigger_count, trigger_dates, strong, m OR strong AS qualifies,
   CASE WHEN m OR strong THEN row_number() OVER (PARTITION BY date, m OR strong ORDER BY z DESC, tic) END AS place FROM q""")
 def exception_candidates(spark, sf):
-    z = weekly_z(spark, sf)
-    d = X.exception_candidates(z, T.bench_weekly(spark, sf).select("date", "close"), P.membership(spark, sf))
+    daily = T.daily_panel(spark, sf)
+    z = weekly_z(spark, sf, daily)
+    d = X.exception_candidates(z, T.bench_weekly(spark, sf, daily).select("date", "close"), P.membership(spark, sf))
     d = _dates_text(d).withColumn("trigger_count", long(F.col("trigger_count")))
     return d.select("tic", "date", "z", "trigger_count", "trigger_dates", "strong", "qualifies", "place")
 

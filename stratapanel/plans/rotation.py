@@ -25,9 +25,14 @@ def week_ends(spark: SparkSession, sf: str) -> DataFrame:
     return C.week_end_dates(P.calendar(spark, sf))
 
 
-def weekly(spark: SparkSession, sf: str) -> DataFrame:
+def daily_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The smoothed daily panel, written once for all tables of a run that are derived from it."""
+    return cut_lineage(P.smooth(spark, sf), "daily")
+
+
+def weekly(spark: SparkSession, sf: str, daily: DataFrame | None = None) -> DataFrame:
     """Weekly calm closes and returns per ticker, with the ticker's sector."""
-    d = P.smooth(spark, sf)
+    d = daily_panel(spark, sf) if daily is None else daily
     m = A.week_map(d, week_ends(spark, sf))
     w = d.join(m, "date").groupBy("tic", "week_end").agg(F.max_by("close", "date").alias("close"))
     w = w.withColumnRenamed("week_end", "date")
@@ -36,15 +41,19 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
     return w.join(P.sectors(spark, sf), "tic")
 
 
-def index_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily index level, a second index (one sector) and a volatility index in percent."""
-    b = P.bench(spark, sf).withColumn("_r", F.col("close") / F.lag("close").over(R.whole()) - 1)
+def index_daily(spark: SparkSession, sf: str, daily: DataFrame | None = None) -> DataFrame:
+    """Daily index level, a second index (one sector) and a volatility index in percent.
+
+    A row for each day, written once: everything that hangs on the index reads these few rows.
+    """
+    daily = daily_panel(spark, sf) if daily is None else daily
+    b = P.bench(spark, sf, daily).withColumn("_r", F.col("close") / F.lag("close").over(R.whole()) - 1)
     vol = F.when(
         F.count("_r").over(R.whole().rowsBetween(-19, 0)) == 20,
         F.round(F.stddev_samp("_r").over(R.whole().rowsBetween(-19, 0)) * 100, 9),
     )
     second = (
-        P.smooth(spark, sf).join(P.sectors(spark, sf), "tic").filter(F.col("sector") == "ASIA")
+        daily.join(P.sectors(spark, sf), "tic").filter(F.col("sector") == "ASIA")
         .groupBy("date").agg((F.sum(F.floor(F.col("close") * 100)) / F.count("*") / 100).alias("qqq"))
     )
     d = b.select("date", F.col("close").alias("spx"), vol.alias("vix")).join(second, "date", "left")
@@ -52,8 +61,8 @@ def index_daily(spark: SparkSession, sf: str) -> DataFrame:
     return cut_lineage(d.withColumn("qqq", filled).filter(F.col("vix").isNotNull()), "index")
 
 
-def index_weekly(spark: SparkSession, sf: str) -> DataFrame:
-    d = index_daily(spark, sf)
+def index_weekly(spark: SparkSession, sf: str, index: DataFrame | None = None) -> DataFrame:
+    d = index_daily(spark, sf) if index is None else index
     m = A.week_map(d, week_ends(spark, sf))
     return d.join(m, "date").groupBy(F.col("week_end").alias("_w")).agg(
         F.max_by("spx", "date").alias("spx"), F.max_by("vix", "date").alias("vix")
@@ -64,29 +73,38 @@ def group_returns(w: DataFrame) -> DataFrame:
     return A.group_equal_weight_return(w, "sector").withColumn("ret", F.round("ret", 10))
 
 
-def bench_weekly(spark: SparkSession, sf: str) -> DataFrame:
-    d = P.bench(spark, sf)
+def bench_weekly(spark: SparkSession, sf: str, daily: DataFrame | None = None) -> DataFrame:
+    d = P.bench(spark, sf, daily)
     m = A.week_map(d, week_ends(spark, sf))
     b = d.join(m, "date").groupBy(F.col("week_end").alias("_w")).agg(F.max_by("close", "date").alias("close"))
     b = b.withColumnRenamed("_w", "date")
     return b.withColumn("ret", F.col("close") / F.lag("close").over(R.whole()) - 1)
 
 
-def regime_weekly(spark: SparkSession, sf: str) -> DataFrame:
-    return G.regime_mapping(G.slow_regime(index_weekly(spark, sf)))
+def regime_weekly(spark: SparkSession, sf: str, index: DataFrame | None = None) -> DataFrame:
+    return G.regime_mapping(G.slow_regime(index_weekly(spark, sf, index)))
 
 
 def decisions(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """The tables of one weekly decision run: regime, strength, scores, weights."""
-    # The weekly panel and the scores are read by several branches: each is written once.
-    w = cut_lineage(weekly(spark, sf), "weekly")
-    g = group_returns(w)
-    strength = X.rank_groups_select_active(A.group_strength(g, bench_weekly(spark, sf)))
+    """The tables of one weekly decision run: regime, strength, scores, weights.
+
+    The daily panel is built from raw trades once; the weekly table, the benchmark and the index
+    come from it, and the regime from the index.
+    """
+    daily = daily_panel(spark, sf)
+    w = cut_lineage(weekly(spark, sf, daily), "weekly")
+    g = cut_lineage(group_returns(w), "groups")
+    bench = cut_lineage(bench_weekly(spark, sf, daily), "bench")
+    index = index_daily(spark, sf, daily)
+    strength = X.rank_groups_select_active(A.group_strength(g, bench))
     scores = cut_lineage(X.asset_scores(w, g), "scores")
     active = strength.filter("is_active")
     top = X.top_n_per_group(scores, 3, active)
-    budget = B.risk_budget(regime_weekly(spark, sf))
-    return {"strength": strength, "scores": scores, "top": top, "budget": budget}
+    regime = regime_weekly(spark, sf, index)
+    return {
+        "strength": strength, "scores": scores, "top": top, "budget": B.risk_budget(regime),
+        "bench": bench, "index": index, "regime": regime,
+    }
 
 
 def weekly_rotation(spark: SparkSession, sf: str) -> DataFrame:

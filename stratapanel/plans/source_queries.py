@@ -123,7 +123,7 @@ def _payload_store(spark, sf):
         F.when(F.col("event_id") % 11 != 0, F.date_format("ts", "yyyy-MM-dd")).otherwise("unknown").alias("reportDate"),
         F.col("event_id").alias("seq"),
     )
-    return payloads.raw_payload_store(e, "provider", "events", F.col("event_type"), "seq", "2024-01-05", "2024-01-25")
+    return payloads.raw_payload_store(e, "provider", "events", F.col("event_type"), "reportDate", "seq", "2024-01-05", "2024-01-25")
 
 
 @query("raw_payload_store", """
@@ -225,7 +225,10 @@ def news_upsert_scan(spark, sf):
     return d.select("ticker", "published_datetime", "title", F.md5("body").alias("body_md5"), "doc_id", "published_date").orderBy(F.desc("published_datetime"))
 
 
-_STATS = ("lineitem", "orders", "customer", "supplier", "part", "events", "documents", "pages")
+_STATS = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 @query("storage_stats", " UNION ALL ".join(
@@ -240,7 +243,7 @@ SELECT sector, count(*) AS rows, count(DISTINCT tic) AS tickers, min(date) AS fi
 FROM prices JOIN sectors USING (tic) GROUP BY 1""")
 def sector_split_sink(spark, sf):
     path = scratch.new_path(spark, "sectors")
-    sinks.sector_split_sink(P.prices(spark, sf).join(P.sectors(spark, sf), "tic"), path, "sector", "tic")
+    sinks.sector_split_sink(P.prices(spark, sf).join(P.sectors(spark, sf), "tic"), path, "sector")
     return spark.read.parquet(path).groupBy("sector").agg(
         F.count("*").alias("rows"), F.count_distinct("tic").alias("tickers"), F.min("date").alias("first"),
         F.max("date").alias("last"), F.sum("volume").alias("volume"),
@@ -270,7 +273,7 @@ def weights_wide_export(spark, sf):
     by_date = w.groupBy("date").agg((1 - F.sum("weight")).alias("cash")).withColumn(
         "regime", F.when(F.month("date") % 2 == 0, "risk_on").otherwise("neutral")
     )
-    return sinks.weights_wide_export(w, by_date)
+    return sinks.weights_wide_export(w, by_date, _REGIONS)
 
 
 @query("schema_standardise", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratapanel.operators import regime as G
@@ -13,12 +14,30 @@ from stratapanel.sources import scratch
 from stratapanel.streaming import jobs
 
 
-def _as_stream(df, name, files=4, order=None):
-    """Write a table as files and read it as a stream."""
+def _as_stream(df, name, files=4, one_by_one=False):
+    """Write a table as files and read it as a stream; ``one_by_one`` makes a micro-batch of each file."""
     spark = df.sparkSession
     path = scratch.new_path(spark, name)
-    (df.repartition(files) if order is None else df.repartitionByRange(files, order)).write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    df.repartition(files).write.parquet(path)
+    reader = spark.readStream.schema(df.schema)
+    return (reader.option("maxFilesPerTrigger", 1) if one_by_one else reader).parquet(path)
+
+
+def _in_order(df, name, time, parts=3):
+    """A table as a stream of ``parts`` micro-batches in the order of a time column."""
+    spark = df.sparkSession
+    path = scratch.new_path(spark, name)
+    low, high = df.agg(F.min(time), F.max(time)).first()
+    edges = [low + (high - low) * i / parts for i in range(1, parts)]
+    place = sum((F.col(time) >= F.lit(e)).cast("int") for e in edges)
+    for i in range(parts):  # files are taken in the order they were written
+        df.filter(place == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _event_quotes(spark, sf):
+    e = P.table(spark, sf, "events")
+    return e.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("U"), F.col("user_id")).alias("tic"), F.col("value").alias("price"))
 
 
 def _quotes(spark, sf):
@@ -35,6 +54,27 @@ def stream_quote_bars(spark, sf):
     return bars.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("stream_sliding_bars", """
+WITH e AS (SELECT *, unnest([0, 1]) AS k FROM events),
+b AS (SELECT CAST(date_trunc('day', ts) - to_days(k) AS TIMESTAMP) AS start, 'U' || user_id AS tic, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS quotes FROM e GROUP BY 1, 2)
+SELECT * FROM b WHERE start + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_sliding_bars(spark, sf):
+    stream = _in_order(_event_quotes(spark, sf), "quotes", "ts")
+    bars = jobs.run_to_files(jobs.quote_bars(stream, "2 days", slide="1 day"), "sliding-bars")
+    return bars.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_quote_sessions", """
+WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 8 HOUR, true) AS fresh FROM events),
+s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
+b AS (SELECT min(ts) AS start, max(ts) + INTERVAL 8 HOUR AS "end", 'U' || user_id AS tic, count(*) AS quotes, max(value) AS high FROM s GROUP BY user_id, n)
+SELECT * FROM b WHERE "end" <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_quote_sessions(spark, sf):
+    stream = _in_order(_event_quotes(spark, sf), "quotes", "ts")
+    rows = jobs.run_to_files(jobs.quote_sessions(stream, "8 hours"), "sessions")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
 @query("stream_stop_loss", _STOPS + "SELECT b.tic, b.entry_date, b.date, kind, b.date + 21 AS cooldown_until FROM sg JOIN br b USING (tic, entry_date, rn)")
 def stream_stop_loss(spark, sf):
     p = positions(spark, sf).select("tic", "entry_date", "entry_price", "date", "close")
@@ -60,7 +100,7 @@ def stream_incremental_upsert(spark, sf):
 
 @query("stream_universe_events", ORACLES["set_difference"])
 def stream_universe_events(spark, sf):
-    m = P.membership(spark, sf).groupBy(F.lit("index").alias("universe"), F.col("snap_date").alias("date")).agg(
-        F.concat_ws(",", F.array_sort(F.collect_list("tic"))).alias("tics")
-    )
-    return jobs.run_to_files(jobs.universe_event_stream(_as_stream(m, "members", 1)), "events").drop("universe")
+    m = scratch.cut_lineage(P.membership(spark, sf).withColumnRenamed("snap_date", "date"), "members")
+    every = Window.orderBy("date")  # a row for each snapshot
+    dates = scratch.cut_lineage(m.select("date").distinct().withColumn("next", F.lead("date").over(every)), "snapshots")
+    return jobs.universe_event_stream(_as_stream(m, "member-stream", one_by_one=True), dates, "universe-events")

@@ -7,42 +7,25 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Column names tried, in this order, as the date of a payload row.
-DATE_COLUMNS = (
-    "date", "datadate", "reportdate", "reporteddate", "filingdate", "fillingdate",
-    "calendardate", "timestamp", "datetime",
-)
-
-
-def find_date_column(df: DataFrame) -> str | None:
-    lower = {c.lower(): c for c in df.columns}
-    for name in DATE_COLUMNS:
-        if name in lower:
-            return lower[name]
-    return next((c for c in df.columns if c.lower().endswith("date")), None)
-
-
 def raw_payload_store(
     df: DataFrame,
     source: str,
     payload: str,
     ticker: Column,
+    date: str,
     seq: str,
     start: str | None = None,
     end: str | None = None,
 ) -> DataFrame:
     """Payload rows as JSON, one per (source, payload, ticker, date), the last by ``seq``.
 
-    Rows whose date does not parse or lies outside the range are dropped.
+    ``date`` names the payload's date column, which its declared schema says. Rows whose date does not parse or lies outside the range are dropped.
     """
-    name = find_date_column(df)
-    if name is None:
-        raise ValueError("no date column")
     body = [c for c in df.columns if c != seq]
-    day = F.try_to_date(F.col(name).cast("string"))
+    day = F.try_to_date(F.col(date).cast("string"))
     rows = df.select(
         ticker.alias("ticker"), day.alias("date"), F.col(seq).alias("_seq"),
-        F.to_json(F.struct(*(F.date_format(day, "yyyy-MM-dd").alias(c) if c == name else F.col(c) for c in body))).alias("row_json"),
+        F.to_json(F.struct(*(F.date_format(day, "yyyy-MM-dd").alias(c) if c == date else F.col(c) for c in body))).alias("row_json"),
     ).filter(F.col("date").isNotNull())
     if start is not None:
         rows = rows.filter(F.col("date") >= F.lit(start).cast("date"))

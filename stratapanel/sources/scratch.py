@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: dict[str, str] = {}
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only for local masters."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="stratapanel-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    """This application's working folder, on a file system that every executor reaches.
+
+    It lies in the folder named by ``spark.checkpoint.dir``, else in the warehouse folder, and goes
+    when the application ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = f"{base.rstrip('/')}/stratapanel-{spark.sparkContext.applicationId}"
+    if root not in _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _folders[root] = fs.makeQualified(path).toString()
+    return _folders[root]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, never used before."""
+    """A fresh path below the working folder, never used before."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+    """Write a table to the working folder and read it back.
 
     Iterative and many-branched plans restart from the files after an executor is lost, and
     every branch sees the same rows.

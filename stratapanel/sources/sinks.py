@@ -7,29 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratapanel.sources.scratch import cut_lineage
 
-def sector_split_sink(df: DataFrame, path: str, sector: str, spread: str, fan_out: int = 8) -> None:
-    """One output folder per sector. A big sector is written by ``fan_out`` tasks."""
-    salt = F.pmod(F.xxhash64(spread), F.lit(fan_out))
-    df.repartition(F.col(sector), salt).write.partitionBy(sector).parquet(path)
+
+def sector_split_sink(df: DataFrame, path: str, sector: str) -> None:
+    """One output folder per sector. Spark splits big sectors over as many tasks as their bytes ask for."""
+    df.hint("rebalance", sector).write.partitionBy(sector).parquet(path)
 
 
 def prediction_sinks(df: DataFrame, path: str, tag: str, formats: Sequence[str] = ("parquet",)) -> None:
-    """Write a result table once per format, one folder per trade tag."""
+    """Write a result table once per format, one folder per trade tag.
+
+    The result is computed once: the first format is written from ``df``, the others from a
+    written table.
+    """
+    if len(formats) > 1:
+        df = cut_lineage(df, "predictions")
+    df = df.hint("rebalance", tag)
     for fmt in formats:
         out = df.write.partitionBy(tag).mode("append").format(fmt)
         (out.option("header", True) if fmt == "csv" else out).save(f"{path}/{fmt}")
 
 
-def weights_wide_export(
-    weights: DataFrame, by_date: DataFrame, symbols: Sequence[str] | None = None
-) -> DataFrame:
+def weights_wide_export(weights: DataFrame, by_date: DataFrame, symbols: Sequence[str]) -> DataFrame:
     """One row per date, one column per symbol (0 where not held), cash and regime.
 
-    Without ``symbols`` the columns are all symbols ever held; the list is read once on the
-    driver, since a column list is part of the plan.
+    The symbols are the file's columns, hence part of the plan, and named by the caller; weights of other
+    symbols are not in the file.
     """
-    if symbols is None:
-        symbols = sorted(r[0] for r in weights.select("symbol").distinct().collect())
     wide = weights.groupBy("date").pivot("symbol", list(symbols)).agg(F.sum("weight"))
     return by_date.join(wide, "date", "left").na.fill(0.0, subset=list(symbols))

@@ -1,6 +1,6 @@
 """Structured Streaming jobs: quote bars, stops, overlay, incremental upsert, universe events.
 
-State is keyed (position, index, universe), small per key, and lives in the state store; sinks
+State is keyed (position, index, ticker), small per key, and lives in the state store; sinks
 are file sinks or idempotent ``foreachBatch`` writes under the shared folder.
 """
 
@@ -118,10 +118,12 @@ def incremental_upsert(stream: DataFrame, keys: list[str], seq: str, name: str)
     rest = [c for c in stream.columns if c not in keys]
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read for the rows and for the log
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(*keys, "r.*")
         last.write.mode("overwrite").parquet(f"{rows}/batch={batch_id}")
         span = batch.groupBy("tic").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("rows"))
         span.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        batch.unpersist()
 
     q = (
         stream.writeStream.foreachBatch(write)
@@ -138,26 +140,32 @@ def resolve_upserts(spark: SparkSession, path: str, keys: list[str], seq: str) -
     return d.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(seq, "batch")).alias("r")).select(*keys, "r.*")
 
 
-def universe_event_stream(members: DataFrame) -> DataFrame:
-    """IN and OUT events of a stream of membership rows; state is the last date and its members.
+def universe_event_stream(members: DataFrame, dates: DataFrame, name: str) -> DataFrame:
+    """IN and OUT events of a stream of membership rows, keyed by (date, ticker).
 
-    ``members(universe, date, tics)`` with the whole member list of a date in one row, dates in order. A
-    universe is an index of bounded size.
+    ``members(date, tic)`` is the stream; ``dates(date, next)`` the short table of snapshot dates, each with
+    the one after it. A member is present at its date and due at the next one; present but not due means IN,
+    due but not present OUT. Rows may come in any order and be spread over batches: flags only go up, so
+    each batch writes its groups to a folder of its own (again if it runs again) and the result takes the
+    maximum.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("date")
-        before = set(state.get[0].split(",")) if state.exists else None
-        out = []
-        for day, tics in zip(rows["date"], rows["tics"]):
-            now = set(tics.split(","))
-            if before is not None:
-                out += [(key[0], day, t, "IN") for t in sorted(now - before)]
-                out += [(key[0], day, t, "OUT") for t in sorted(before - now)]
-            before = now
-        state.update((",".join(sorted(before)),))
-        yield pd.DataFrame(out, columns=["universe", "date", "tic", "event"])
-
-    return members.groupBy("universe").applyInPandasWithState(
-        step, "universe string, date date, tic string, event string", "members string", "append", GroupStateTimeout.NoTimeout
+    spark = members.sparkSession
+    out, check = scratch.new_path(spark, name), scratch.new_path(spark, f"{name}-checkpoint")
+    facts = F.array(
+        F.struct(F.col("date"), F.lit(1).alias("present"), F.lit(0).alias("due")),
+        F.struct(F.col("next").alias("date"), F.lit(0).alias("present"), F.lit(1).alias("due")),
+    )
+    rows = members.join(dates, "date").select("tic", F.explode(facts).alias("f")).select("tic", "f.*")
+    flags = rows.filter(F.col("date").isNotNull()).groupBy("date", "tic").agg(
+        F.max("present").alias("present"), F.max("due").alias("due")
     )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = flags.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", check)
+    q.trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.parquet(out).groupBy("date", "tic").agg(F.max("present").alias("present"), F.max("due").alias("due"))
+    known = seen.join(dates.select(F.col("next").alias("date")), "date", "left_semi")  # the first snapshot has no events
+    event = F.when((F.col("present") == 1) & (F.col("due") == 0), "IN").when(F.col("present") == 0, "OUT")
+    return known.select("date", "tic", event.alias("event")).filter(F.col("event").isNotNull())

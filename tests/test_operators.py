@@ -127,10 +127,57 @@ def test_step_weights_by_hand(spark):
     s = spark.createDataFrame(rows, "date date, ord long, tic string, signal int, in_universe boolean, is_rebalance boolean")
     out = B.step_weights(s, [{"name": "p", "cooling": 2, "max_weight": 0.2}]).collect()
     got = {(r["tic"], r["date"].day): (round(r["weight"], 6), r["action"]) for r in out}
-    assert got[("A", 1)] == (0.2, "OPEN_LONG") and got[("A", 3)] == (0.0, "CLOSE")
-    assert ("A", 4) not in got  # still quiet
-    assert got[("A", 5)] == (0.2, "OPEN_LONG")
-    assert got[("B", 2)] == (-0.2, "FLIP") and got[("B", 4)] == (-0.2, "HOLD") and got[("B", 5)] == (0.0, "CLOSE")
+    assert got == {
+        ("A", 1): (0.2, "OPEN_LONG"), ("A", 2): (0.2, "HOLD"),
+        ("A", 5): (0.2, "OPEN_LONG"),  # stopped on day 3, quiet on day 4
+        ("B", 1): (0.2, "OPEN_LONG"), ("B", 2): (-0.2, "FLIP"), ("B", 3): (-0.2, "HOLD"),
+    }
+    small = B.step_weights(s, [{"name": "p", "max_weight": 0.4, "gross": 0.5, "max_positions": 1, "allow_short": False}])
+    assert {(r["tic"], r["date"].day, round(r["weight"], 6)) for r in small.collect()} == {("A", k, 0.4) for k in (1, 2, 4, 5)}
+
+
+def test_min_variance_meets_the_optimality_conditions():
+    rng = np.random.default_rng(5)
+    for k in (1, 2, 3, 8, 40):
+        for rows in (3, k + 5):
+            x = rng.normal(size=(rows, k)) * rng.uniform(0.1, 2, k)
+            cov = np.atleast_2d(np.cov(x, rowvar=False))
+            w = B._min_variance(cov)
+            assert (w >= 0).all() and math.isclose(w.sum(), 1.0, abs_tol=1e-9)
+            # at the optimum no name has a lower marginal variance than the held ones
+            slope = cov @ w
+            assert slope.min() >= w @ slope - 1e-6 * max(np.trace(cov) / k, 1e-12)
+    assert B._min_variance(np.zeros((3, 3))).tolist() == [1 / 3] * 3
+    two = B._min_variance(np.array([[0.04, 0.01], [0.01, 0.09]]))
+    assert math.isclose(two[0], (0.09 - 0.01) / (0.04 + 0.09 - 0.02), rel_tol=1e-6)  # closed form
+
+
+def test_walk_forward_tells_what_failed(spark):
+    rows = [(d("2024-01-01") + dt.timedelta(days=i), k, float(i)) for i in range(30) for k in ("x", "y")]
+    data = spark.createDataFrame(rows, "date date, name string, v double")
+    dates = data.select("date").distinct()
+    periods = Q.walk_forward_periods(dates, dates, 20, "rolling", 5)
+
+    def shaky(key, part):
+        if key[1] == "y" and key[0].day == 25:
+            raise ValueError("bad day")
+        return pd.DataFrame({"decision_date": [key[0]], "name": [key[1]], "m": [part["v"].mean()]})
+
+    got = Q.walk_forward_run(periods, data, shaky, "decision_date date, name string, m double", by=["name"]).collect()
+    assert len(got) == 19 + 2 * 11
+    bad = [r for r in got if r["error"] and "bad day" in r["error"]]
+    assert [(r["decision_date"].day, r["name"], r["m"]) for r in bad] == [(25, "y", None)]
+    assert sum(r["error"] == "not enough data before" for r in got) == 19
+    assert all(r["m"] is not None for r in got if r["error"] is None)
+
+
+def test_first_rank_spreads_ties_by_the_tie_break(spark):
+    rows = [("g", f"S{i}", float(i % 3 - 1)) for i in range(300)] + [("g", "none", None)]
+    df = spark.createDataFrame(rows, "g string, tic string, v double")
+    got = {r["tic"]: r["rank"] for r in grouped_rank(df, ["g"], "v", method="first", tie_break=["tic"]).collect()}
+    order = sorted((r for r in rows if r[2] is not None), key=lambda r: (-r[2], r[1]))
+    assert got.pop("none") is None
+    assert got == {r[1]: i + 1 for i, r in enumerate(order)}
 
 
 def test_asof_bucketed_equals_plain(spark):
