@@ -10,12 +10,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratapanel.sources.scratch import cut_lineage
+
+#: Fits that are submitted at a time; each is a distributed job of its own.
+AT_ONCE = 4
 KEYS = ("tic", "datadate")
 
 
@@ -32,28 +38,40 @@ def split_val_quarters(df: DataFrame, cutoff: str, n: int = 3) -> DataFrame:
     return df.join(quarters, "datadate", "left").withColumn("role", role).drop("_q")
 
 
-def candidate_models(rows: int, trees: int = 20, depth: int = 5, seed: int = 42) -> dict:
+def candidate_models(
+    rows: int, trees: int = 200, depth: int = 8, rounds: int = 200, boosted_depth: int = 3, seed: int = 42
+) -> dict:
     """Forest, boosted trees and ridge over standardised features.
 
-    The ridge penalty is 1 on the summed squared error, hence 1 / rows here.
+    The sizes are those of the models this stands in for; smaller ones are the caller's choice. The
+    ridge penalty is 1 on the summed squared error, hence 1 / rows here.
     """
     common = {"featuresCol": "scaled", "labelCol": "y_return"}
     return {
         "forest": RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, **common),
-        "boosted": GBTRegressor(maxIter=trees // 2, maxDepth=3, stepSize=0.1, seed=seed, **common),
+        "boosted": GBTRegressor(maxIter=rounds, maxDepth=boosted_depth, stepSize=0.1, seed=seed, **common),
         "ridge": LinearRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, **common),
     }
 
 
 def fit(train: DataFrame, features: Sequence[str], model) -> PipelineModel:
+    """Impute with the medians of the training rows, standardise, fit. No row is left out."""
+    filled = [f"{f}_filled" for f in features]
     stages = [
-        VectorAssembler(inputCols=list(features), outputCol="raw"),
+        Imputer(inputCols=list(features), outputCols=filled, strategy="median"),
+        VectorAssembler(inputCols=filled, outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
         model,
     ]
     return Pipeline(stages=stages).fit(train)
 
 
+def known_features(train: DataFrame, features: Sequence[str]) -> list[str]:
+    """Features with at least one value among the training rows; the others have no median."""
+    seen = train.agg(*(F.count(f).alias(f) for f in features)).first()
+    return [f for f in features if seen[f]]
+
+
 def predict(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
     return model.transform(df).select(*KEYS, "y_return", F.lit(name).alias("model"), F.col("prediction").alias("pred"))
 
@@ -70,29 +88,36 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def run_models(df: DataFrame, features: Sequence[str], cutoff: str, val_quarters: int = 3, min_train: int = 20, bucket: str = "all"):
+def run_models(
+    df: DataFrame, features: Sequence[str], cutoff: str, val_quarters: int = 3, min_train: int = 20, bucket: str = "all",
+    sizes_of: Mapping[str, int] | None = None,
+):
     """Fit, validate, refit on train and validation rows, predict the rest.
 
-    Returns (long predictions, model rows, importance rows) or None without enough data.
+    Returns (long predictions, model rows, importance rows) or None without enough data. ``sizes_of`` sets
+    the sizes of ``candidate_models``.
     """
-    d = split_val_quarters(df, cutoff, val_quarters).dropna(subset=list(features)).cache()
+    d = split_val_quarters(df, cutoff, val_quarters).cache()
     sizes = {r["role"]: r["count"] for r in d.groupBy("role").count().collect()}
     if sizes.get("train", 0) < min_train or not sizes.get("infer", 0):
         d.unpersist()
         return None
     train, val, infer = (d.filter(F.col("role") == r) for r in ("train", "val", "infer"))
+    features = known_features(train, features)
     full = d.filter(F.col("role").isin("train", "val"))
     rows = []
-    for name, m in candidate_models(sizes["train"]).items():
+    for name, m in candidate_models(sizes["train"], **(sizes_of or {})).items():
         err = mse(predict(fit(train, features, m), val, name))
         rows.append((bucket, name, round(err, 6) if err is not None else None, sizes["train"], sizes.get("val", 0), sizes["infer"]))
     best = min((r for r in rows if r[2] is not None), key=lambda r: r[2], default=rows[0])[1]
     parts, importance = [], []
-    for name, m in candidate_models(sizes["train"] + sizes.get("val", 0)).items():
+    for name, m in candidate_models(sizes["train"] + sizes.get("val", 0), **(sizes_of or {})).items():
         fitted = fit(full, features, m)
         parts.append(predict(fitted, infer, name))
         importance += [(bucket, name, name == best, f, v) for f, v in importances(fitted, features)]
-    return _union(parts).withColumn("bucket", F.lit(bucket)), rows, importance
+    preds = cut_lineage(_union(parts).withColumn("bucket", F.lit(bucket)), "predictions")
+    d.unpersist()
+    return preds, rows, importance
 
 
 MODEL_SCHEMA = "bucket string, model string, val_mse double, train_size long, val_size long, infer_size long"
@@ -111,8 +136,11 @@ def importances(fitted: PipelineModel, features: Sequence[str]) -> list[tuple[st
 
 def bucket_models(df: DataFrame, features: Sequence[str], buckets: Sequence[str], cutoff: str, **kw):
     """``run_models`` for each bucket: (predictions, models, importances) as tables."""
-    runs = [run_models(df.filter(F.col("bucket") == b).drop("bucket"), features, cutoff, bucket=b, **kw) for b in buckets]
-    runs = [r for r in runs if r]
+    def one(b: str):
+        return run_models(df.filter(F.col("bucket") == b).drop("bucket"), features, cutoff, bucket=b, **kw)
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:  # buckets do not depend on each other
+        runs = [r for r in pool.map(one, buckets) if r]
     if not runs:
         raise ValueError("no bucket has enough rows")
     spark = df.sparkSession
@@ -140,12 +168,16 @@ def inverse_mse_ensemble(preds: DataFrame, models: DataFrame) -> DataFrame:
     return d.groupBy("bucket", *KEYS).agg(F.try_divide(F.sum(F.col("_w") * F.col("pred")), F.sum("_w")).alias("ensemble"))
 
 
-def stacking(df: DataFrame, features: Sequence[str], cutoff: str, folds: int = 3, names: Sequence[str] = ("forest", "boosted", "ridge")) -> DataFrame:
+def stacking(
+    df: DataFrame, features: Sequence[str], cutoff: str, folds: int = 3, names: Sequence[str] = ("forest", "boosted", "ridge"),
+    sizes_of: Mapping[str, int] | None = None,
+) -> DataFrame:
     """Ridge over out-of-fold predictions of the base models, applied to the inferred rows.
 
     A row's fold comes from a hash of its key, so it is the same on every run.
     """
-    d = split_val_quarters(df, cutoff).dropna(subset=list(features))
+    d = split_val_quarters(df, cutoff)
+    features = known_features(d.filter(F.col("role") == "train"), features)
     fold = F.pmod(F.xxhash64(*KEYS), F.lit(folds))
     full = d.filter(F.col("role").isin("train", "val")).withColumn("_fold", fold).cache()
     infer = d.filter(F.col("role") == "infer")
@@ -155,7 +187,7 @@ def stacking(df: DataFrame, features: Sequence[str], cutoff: str, folds: int = 3
         p = _union(parts).groupBy(*KEYS).pivot("model", list(names)).agg(F.first("pred"))
         return p
 
-    base = candidate_models(n)
+    base = candidate_models(n, **(sizes_of or {}))
     oof = [
         predict(fit(full.filter(F.col("_fold") != k), features, base[m]), full.filter(F.col("_fold") == k), m)
         for m in names for k in range(folds)
@@ -165,43 +197,75 @@ def stacking(df: DataFrame, features: Sequence[str], cutoff: str, folds: int = 3
         VectorAssembler(inputCols=list(names), outputCol="scaled"), candidate_models(n)["ridge"],
     ]).fit(top)
     new = wide([predict(fit(full, features, base[m]), infer, m) for m in names])
-    return final.transform(new).select(*KEYS, F.col("prediction").alias("pred"))
+    out = cut_lineage(final.transform(new).select(*KEYS, F.col("prediction").alias("pred")), "stacked")
+    full.unpersist()
+    return out
 
 
-def rolling_train_single(df: DataFrame, features: Sequence[str], trade: str, test_quarters: int = 4, names: Sequence[str] = ("ridge", "forest")) -> DataFrame | None:
+def rolling_train_single(
+    df: DataFrame, features: Sequence[str], trade: str, test_quarters: int = 4, train_quarters: int | None = None,
+    names: Sequence[str] = ("ridge", "forest", "boosted"), sizes_of: Mapping[str, int] | None = None,
+    quarters: Sequence[str] | None = None,
+) -> DataFrame | None:
     """Train before the last test quarters, validate on them, predict the trade quarter.
 
-    Returns the best model's predictions with its name and error, or None without enough rows.
+    Windows count the quarters that there are: the ``test_quarters`` before the trade quarter test, the
+    ``train_quarters`` before those (all, if None) train. ``quarters`` is the list of the table's
+    quarter ends, read if not given. Returns the predictions of the model with the least error (on the test
+    rows, else the training rows) with its name, its error and the errors of all candidates, or None
+    without enough rows.
     """
-    day = F.lit(trade).cast("date")
-    d = df.filter(F.col("datadate") <= day).dropna(subset=list(features)).cache()
-    first_test = F.add_months(day, -3 * test_quarters)
+    if quarters is None:
+        quarters = [str(r[0]) for r in df.select("datadate").distinct().orderBy("datadate").collect()]
+    before = [q for q in quarters if q < trade]
+    cut = max(len(before) - test_quarters, 0)
+    begin = 0 if train_quarters is None else max(cut - train_quarters, 0)
+    if trade not in quarters or not before[begin:cut]:
+        return None
+
+    def among(qs: Sequence[str]):
+        return F.col("datadate").between(F.lit(qs[0]).cast("date"), F.lit(qs[-1]).cast("date"))
+
+    d = df.filter(among([before[begin], trade])).cache()
     known = d.filter(F.col("y_return").isNotNull())
-    train = known.filter(F.last_day("datadate") < F.last_day(first_test))
-    test = known.filter((F.last_day("datadate") >= F.last_day(first_test)) & (F.col("datadate") < day))
-    now = d.filter(F.col("datadate") == day)
+    train = known.filter(among(before[begin:cut]))
+    test = known.filter(among(before[cut:])) if before[cut:] else known.filter("false")
+    now = d.filter(F.col("datadate") == F.lit(trade).cast("date"))
     n = train.count()
     if n < 10 or now.isEmpty():
         d.unpersist()
         return None
-    models = candidate_models(n)
-    fitted = {m: fit(train, features, models[m]) for m in names}
-    errors = {}
-    for m, f in fitted.items():
-        on_test = mse(predict(f, test, m))
-        errors[m] = mse(predict(f, train, m)) if on_test is None else on_test
+    features = known_features(train, features)
+    models = candidate_models(n, **(sizes_of or {}))
+    fitted, errors = {}, {}
+    for m in names:
+        fitted[m] = fit(train, features, models[m])
+        on_test = mse(predict(fitted[m], test, m))
+        errors[m] = mse(predict(fitted[m], train, m)) if on_test is None else on_test
     best = min(errors, key=lambda m: math.inf if errors[m] is None else errors[m])
-    return predict(fitted[best], now, best).withColumn("model_mse", F.lit(errors[best]))
+    every = F.create_map(*(F.lit(x) for m in names for x in (m, errors[m])))
+    out = predict(fitted[best], now, best).withColumns({"model_mse": F.lit(errors[best]), "model_errors": every})
+    out = cut_lineage(out, "rolling")
+    d.unpersist()
+    return out
+
+
+def rolling_train_all(
+    df: DataFrame, features: Sequence[str], trades: Sequence[str], train_quarters: int = 16, test_quarters: int = 4, **kw
+) -> DataFrame:
+    """``rolling_train_single`` for every trade quarter on its own window of quarters.
+
+    Quarters do not depend on each other, so a few are fitted at a time.
+    """
+    quarters = [str(r[0]) for r in df.select("datadate").distinct().orderBy("datadate").collect()]
 
+    def one(t: str) -> DataFrame | None:
+        return rolling_train_single(df, features, t, test_quarters, train_quarters, quarters=quarters, **kw)
 
-def rolling_train_all(df: DataFrame, features: Sequence[str], trades: Sequence[str], train_quarters: int = 16, test_quarters: int = 4, **kw) -> DataFrame:
-    """``rolling_train_single`` for every trade quarter on its own window of quarters."""
-    parts = []
-    for t in trades:
-        start = F.last_day(F.add_months(F.lit(t).cast("date"), -3 * (train_quarters + test_quarters)))
-        p = rolling_train_single(df.filter(F.col("datadate") >= start), features, t, test_quarters, **kw)
-        if p is not None:
-            parts.append(p)
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        parts = [p for p in pool.map(one, trades) if p is not None]
+    if not parts:
+        raise ValueError("no quarter has enough rows")
     return _union(parts)
 
 

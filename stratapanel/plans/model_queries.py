@@ -19,6 +19,8 @@ from stratapanel.sources import scratch
 
 CUTOFF = "2000-12-31"
 FEATURES = ("revenue", "net_revenue", "shares", "price", "pred", "pred2")
+# The panel has a few thousand rows and six factors; small models do for it.
+SIZES = {"trees": 20, "depth": 5, "rounds": 10}
 
 
 def dataset(spark, sf):
@@ -34,26 +36,26 @@ def split_val_quarters(spark, sf):
 
 @query("bucket_models")
 def bucket_models(spark, sf):
-    p, m, _ = M.bucket_models(dataset(spark, sf), FEATURES, X.BUCKETS, CUTOFF)
+    p, m, _ = M.bucket_models(dataset(spark, sf), FEATURES, X.BUCKETS, CUTOFF, sizes_of=SIZES)
     return M.best_predictions(p, m)
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    return M.rank_importance(M.bucket_models(dataset(spark, sf), FEATURES, X.BUCKETS, CUTOFF)[2])
+    return M.rank_importance(M.bucket_models(dataset(spark, sf), FEATURES, X.BUCKETS, CUTOFF, sizes_of=SIZES)[2])
 
 
 @query("unified_model")
 def unified_model(spark, sf):
     d = dataset(spark, sf)
-    p, m, _ = M.bucket_models(d.withColumn("bucket", F.lit("unified")), FEATURES, ["unified"], CUTOFF)
+    p, m, _ = M.bucket_models(d.withColumn("bucket", F.lit("unified")), FEATURES, ["unified"], CUTOFF, sizes_of=SIZES)
     best = M.best_predictions(p, m)
     return X.rank_within_bucket(best, "pred", ["datadate"], "rank")
 
 
 @query("stacking")
 def stacking(spark, sf):
-    return M.stacking(dataset(spark, sf), FEATURES, CUTOFF)
+    return M.stacking(dataset(spark, sf), FEATURES, CUTOFF, sizes_of=SIZES)
 
 
 @query("inverse_mse_ensemble", f"""
@@ -85,13 +87,15 @@ def _trade_quarters(d, train=16, test=4):
 @query("rolling_train_single")
 def rolling_train_single(spark, sf):
     d = dataset(spark, sf)
-    return M.rolling_train_single(d, FEATURES, _quarters(d)[-1])
+    p = M.rolling_train_single(d, FEATURES, _quarters(d)[-1], sizes_of=SIZES)
+    return p.withColumn("model_errors", F.to_json("model_errors"))
 
 
 @query("rolling_train_all")
 def rolling_train_all(spark, sf):
     d = dataset(spark, sf)
-    return M.rolling_train_all(d, FEATURES, _trade_quarters(d), names=("ridge",))
+    p = M.rolling_train_all(d, FEATURES, _trade_quarters(d), names=("ridge",))
+    return p.withColumn("model_errors", F.to_json("model_errors"))
 
 
 @query("strategy_weights")
@@ -105,10 +109,12 @@ def strategy_weights(spark, sf):
 @query("sector_neutral_weights")
 def sector_neutral_weights(spark, sf):
     d = dataset(spark, sf)
-    last = _quarters(d)[-1]
     names = [r[0] for r in d.select("sector").distinct().orderBy("sector").collect()]
-    parts = [M.rolling_train_single(d.filter(F.col("sector") == s), FEATURES, last, names=("ridge",)) for s in names]
-    parts = [p.withColumn("sector", F.lit(s)) for p, s in zip(parts, names) if p is not None]
+    parts = []
+    for s in names:  # the sector list is short: one model family for each
+        own = d.filter(F.col("sector") == s)
+        if own.count() >= 20:
+            parts.append(M.rolling_train_all(own, FEATURES, _trade_quarters(d), names=("ridge",)).withColumn("sector", F.lit(s)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

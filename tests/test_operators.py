@@ -240,3 +240,25 @@ def test_stop_stream_over_batches_equals_batch(spark):
         q.awaitTermination()
     got = sorted((str(r["date"]), r["kind"]) for r in spark.read.parquet(out).collect())
     assert got == sorted((str(r["date"]), r["kind"]) for r in B.stop_loss(df).collect())
+
+
+def test_rolling_models_impute_and_tell_all_errors(spark):
+    from stratapanel.operators import models as M
+
+    rng = random.Random(4)
+    ends = [x.date() for x in pd.date_range("2020-03-31", periods=12, freq="QE") if x.month != 9]  # quarters are missing
+    rows = []
+    for q in ends:
+        for i in range(12):
+            x, z = rng.random(), rng.random()
+            rows.append((f"T{i}", q, x if i else None, z, None if q == ends[-1] else 2 * x - z))
+    df = spark.createDataFrame(rows, "tic string, datadate date, x double, z double, y_return double")
+    sizes = {"trees": 3, "depth": 2, "rounds": 2}
+    got = M.rolling_train_single(df, ["x", "z"], str(ends[-1]), 2, 3, sizes_of=sizes).collect()
+    assert len(got) == 12  # the row without a factor is predicted too
+    assert {r["model"] for r in got} == {"ridge"}
+    errors = got[0]["model_errors"]
+    assert set(errors) == {"ridge", "forest", "boosted"} and min(errors.values()) == got[0]["model_mse"]
+    every = M.rolling_train_all(df, ["x", "z"], [str(q) for q in ends[4:]], 3, 1, names=("ridge",)).collect()
+    assert len(every) == 12 * len(ends[4:])
+    assert M.rolling_train_single(df, ["x", "z"], str(ends[0]), 2) is None
