@@ -20,7 +20,11 @@ WINDOW = 3
 #: Anchors kept in a fingerprint: the smallest hashes, a uniform sample of a text's anchors. Texts
 #: with fewer anchors are held whole.
 SKETCH = 128
-_LOW_32 = 0xFFFFFFFF
+
+
+def _mark(*parts: Column) -> Column:
+    """32 bits of a hash."""
+    return F.shiftright(F.xxhash64(*parts), 32).cast("int")
 
 
 def anchors(hashes: Column, k: int = WINDOW) -> Column:
@@ -32,13 +36,11 @@ def anchors(hashes: Column, k: int = WINDOW) -> Column:
     def window(x: Column, i: Column) -> Column:
         parts = [x, *(F.get(hashes, i + j) for j in range(1, k))]
         closed = F.least(parts[0], parts[-1]) <= F.least(*parts)
-        mark = F.struct(i.alias("pos"), F.xxhash64(*parts).bitwiseAND(F.lit(_LOW_32)).alias("hash"))
+        mark = F.struct(i.alias("pos"), _mark(*parts).alias("hash"))
         return F.when((i <= F.size(hashes) - k) & closed, mark)
 
-    short = F.array(
-        F.struct(F.lit(0).alias("pos"), F.xxhash64(hashes).bitwiseAND(F.lit(_LOW_32)).alias("hash"))
-    )
-    none = F.array().cast("array<struct<pos:int,hash:bigint>>")
+    short = F.array(F.struct(F.lit(0).alias("pos"), _mark(hashes).alias("hash")))
+    none = F.array().cast("array<struct<pos:int,hash:int>>")
     return (
         F.when(F.size(hashes) == 0, none)
         .when(F.size(hashes) < k, short)
@@ -72,28 +74,28 @@ def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
 
 def digest(sketch: Column) -> Column:
     """A sketch as text: eight hex digits for each anchor."""
-    return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+    unsigned = F.transform(sketch, lambda h: h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.array_join(F.transform(unsigned, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
 
 
 def followers(keys: DataFrame) -> DataFrame:
-    """For each row of (doc_id, text_hash, n_chars) the row before it by descending doc_id.
+    """For each row of (doc_id, id, text_hash, n_chars) the row before it by descending doc_id.
 
     The row before the first one is the last one. Sorted by range partitions; a partition's first
     row gets its predecessor from a table with one row for each partition. Rows that agree in
-    doc_id and text count once; different texts under one doc_id go by text hash; null ids last.
-    Returns doc_id, text_hash, before_id, before_hash, before_chars.
+    id and text count once; different texts under one doc_id go by text hash; null ids last.
+    Returns doc_id, id, text_hash, before_id, before_hash, before_chars.
     """
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text_hash")]
     ranged = keys.distinct().repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
     ranged = cut_lineage(ranged, "doc-order")
-    me = F.struct("doc_id", "text_hash", "n_chars")
+    me = F.struct("id", "text_hash", "n_chars")
     w = Window.partitionBy("part").orderBy(*order)
     numbered = ranged.select("*", F.row_number().over(w).alias("row"), F.lag(me).over(w).alias("before"))
     by_part = Window.orderBy("part")
-    ends = ranged.select("part", me.alias("me")).groupBy("part").agg(
-        F.max_by("me", F.struct(F.col("me.doc_id").isNull(), F.bitwise_not("me.doc_id"), F.col("me.text_hash"))).alias("last")
-    ).select(
+    place = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), F.col("text_hash"))
+    ends = ranged.groupBy("part").agg(F.max_by(me, place).alias("last")).select(
         F.col("part").alias("end_part"),
         F.coalesce(
             F.lag("last").over(by_part),
@@ -103,7 +105,7 @@ def followers(keys: DataFrame) -> DataFrame:
     joined = numbered.join(ends, F.col("part") == F.col("end_part"), "left")
     before = F.when(F.col("row") == 1, F.col("end_before")).otherwise(F.col("before"))
     return joined.withColumn("b", before).select(
-        "doc_id", "text_hash", F.col("b.doc_id").alias("before_id"),
+        "doc_id", "id", "text_hash", F.col("b.id").alias("before_id"),
         F.col("b.text_hash").alias("before_hash"), F.col("b.n_chars").alias("before_chars"),
     )
 
@@ -114,34 +116,34 @@ def edit_comparison(docs: DataFrame, size: int = SKETCH, k: int = WINDOW) -> Dat
     The edited text of a document has its last floor(n_chars / 2) code points replaced by the first
     as many of the next document's text (by descending doc_id, round to the first), or by all of
     it. A null text is an empty one. Repeated rows are all returned. A sole document is
-    its own next one. Whole texts are shuffled once; what a document gives to the one before it
-    (a piece of text and a sketch) is a second, smaller shuffle.
+    its own next one. Whole texts are shuffled once (both joins use the same exchange); what a document
+    gives to the one before it, a piece of text and a sketch, is a second, smaller shuffle.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next, n_anchors_kept.
     """
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    docs = docs.withColumns(
-        {"text_hash": F.xxhash64("text"), "n_chars": F.char_length("text").cast("long")}
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # a row is known by two numbers without nulls; whether its doc_id is null goes into the hash
+    keyed = docs.select(
+        "doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"),
+        F.xxhash64(text, F.col("doc_id").isNull()).alias("text_hash"), text.alias("text"),
     )
-    links = followers(docs.select("doc_id", "text_hash", "n_chars"))
-    links = links.withColumnsRenamed({"doc_id": "link_id", "text_hash": "link_hash"})
-    placed = docs.join(
-        links, F.col("doc_id").eqNullSafe(F.col("link_id")) & (F.col("text_hash") == F.col("link_hash"))
-    ).drop("link_id", "link_hash")
+    n_chars = F.char_length("text").cast("long")
+    links = followers(keyed.select("doc_id", "id", "text_hash", n_chars.alias("n_chars")))
+    placed = keyed.select("id", "text_hash", "text").join(links, ["id", "text_hash"])
     sketched = with_sketch(placed, "text", "sketch", size, k)
-    half = F.floor(F.col("before_chars") / 2).cast("int")
-    given = sketched.select(
-        F.col("before_id").alias("given_id"), F.col("before_hash").alias("given_hash"),
-        F.struct(F.left("text", half).alias("piece"), F.col("sketch").alias("sketch")).alias("given"),
-    ).groupBy("given_id", "given_hash").agg(F.first("given").alias("given"))
-    met = sketched.drop("before_id", "before_hash", "before_chars").join(
-        given, F.col("doc_id").eqNullSafe(F.col("given_id")) & (F.col("text_hash") == F.col("given_hash"))
+    # of repeated rows one gives; their exchange and order are those of the join
+    same = Window.partitionBy("id", "text_hash").orderBy("text_hash")
+    giving = placed.withColumn("copy", F.row_number().over(same)).filter("copy = 1")
+    given = with_sketch(giving, "text", "sketch", size, k).select(
+        F.col("before_id").alias("id"), F.col("before_hash").alias("text_hash"),
+        F.left("text", F.floor(F.col("before_chars") / 2).cast("int")).alias("piece"),
+        F.col("sketch").alias("next_sketch"),
     )
-    kept = F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
+    met = sketched.select("doc_id", "id", "text_hash", "text", "sketch").join(given, ["id", "text_hash"])
+    kept = F.left("text", (n_chars - F.floor(n_chars / 2)).cast("int"))
     edited = met.select(
-        "doc_id", "n_chars", "sketch", F.col("given.sketch").alias("next_sketch"),
-        F.concat(kept, F.col("given.piece")).alias("edited"),
+        "doc_id", n_chars.alias("n_chars"), "sketch", "next_sketch", F.concat(kept, F.col("piece")).alias("edited")
     )
     edited = with_sketch(edited, "edited", "edited_sketch", size, k)
     return edited.select(

@@ -11,18 +11,27 @@ def xx_long(values, seed=42):
     return seed
 
 
+def mark(h):
+    x = h >> 32
+    return x - (1 << 32) if x >> 31 else x
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
 def sketch(text, k=F1.WINDOW, size=F1.SKETCH):
     h = [xxhash.xxh64_intdigest(w, 42) for w in text.encode().split()]
-    low = [x - (1 << 64) if x >> 63 else x for x in h]
+    low = [signed(x) for x in h]
     if not h:
         return []
     if len(h) < k:
-        return [xx_long(h) & 0xFFFFFFFF]
+        return [mark(xx_long(h))]
     marks = set()
     for i in range(len(h) - k + 1):
         part = low[i : i + k]
         if min(part) in (part[0], part[-1]):
-            marks.add(xx_long(h[i : i + k]) & 0xFFFFFFFF)
+            marks.add(mark(xx_long(h[i : i + k])))
     return sorted(marks)[:size]
 
 
@@ -40,8 +49,8 @@ def test_edit_comparison_against_brute_force(odd_docs, odd_rows):
     # distinct (doc_id, text), descending id, nulls last; ties by Spark's text hash
     def order(row):
         i, t = row
-        h = xxhash.xxh64_intdigest(t.encode(), 42)
-        return (i is None, -(i or 0), h - (1 << 64) if h >> 63 else h)
+        null = (i is None).to_bytes(4, "little")
+        return (i is None, -(i or 0), signed(xxhash.xxh64_intdigest(null, xxhash.xxh64_intdigest(t.encode(), 42))))
 
     rows = sorted({(i, t or "") for i, t in odd_rows}, key=order)
     want = {}
@@ -51,8 +60,8 @@ def test_edit_comparison_against_brute_force(odd_docs, odd_rows):
         edited = t[: len(t) - half] + nxt[:half]
         s, e, x = sketch(t), sketch(edited), sketch(nxt)
         want.setdefault(i, []).append((
-            len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{v:08x}" for v in s),
-            "".join(f"{v:08x}" for v in e), round(dice(s, e), 9), round(dice(s, x), 9),
+            len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{v & 0xFFFFFFFF:08x}" for v in s),
+            "".join(f"{v & 0xFFFFFFFF:08x}" for v in e), round(dice(s, e), 9), round(dice(s, x), 9),
         ))
     for r in got:
         mine = (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9))
