@@ -7,12 +7,13 @@ trading ordinals.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.operators import calendar as C
+from stratapanel.sources.scratch import cut_lineage
 
 
 def asof_join(
@@ -34,42 +35,46 @@ def asof_join(
     large share of all rows is spread over as many tasks as it has buckets. Right rows must be
     unique per key and time.
     """
-    by = list(by)
-    back = direction == "backward"
     if direction not in ("backward", "forward"):
         raise ValueError(f"unknown direction {direction!r}")
+    return _asof(left, right, list(by), left_on, right_on, values, {direction: prefix}, bucket)
+
+
+def _asof(
+    left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: Sequence[str],
+    ways: Mapping[str, str], bucket: str | None,
+) -> DataFrame:
+    """As-of values in one or both directions (way -> column prefix) from one pass over both sides."""
     val = F.struct(*(F.col(v) for v in values))
     lrows = left.select(*by, F.col(left_on).alias("_t"), F.struct(*left.columns).alias("_l"))
     rrows = right.select(*by, F.col(right_on).alias("_t"), val.alias("_v"))
     both = lrows.unionByName(rrows, allowMissingColumns=True)
     keys = list(by)
     if bucket:
-        both = both.withColumn("_b", F.trunc("_t", bucket))
+        # the windows and the carry table read it: written once
+        both = cut_lineage(both.withColumn("_b", F.trunc("_t", bucket)), "asof")
         keys.append("_b")
     # Right rows come first on equal times in the scan direction, so equality always matches.
     is_left = F.col("_l").isNotNull().cast("int")
-    order = [F.col("_t") if back else F.col("_t").desc(), is_left]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter(
-        F.col("_l").isNotNull()
-    )
+    order = {"backward": F.col("_t"), "forward": F.col("_t").desc()}
+    upto = {way: Window.partitionBy(*keys).orderBy(order[way], is_left).rowsBetween(Window.unboundedPreceding, 0) for way in ways}
+    found = both.withColumns({f"_{way}": F.last("_v", ignorenulls=True).over(upto[way]) for way in ways})
+    found = found.filter(F.col("_l").isNotNull())
     if bucket:
-        edge = F.max_by("_v", "_t") if back else F.min_by("_v", "_t")
-        known = rrows.withColumn("_b", F.trunc("_t", bucket)).groupBy(*keys).agg(edge.alias("_e"))
-        slots = (
-            lrows.select(*by, F.trunc("_t", bucket).alias("_b"))
-            .distinct()
-            .unionByName(known, allowMissingColumns=True)
-            .groupBy(*keys)
-            .agg(F.max("_e").alias("_e"))
-        )
-        span = Window.partitionBy(*by).orderBy(F.col("_b") if back else F.col("_b").desc())
-        carry = slots.withColumn(
-            "_c",
-            F.last("_e", ignorenulls=True).over(span.rowsBetween(Window.unboundedPreceding, -1)),
-        ).drop("_e")
-        found = found.join(carry, keys, "left").withColumn("_v", F.coalesce("_v", "_c"))
-    return found.select("_l.*", *(F.col(f"_v.{v}").alias(f"{prefix}{v}") for v in values))
+        at = F.when(F.col("_v").isNotNull(), F.col("_t"))
+        edge = {"backward": F.max_by("_v", at), "forward": F.min_by("_v", at)}
+        slots = both.groupBy(*keys).agg(*(edge[way].alias(f"_edge_{way}") for way in ways))
+        along = {"backward": F.col("_b"), "forward": F.col("_b").desc()}
+        carried = {
+            f"_carry_{way}": F.last(f"_edge_{way}", ignorenulls=True).over(
+                Window.partitionBy(*by).orderBy(along[way]).rowsBetween(Window.unboundedPreceding, -1)
+            )
+            for way in ways
+        }
+        carry = slots.select(*keys, *(c.alias(n) for n, c in carried.items()))
+        found = found.join(carry, keys, "left")
+        found = found.withColumns({f"_{way}": F.coalesce(f"_{way}", f"_carry_{way}") for way in ways})
+    return found.select("_l.*", *(F.col(f"_{way}.{v}").alias(f"{p}{v}") for way, p in ways.items() for v in values))
 
 
 def asof_features(fundamentals: DataFrame, prices: DataFrame, value: str) -> DataFrame:
@@ -145,12 +150,11 @@ def price_on_or_after(
 ) -> DataFrame:
     """First price at or after a date (at most ``within`` days later), else the last before it."""
     p = prices.select("tic", F.col("date").alias("_pd"), F.col("close").alias("_px"))
-    d = asof_join(rows, p, ["tic"], date, "_pd", ["_pd", "_px"], "forward", "_f", bucket)
-    d = asof_join(d, p, ["tic"], date, "_pd", ["_px"], "backward", "_b", bucket)
+    d = _asof(rows, p, ["tic"], date, "_pd", ["_pd", "_px"], {"forward": "_f", "backward": "_b"}, bucket)
     ahead = F.col("_f_px")
     if within is not None:
         ahead = F.when(F.datediff("_f_pd", date) <= within, ahead)
-    return d.withColumn("price", F.coalesce(ahead, "_b_px")).drop("_f_pd", "_f_px", "_b_px")
+    return d.withColumn("price", F.coalesce(ahead, "_b_px")).drop("_f_pd", "_f_px", "_b_pd", "_b_px")
 
 
 def price_on_or_before(rows: DataFrame, prices: DataFrame, date: str, bucket: str | None = None) -> DataFrame:
