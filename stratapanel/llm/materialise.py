@@ -193,7 +193,7 @@ def write_in_order(
     )
     placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard))
     shards = max(1, -(-first // per_shard))
-    tasks = min(shards, 20_000)
+    tasks = min(4 * shards, 20_000)  # more than shards, so that few tasks get several
     dealt = placed.repartition(tasks, "shard").sortWithinPartitions("slot")
     schema = (
         "slot long, shard long, record long, n_tokens long, ids_crc32 long, "

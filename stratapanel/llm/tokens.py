@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import struct
 from collections.abc import Callable
 from typing import Any
 
@@ -11,9 +12,9 @@ import numpy as np
 import regex
 
 #: Entries that each of an encoder's two memories may hold; then the older half of it goes.
-REMEMBERED = 400_000
-#: Visible characters below U+0250: composed, with one lower case each, and no blanks among them.
-_PLAIN = regex.compile(r"[!-~\u00A1-\u024F]+")
+REMEMBERED = 600_000
+#: Visible characters below U+0250 but one: composed, with a single lower case, no blanks among them.
+_PLAIN = regex.compile(r"[!-~\u00A1-\u012F\u0131-\u024F]+")
 #: Fixed value: how the tokenizer's file splits lower-cased text.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -52,18 +53,24 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        lower = {chr(c).lower() for c in range(0xA1, 0x250) if c != 0x130}
+        self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in lower}
         self.runs = _Memory(self._encode_run)
         self.pieces = _Memory(self._encode_piece)
 
     def _encode_run(self, run: str) -> bytes:
         if not run.isascii():
-            run = self.bytes.pre_tokenize_str(run)[0][0]
-        return np.array([t.id for t in self.model.tokenize(run)], dtype="<u2").tobytes()
+            run = run.translate(self.bytes)
+        ids = [t.id for t in self.model.tokenize(run)]
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def _encode_piece(self, piece: bytes) -> bytes:
         text = piece.decode("utf-8", "replace")
-        if "<|" in text or not _PLAIN.fullmatch(text):
+        plain = text.isprintable() if text.isascii() else _PLAIN.fullmatch(text)
+        if plain and text.isalpha():
+            return self.runs[text.lower()]
+        if not plain or "<|" in text:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, dtype="<u2").tobytes()
         return b"".join(map(self.runs.__getitem__, _SPLIT.findall(text.lower())))

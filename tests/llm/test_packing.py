@@ -17,7 +17,8 @@ def tokenizer():
 
 
 def test_word_encoder_equals_the_tokenizer(odd_rows, tokenizer):
-    texts = [t or "" for _, t in odd_rows] + ["\x1c a\x1cb ́x ", "é ́", "ok<|startoftext|>ok <|endof text|>", "ǅ ﬁ İI ΑΣ ΑΣΑ 中文 字"]
+    texts = [t or "" for _, t in odd_rows] + ["\x1c a\x1cb ́x ", "é ́", "ok<|startoftext|>ok <|endof text|>", "ǅ ﬁ İI ΑΣ ΑΣΑ 中文 字", "ȺB ɐȾ ſß ŉ ǰ",
+        "".join(chr(c) + ("" if c % 7 else " ") for c in range(33, 0x24F)), "don't 'S'RE x'll 12ab3²½ª%$a-b\x7f"]
     encoder = WordEncoder(PATH)
     for got, t in zip(encoder.encode([t.encode() for t in texts]), texts, strict=True):
         assert np.frombuffer(got, dtype="<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:60]
@@ -80,4 +81,4 @@ def test_neighbours_on_the_curve_are_alike(spark):
     got = packing.encode_documents(docs, PATH).orderBy("curve").collect()
     order = [r.doc_id % 4 for r in got]
     same = sum(a == b for a, b in zip(order, order[1:]))
-    assert same > 150
+    assert same > 100  # by chance it would be 50
