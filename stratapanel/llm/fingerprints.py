@@ -20,6 +20,8 @@ WINDOW = 3
 #: Anchors kept in a fingerprint: the smallest hashes, a uniform sample of a text's anchors. Texts
 #: with fewer anchors are held whole.
 SKETCH = 128
+#: Texts with fewer code points are looked at by character instead of by word.
+SHORT = 64
 
 
 def _mark(*parts: Column) -> Column:
@@ -28,10 +30,10 @@ def _mark(*parts: Column) -> Column:
 
 
 def anchors(hashes: Column, k: int = WINDOW) -> Column:
-    """Closed syncmers as array<struct<pos, hash>> in text order, from an array of word hashes.
+    """Closed syncmers as array<struct<pos, hash>> in text order, from an array of unit hashes.
 
-    ``pos`` counts words from 0. A text with fewer than ``k`` words, but at least one, has a single
-    anchor over all of them; a text without words has none.
+    ``pos`` counts units from 0. A text with fewer than ``k`` units, but at least one, has a single
+    anchor over all of them; a text without units has none.
     """
     def window(x: Column, i: Column) -> Column:
         parts = [x, *(F.get(hashes, i + j) for j in range(1, k))]
@@ -49,8 +51,16 @@ def anchors(hashes: Column, k: int = WINDOW) -> Column:
 
 
 def with_anchors(df: DataFrame, text: str = "text", out: str = "anchors", k: int = WINDOW) -> DataFrame:
-    """Add the closed syncmers of a text column, with word positions, for positional matching."""
-    hashed = df.withColumn(out, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
+    """Add the closed syncmers of a text column, with positions, for positional matching.
+
+    Units are words; in texts of fewer than ``SHORT`` code points, which hardly have windows of words, they are
+    characters. A text without words has no anchors.
+    """
+    value = F.coalesce(F.col(text), F.lit(""))
+    units = words(value)
+    letters = F.filter(F.split(value, ""), lambda c: c != "")
+    units = F.when((F.char_length(value) < SHORT) & (F.size(units) > 0), letters).otherwise(units)
+    hashed = df.withColumn(out, F.transform(units, lambda u: F.xxhash64(u)))
     return hashed.withColumn(out, anchors(F.col(out), k))
 
 

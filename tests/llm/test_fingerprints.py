@@ -21,7 +21,10 @@ def signed(h):
 
 
 def sketch(text, k=F1.WINDOW, size=F1.SKETCH):
-    h = [xxhash.xxh64_intdigest(w, 42) for w in text.encode().split()]
+    units = text.encode().split()
+    if units and len(text) < F1.SHORT:
+        units = [c.encode() for c in text]
+    h = [xxhash.xxh64_intdigest(w, 42) for w in units]
     low = [signed(x) for x in h]
     if not h:
         return []
@@ -78,6 +81,12 @@ def test_anchors_are_context_free_and_placed(spark):
     assert [m.pos for m in plain] == sorted(m.pos for m in plain)
 
 
+def test_short_texts_share_what_they_keep(spark):
+    rows = [(k, t) for k, t in enumerate(["Thlyer the to.", "Ouwhea of rend", "Inonst heble th and", "bleati 𝄞𝄞 shonre"])]
+    got = F1.edit_comparison(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and all(r.near_edited > r.near_next for r in got)
+
+
 def test_one_document_and_none(odd_docs, no_docs):
     assert F1.edit_comparison(no_docs).collect() == []
     one = odd_docs.filter("doc_id = 1").limit(1)
