@@ -306,12 +306,16 @@ def rolling_covariance(series: DataFrame, n: int = 252) -> DataFrame:
 
 
 def correlation_matrix(series: DataFrame) -> DataFrame:
-    """Pearson correlation of every pair of return series on their common dates."""
+    """Pearson correlation of every pair (name_i <= name_j) of return series on their common dates.
+
+    Like the covariance, for a short list of series: group series or a chosen universe.
+    """
     w = R.by("name")
     r = series.select("name", "date", R.change(F.col("close"), w).alias("r")).dropna()
     a = r.select(F.col("name").alias("name_i"), "date", F.col("r").alias("_a"))
     b = r.select(F.col("name").alias("name_j"), "date", F.col("r").alias("_b"))
-    return a.join(b, "date").groupBy("name_i", "name_j").agg(F.corr("_a", "_b").alias("corr"))
+    pairs = a.join(b, "date").filter(F.col("name_i") <= F.col("name_j"))
+    return pairs.groupBy("name_i", "name_j").agg(F.corr("_a", "_b").alias("corr"))
 
 
 def frozen_price_pairs(df: DataFrame, value: str, order: str = "date") -> DataFrame:

@@ -42,39 +42,41 @@ SELECT *, (1 + gross) * (1 - 0.001::DOUBLE * turnover) - 1 AS net FROM t""")
 _UP = "(PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING)"
 
 
-def aligned(spark, sf):
-    return Q.weight_alignment(P.equal_membership_weights(spark, sf), P.smooth(spark, sf))
+def aligned(spark, sf, daily):
+    return Q.weight_alignment(P.equal_membership_weights(spark, sf), daily)
 
 
-def strategies(spark, sf):
+def strategies(spark, sf, daily):
     """Two weight sets: all members, and the members of one sector."""
-    a = scratch.cut_lineage(aligned(spark, sf), "aligned")
+    a = scratch.cut_lineage(aligned(spark, sf, daily), "aligned")
     asia = a.join(P.sectors(spark, sf).filter(F.col("sector") == "ASIA").select("tic"), "tic", "left_semi")
     return a.withColumn("strategy", F.lit("all")).unionByName(asia.withColumn("strategy", F.lit("asia")))
 
 
-def levels(spark, sf):
-    return P.smooth(spark, sf).select("tic", "date", "close")
+def levels(daily):
+    return daily.select("tic", "date", "close")
 
 
-def held(spark, sf):
-    return Q.weight_ffill_normalise(strategies(spark, sf), levels(spark, sf))
+def held(spark, sf, daily):
+    """Weights of every day, written once: a back-test reads them several times."""
+    return scratch.cut_lineage(Q.weight_ffill_normalise(strategies(spark, sf, daily), levels(daily)), "held")
 
 
 @query("weight_alignment", f"SELECT date, tic, {qcut('weight')} AS weight FROM aligned")
 def weight_alignment(spark, sf):
-    return aligned(spark, sf).withColumn("weight", cut(F.col("weight")))
+    return aligned(spark, sf, T.daily_panel(spark, sf)).withColumn("weight", cut(F.col("weight")))
 
 
 @query("weight_ffill_normalise", f"SELECT strategy, date, tic, {qcut('weight')} AS weight FROM held")
 def weight_ffill_normalise(spark, sf):
-    return held(spark, sf).withColumn("weight", cut(F.col("weight")))
+    return held(spark, sf, T.daily_panel(spark, sf)).withColumn("weight", cut(F.col("weight")))
 
 
 @query("backtest_daily_rebalanced", f"""
 SELECT strategy, date, {qcut('gross')} AS gross, {qcut('turnover')} AS turnover, {qcut('net')} AS net, {qcut(f'ln(product(1 + net) OVER {_UP})')} AS log_growth FROM net_path""")
 def backtest_daily_rebalanced(spark, sf):
-    d = Q.backtest_daily_rebalanced(held(spark, sf), levels(spark, sf))
+    daily = T.daily_panel(spark, sf)
+    d = Q.backtest_daily_rebalanced(held(spark, sf, daily), levels(daily))
     return d.select("strategy", "date", cut(F.col("gross")).alias("gross"), cut(F.col("turnover")).alias("turnover"), cut(F.col("net")).alias("net"), cut(F.ln(F.col("value") / 1e6)).alias("log_growth"))
 
 
@@ -91,9 +93,11 @@ r AS (SELECT *, value / lag(value) OVER (PARTITION BY name ORDER BY date) - 1 AS
 a AS (SELECT name, max_by(value, date) / min_by(value, date) AS g, count(ret) AS n, stddev_samp(ret) * sqrt(252.0::DOUBLE) AS vol, min(dd) AS dd, skewness(ret) AS sk FROM r GROUP BY 1)
 SELECT name, {qcut('pow(g, 252.0::DOUBLE / n) - 1')} AS annual_return, {qcut('vol')} AS annual_volatility, {qcut('(pow(g, 252.0::DOUBLE / n) - 1) / vol')} AS sharpe_ratio, {qcut('dd')} AS max_drawdown, {qcut('sk')} AS skewness FROM a""")
 def multi_strategy_backtest(spark, sf):
-    d = Q.backtest_daily_rebalanced(held(spark, sf), levels(spark, sf))
+    daily = T.daily_panel(spark, sf)
+    d = Q.backtest_daily_rebalanced(held(spark, sf, daily), levels(daily))
     s = d.select(F.col("strategy").alias("name"), "date", "value")
-    s = s.unionByName(P.bench(spark, sf).select(F.lit("bench").alias("name"), "date", F.col("close").alias("value")))
+    s = s.unionByName(P.bench(spark, sf, daily).select(F.lit("bench").alias("name"), "date", F.col("close").alias("value")))
+    s = scratch.cut_lineage(s, "values")
     m = A.perf_metrics_backtest(s).select("name", "annual_return", "annual_volatility", "sharpe_ratio", "max_drawdown", "skewness")
     return cut_all(m, ["name"])
 
@@ -105,8 +109,9 @@ SELECT t.strategy, t.date, t.tic, abs(change) * v AS traded, vol, abs(change) *
 
 
 def priced(spark, sf):
-    liq = W.logret_rolling_vol(P.smooth(spark, sf), "close").select("tic", "date", "volume", "volatility")
-    return Q.priced_trades(held(spark, sf), levels(spark, sf), liq)
+    daily = T.daily_panel(spark, sf)
+    liq = W.logret_rolling_vol(daily, "close").select("tic", "date", "volume", "volatility")
+    return Q.priced_trades(held(spark, sf, daily), levels(daily), liq)
 
 
 @query("impact_cost", f"""
@@ -125,7 +130,7 @@ _SCALES = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0)
 @query("liquidity_sweep", " UNION ALL ".join(
     f"SELECT strategy, {s}::DOUBLE AS scale, {qcut(f'ln(sum(traded * (0.0005::DOUBLE + 1.5::DOUBLE * vol * (part / {s}::DOUBLE))))')} AS log_cost FROM priced GROUP BY 1" for s in _SCALES))
 def liquidity_sweep(spark, sf):
-    d = Q.liquidity_sweep(priced(spark, sf), Q.impact_cost(), _SCALES)
+    d = Q.liquidity_sweep(scratch.cut_lineage(priced(spark, sf), "priced"), Q.impact_cost(), _SCALES)
     return d.select("strategy", "scale", cut(F.ln("cost")).alias("log_cost"))
 
 
@@ -135,7 +140,7 @@ a AS (SELECT w.*, s.close AS p0 FROM w ASOF LEFT JOIN smooth s ON s.tic = w.tic
 r AS (SELECT date, nd, coalesce(sum(weight * (p1 / p0 - 1)), 0) AS ret FROM b GROUP BY 1, 2)
 SELECT date, nd AS next_date, {qcut('ret')} AS ret, {qcut('ln(product(1 + ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING))')} AS log_value FROM r""")
 def period_portfolio_return(spark, sf):
-    d = Q.period_portfolio_return(P.equal_membership_weights(spark, sf), levels(spark, sf))
+    d = Q.period_portfolio_return(P.equal_membership_weights(spark, sf), levels(T.daily_panel(spark, sf)))
     return d.select("date", "next_date", cut(F.col("ret")).alias("ret"), cut(F.ln("value")).alias("log_value"))
 
 

@@ -270,7 +270,7 @@ def rolling_covariance(spark, sf):
 
 
 @query("correlation_matrix", f"""
-SELECT a.name AS name_i, b.name AS name_j, {qcut('corr(a.r, b.r)')} AS corr FROM sector_weekly_ret a JOIN sector_weekly_ret b USING (date) GROUP BY 1, 2""")
+SELECT a.name AS name_i, b.name AS name_j, {qcut('corr(a.r, b.r)')} AS corr FROM sector_weekly_ret a JOIN sector_weekly_ret b ON a.date = b.date AND a.name <= b.name GROUP BY 1, 2""")
 def correlation_matrix(spark, sf):
     return W.correlation_matrix(sector_weekly(spark, sf)).withColumn("corr", cut(F.col("corr")))
 

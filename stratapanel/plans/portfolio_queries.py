@@ -16,6 +16,7 @@ from stratapanel.plans.feature_queries import _MEDL
 from stratapanel.plans.join_queries import monthly_signal, universe_days
 from stratapanel.plans.ranking_queries import bucket_preds, z_of
 from stratapanel.plans.registry import cut, qcut, query, view
+from stratapanel.sources import scratch
 
 
 def _o(n):
@@ -196,12 +197,13 @@ def _selected(spark, sf):
 
 @query("min_variance_weights")
 def min_variance_weights(spark, sf):
-    return B.min_variance_weights(_selected(spark, sf), P.quarter_closes(spark, sf))
+    prices = scratch.cut_lineage(P.quarter_closes(spark, sf), "quarters")
+    return B.min_variance_weights(scratch.cut_lineage(_selected(spark, sf), "selected"), prices)
 
 
 @query("allocate_weights")
 def allocate_weights(spark, sf):
-    s = _selected(spark, sf)
+    s = scratch.cut_lineage(_selected(spark, sf), "selected")
     a = B.allocate_weights(s, "equal").withColumn("method", F.lit("equal"))
     return a.unionByName(B.allocate_weights(s, "min_variance", P.quarter_closes(spark, sf)).withColumn("method", F.lit("min_variance")))
 

@@ -57,12 +57,16 @@ FROM predictions JOIN buckets USING (tic)""")
 
 
 def bucket_preds(spark, sf):
-    """Predictions cut to three digits (so that ties occur), with buckets and a unified model's view."""
+    """Predictions cut to three digits (so that ties occur), with buckets and a unified model's view.
+
+    Written once: ranks and quantiles read their table several times.
+    """
     p = P.predictions(spark, sf).join(buckets(spark, sf), "tic")
     p = p.withColumns({"pred": cut(F.col("pred"), 3), "unified_pred": F.when(F.col("n") % 9 != 0, cut(F.col("pred2"), 3))})
-    return p.withColumn("bucket_pred", F.col("pred")).select(
+    p = p.withColumn("bucket_pred", F.col("pred")).select(
         "tic", "datadate", "sector", "bucket", "price", "n", "pred", "bucket_pred", "unified_pred", "y_return"
     )
+    return scratch.cut_lineage(p, "preds")
 
 
 @query("quantile_select", """
@@ -85,7 +89,7 @@ g AS (SELECT d.datadate, u.bucket FROM (SELECT DISTINCT datadate FROM p) d, (SEL
 SELECT g.datadate, g.bucket, s.tic, s.pred, s.rk AS bucket_rank, """ + qcut("s.thr") + """ AS threshold, coalesce(s.candidates, 0) AS candidates, coalesce(s.selected, 0) AS selected, coalesce(s.mode, 'no_candidates') AS mode
 FROM g LEFT JOIN s USING (datadate, bucket)""")
 def bucket_select_strict_relaxed(spark, sf):
-    p = scratch.cut_lineage(bucket_preds(spark, sf), "preds")
+    p = bucket_preds(spark, sf)
     s = X.bucket_select_strict_relaxed(p)
     summary = X.bucket_selection_summary(s, p.select("datadate").distinct(), (*X.BUCKETS, "unlisted"))
     rows = s.select("datadate", "bucket", "tic", "pred", "bucket_rank", cut(F.col("threshold")).alias("threshold"))
@@ -117,7 +121,7 @@ SELECT *, CAST(floor({_avg_rank('score', 'alpha, bucket, datadate')}) AS BIGINT)
 
 @query("dual_ensemble", f"SELECT tic, bucket, datadate, alpha, {qcut('score')} AS score, rank FROM dual")
 def dual_ensemble(spark, sf):
-    d = X.dual_ensemble(scratch.cut_lineage(bucket_preds(spark, sf), "preds"))
+    d = X.dual_ensemble(bucket_preds(spark, sf))
     return d.select("tic", "bucket", "datadate", "alpha", cut(F.col("score")).alias("score"), "rank")
 
 
@@ -125,7 +129,7 @@ def dual_ensemble(spark, sf):
 WITH s AS (SELECT *, alpha * up + (1 - alpha) * bp AS ms, 0.5::DOUBLE * up + 0.5::DOUBLE * bp AS us FROM (SELECT *, CASE bucket WHEN 'growth_tech' THEN 0.0 WHEN 'cyclical' THEN 0.7 ELSE 1.0 END::DOUBLE AS alpha FROM pctiles) q)
 SELECT tic, bucket, datadate, alpha, {qcut('ms')} AS mixed_score, CAST(floor({_avg_rank('ms', 'bucket, datadate')}) AS BIGINT) AS rank_mixed, {qcut('us')} AS uniform_score, CAST(floor({_avg_rank('us', 'bucket, datadate')}) AS BIGINT) AS rank_uniform FROM s""")
 def mixed_alpha(spark, sf):
-    d = X.mixed_alpha(scratch.cut_lineage(bucket_preds(spark, sf), "preds"))
+    d = X.mixed_alpha(bucket_preds(spark, sf))
     return d.select("tic", "bucket", "datadate", "alpha", cut(F.col("mixed_score")).alias("mixed_score"), "rank_mixed", cut(F.col("uniform_score")).alias("uniform_score"), "rank_uniform")
 
 
@@ -134,7 +138,7 @@ WITH t AS (SELECT *, row_number() OVER (PARTITION BY alpha, bucket, datadate ORD
 g AS (SELECT alpha, bucket, datadate, avg(y_return) AS m FROM t WHERE rn <= 5 GROUP BY 1, 2, 3), o AS (SELECT alpha, avg(m) AS top_avg FROM g GROUP BY 1)
 SELECT alpha, {qcut('top_avg')} AS top_avg, {qcut('(SELECT avg(y_return) FROM bucket_preds)')} AS proxy, {qcut('top_avg - (SELECT avg(y_return) FROM bucket_preds)')} AS excess FROM o""")
 def alpha_sensitivity(spark, sf):
-    d = X.alpha_sensitivity(X.dual_ensemble(scratch.cut_lineage(bucket_preds(spark, sf), "preds")))
+    d = X.alpha_sensitivity(X.dual_ensemble(bucket_preds(spark, sf)))
     return d.select("alpha", *(cut(F.col(c)).alias(c) for c in ("top_avg", "proxy", "excess")))
 
 
@@ -207,7 +211,8 @@ view("smooth_ret", "SELECT tic, date, close, close / lag(close) OVER (PARTITION
 def smooth_returns(spark, sf):
     from stratapanel.operators.features import simple_return
 
-    return P.smooth(spark, sf).select("tic", "date", "close", simple_return(F.col("close")).alias("ret"))
+    d = P.smooth(spark, sf).select("tic", "date", "close", simple_return(F.col("close")).alias("ret"))
+    return scratch.cut_lineage(d, "returns")
 
 
 @query("bucket_top5_tracking", f"""

@@ -96,11 +96,11 @@ def decisions(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     g = cut_lineage(group_returns(w), "groups")
     bench = cut_lineage(bench_weekly(spark, sf, daily), "bench")
     index = index_daily(spark, sf, daily)
-    strength = X.rank_groups_select_active(A.group_strength(g, bench))
+    strength = cut_lineage(X.rank_groups_select_active(A.group_strength(g, bench)), "strength")
     scores = cut_lineage(X.asset_scores(w, g), "scores")
     active = strength.filter("is_active")
     top = X.top_n_per_group(scores, 3, active)
-    regime = regime_weekly(spark, sf, index)
+    regime = cut_lineage(regime_weekly(spark, sf, index), "regime")
     return {
         "strength": strength, "scores": scores, "top": top, "budget": B.risk_budget(regime),
         "bench": bench, "index": index, "regime": regime,

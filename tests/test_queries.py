@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -28,3 +30,14 @@ def test_entry_has_weights(spark):
     df = entry.entry(spark)
     assert {"date", "tic", "weight", "cash"} <= set(df.columns)
     assert df.count() > 0
+
+
+@pytest.mark.parametrize(("name", "shuffles"), [
+    ("mixed_alpha", 25), ("dual_ensemble", 25), ("alpha_sensitivity", 25), ("long_only_quantile_portfolio", 25),
+    ("price_on_or_after", 15), ("min_variance_weights", 25), ("multi_strategy_backtest", 25), ("portfolio_weights", 40),
+])
+def test_plans_stay_small(spark, name, shuffles):
+    """Shuffles and scans of the trades as planned, before any stage is reused."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange ", plan)) < shuffles
+    assert plan.count("lineitem.parquet") <= 2
