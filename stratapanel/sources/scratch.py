@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,7 +29,28 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the working folder, never used before."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def made() -> list[str]:
+    """The working tables that there are, oldest first."""
+    return list(_made)
+
+
+def drop_unread(spark: SparkSession, paths: list[str], needed: DataFrame) -> list[str]:
+    """Delete those of some working tables that a result does not read; returns the others.
+
+    For jobs in stages: when a stage begins, what came before is written and only its input counts.
+    """
+    files = needed.inputFiles()
+    read = [p for p in paths if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files)]
+    for path in set(paths) - set(read):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _made.remove(path)
+    return read
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
