@@ -22,7 +22,6 @@ same for any number.
 from __future__ import annotations
 
 import itertools
-import math
 import random
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import add_by_text, salted_lookup
+from stratapanel.llm.common import add_by_text, salted_lookup, unused
 from stratapanel.sources.scratch import cut_lineage
 
 BITS = 64
@@ -261,7 +260,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def fingerprint_groups(fps: DataFrame, member: Column, **how: int) -> DataFrame:
-    """(fp, first): the smallest ``member`` among all rows whose fingerprints are connected to fp.
+    """(fp, first), written: the smallest ``member`` among all rows whose fingerprints are connected to fp.
 
     ``fps`` is a written table of rows with a column fp; rows without a member value only count if
     a group has no other.
@@ -271,7 +270,8 @@ def fingerprint_groups(fps: DataFrame, member: Column, **how: int) -> DataFrame:
     tied = cut_lineage(roots.join(alone, "fp"), "linked-fingerprints")
     firsts = tied.groupBy("root").agg(F.min("least").alias("first"))
     tied_first = salted_lookup(tied.select("fp", "root"), firsts, "root", F.col("fp")).select("fp", "first")
-    return alone.join(tied_first, "fp", "left").select("fp", F.coalesce("first", "least").alias("first"))
+    groups = alone.join(tied_first, "fp", "left").select("fp", F.coalesce("first", "least").alias("first"))
+    return cut_lineage(groups, "groups")
 
 
 def near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
@@ -279,7 +279,8 @@ def near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
 
     component_id is the smallest doc_id among all documents reachable by links, itself included.
     Rows without a doc_id take part and have the component_id of their group, null if none
-    of the group has an id. Repeated rows are all returned.
+    of the group has an id. Repeated rows are all returned. The last join reads two written tables,
+    so that AQE can split the rows of a very common fingerprint.
     """
     rows = cut_lineage(with_fingerprint(docs, keep=["doc_id"]), "fingerprints")
     groups = fingerprint_groups(rows, F.col("doc_id"), **how)
@@ -293,12 +294,15 @@ def keep_one(docs: DataFrame, **how: int) -> DataFrame:
 
     Rows without an id come last; of rows that agree in id and fingerprint one stays.
     """
-    fp, me = "near_duplicate_fp", "near_duplicate_row"
-    ident = F.concat_ws(":", "fp", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    fp, me = unused("near_duplicate_fp", docs), unused("near_duplicate_row", docs)
+
+    def ident(bits: str) -> Column:
+        return F.concat_ws(":", bits, F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+
     rows = cut_lineage(with_fingerprint(docs, out=fp), "fingerprinted")
     slim = rows.select(F.col(fp).alias("fp"), "doc_id")
     member = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"), F.col("fp").alias("fp"))
     first = fingerprint_groups(slim, member, **how).filter(F.col("first.fp") == F.col("fp"))
-    first = first.select("fp", F.col("first.doc_id").alias("doc_id")).select(ident.alias("first_row"))
-    marked = rows.withColumn("fp", F.col(fp)).withColumn(me, ident).drop("fp", fp)
+    first = first.select("fp", "first.doc_id").select(ident("fp").alias("first_row"))
+    marked = rows.withColumn(me, ident(fp)).drop(fp)
     return marked.join(first, F.col(me) == F.col("first_row"), "left_semi").dropDuplicates([me]).drop(me)
