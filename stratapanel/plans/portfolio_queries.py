@@ -286,11 +286,27 @@ _STEP = [
 ]
 
 
-@query("step_weights")
+@query("step_weights", f"""
+WITH f AS (SELECT date FROM (SELECT date, row_number() OVER (PARTITION BY year(date), week(date) ORDER BY date) AS wk FROM calendar) x WHERE wk = 1),
+o AS (SELECT date, row_number() OVER (ORDER BY date) AS ord FROM calendar),
+c AS (SELECT date, (SELECT max(m.date) FROM monthly_signal m WHERE m.date <= calendar.date) AS start FROM calendar),
+s AS (SELECT c.date, m.tic, m.signal FROM c JOIN monthly_signal m ON m.date = c.start WHERE c.date < last_day((SELECT max(date) FROM monthly_signal))),
+d AS (SELECT s.date, o.ord, s.tic, s.signal, u.tic IS NOT NULL AS inside FROM s JOIN f USING (date) JOIN o USING (date) LEFT JOIN universe_days u ON u.date = s.date AND u.tic = s.tic),
+p AS (SELECT * FROM (VALUES ('weekly', 5, true, 0.2::DOUBLE, 1.0::DOUBLE, 20), ('long_only', 0, false, 0.2::DOUBLE, 0.8::DOUBLE, 5)) v(params, cooling, short, most, lever, cap)),
+a AS (SELECT p.*, d.*, CASE WHEN inside AND (short OR signal > 0) THEN sign(signal) ELSE 0 END AS sg FROM d, p),
+b AS (SELECT *, coalesce(lag(sg) OVER (PARTITION BY params, tic ORDER BY ord), 0) AS before FROM a),
+q AS (SELECT *, max(CASE WHEN sg = 0 AND before <> 0 THEN ord END) OVER (PARTITION BY params, tic ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stopped FROM b),
+e AS (SELECT *, CASE WHEN coalesce(ord < stopped + cooling, false) THEN 0 ELSE sg * most END AS want FROM q),
+g AS (SELECT *, coalesce(lag(want) OVER (PARTITION BY params, tic ORDER BY ord), 0) AS held FROM e),
+t AS (SELECT *, row_number() OVER (PARTITION BY params, date ORDER BY abs(want) DESC, tic) AS rn FROM g WHERE want <> 0),
+k AS (SELECT *, sum(abs(want)) OVER (PARTITION BY params, date) AS gross FROM t WHERE rn <= cap)
+SELECT params, date, tic, {qcut('want * least(1, lever / gross)')} AS weight,
+  CASE WHEN held = 0 THEN CASE WHEN want > 0 THEN 'OPEN_LONG' ELSE 'OPEN_SHORT' END WHEN held <> want THEN 'FLIP' ELSE 'HOLD' END AS action FROM k""")
 def step_weights(spark, sf):
     cal = P.calendar(spark, sf)
     flags = C.rebalance_day_flag(cal).select("date", F.col("weekly").alias("is_rebalance"))
     u = universe_days(spark, sf).withColumn("in_universe", F.lit(True))
     sig = J.signal_expand_to_daily(monthly_signal(spark, sf), cal, "M").join(u, ["date", "tic"], "left")
     sig = sig.na.fill(False, ["in_universe"]).join(flags, "date").join(C.calendar_ordinals(cal), "date")
-    return B.step_weights(sig, _STEP)
+    d = B.step_weights(scratch.cut_lineage(sig, "daily-signals"), _STEP)
+    return d.withColumn("weight", cut(F.col("weight")))
