@@ -7,6 +7,8 @@ key. Exact totals of the ranges then place the shard boundaries to the record.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,12 @@ def splitters(records: DataFrame, key: str, size: str, ranges: int, drawn: int =
     share = F.col(size) * F.lit(wanted / total)
     chance = F.pmod(F.xxhash64(key, "tie", F.lit("draw")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     weight = F.floor(share) + (chance < share - F.floor(share)).cast("long")
-    sample = records.select(F.col(key).alias("k"), weight.alias("w")).filter("w > 0").orderBy("k").collect()
-    keys = [r.k for r in sample for _ in range(r.w)]
+    sample = records.select(F.col(key).alias("k"), weight.alias("w")).filter("w > 0").collect()
+    keys = sorted(r.k for r in sample for _ in range(r.w))
     cuts = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
-    return sorted(set(cuts))
+    # a key that is more than one quantile fills a range by itself, so only it gets subdivided
+    alone = {a + 1 for a, b in itertools.pairwise(cuts) if a == b}
+    return sorted({*cuts, *alone})
 
 
 def shard_by_size(
