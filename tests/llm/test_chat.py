@@ -28,7 +28,7 @@ def brute(rows):
         if w not in beginnings:
             out.setdefault(w, []).append(k[0])
     return sorted(
-        (min((c for c in ids if c is not None), default=None) or "", len(w), len(ids),
+        (min((c for c in ids if c is not None), default=""), len(w), len(ids),
          "".join(f"<|{r or ''}|>\n{t or ''}<|end|>\n" for r, t in w))
         for w, ids in out.items()
     )
@@ -54,4 +54,4 @@ def test_given_conversations(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in df.collect()]
     got = sorted((r.conv_id, r.n_turns, r.copies, r.rendered) for r in chat.render(df).collect())
-    assert got == brute(rows)
+    assert got == brute(rows) and len({len(r) for r in got}) == 1

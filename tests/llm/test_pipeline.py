@@ -8,18 +8,19 @@ import corpus_pipeline as cp
 from stratapanel.llm import neardup, rules
 from stratapanel.llm.queries import QUERIES
 from tests.llm.test_neardup import brute_groups, brute_hash
-from tests.llm.test_rules import brute
+from tests.llm.test_rules import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_stages_one_by_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {r.doc_id: r.text for r in docs.collect()}
+    every = docs.collect()
+    rows = {r.doc_id: r.text for r in every}
     ruled = cp.quality_rules(spark, docs, SF)
     kept = {r.doc_id: r.text for r in ruled.collect()}
-    want = {i for i, t in rows.items() if (m := brute(t or ""))[0] >= 50 and 2 * m[5] <= m[0]}
-    assert set(kept) == want and ruled.schema == docs.schema
+    stays, _ = brute_kept([(r.text, r.source) for r in every])
+    assert set(kept) == {r.doc_id for s, r in zip(stays, every) if s} and ruled.schema == docs.schema
     classed = cp.quality_classifier(spark, ruled, SF)
     good = {r.doc_id for r in classed.collect()}
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -48,6 +49,20 @@ def test_run_equals_its_stages(spark):
     assert got.drop("ids").orderBy(order).collect() == docs.drop("ids").orderBy(order).collect()
 
 
+def test_working_tables_of_former_stages_go(spark):
+    from stratapanel.sources import scratch
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    other = scratch.cut_lineage(docs, "not-ours")
+    cp.quality_rules(spark, docs, SF)
+    first = list(cp._left)
+    assert first and set(first) <= set(scratch.made())
+    written = scratch.cut_lineage(docs, "written")
+    cp.mix_sources(spark, written, SF).count()
+    assert not set(first) & set(scratch.made())
+    assert other.count() == written.count() == docs.count()
+
+
 def test_stages_take_empty_tables_and_extra_columns(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         frame = docs

@@ -1,4 +1,5 @@
 import re
+import statistics
 from collections import Counter
 
 from stratapanel.llm import rules
@@ -18,16 +19,36 @@ def test_measures_against_brute_force(odd_rows):
         assert rules.measure((t or "").encode()) == brute(t or "")
 
 
-def test_base_rules_and_columns(odd_docs, odd_rows, no_docs):
+def brute_fails(text):
+    n, chars, symbols, lines, dups, rep = brute(text)
+    return (n < 50, 2 * rep > n, 10 * symbols > n, 10 * dups > 3 * lines, chars < 2 * n or chars > 15 * n)
+
+
+def brute_kept(rows):
+    """Which of (text, host) rows stay."""
+    fails = [brute_fails(t or "") for t, _ in rows]
+    by = {}
+    for f, (_, h) in zip(fails, rows):
+        by.setdefault(h, []).append(f)
+    bad = set()
+    for r in range(5):
+        rates = [sum(f[r] for f in fs) / len(fs) for fs in by.values()]
+        m, v = statistics.fmean(rates), statistics.pvariance(rates)
+        c = m * (1 - m) / v - 1 if v > 0 else 0
+        for h, fs in by.items():
+            rate = (sum(f[r] for f in fs) + c * m) / (len(fs) + c) if c > 0 else m
+            if rate > 0.5:
+                bad.add(h)
+    return [not (f[0] or f[1] or h in bad and any(f)) for f, (_, h) in zip(fails, rows)], bad
+
+
+def test_verdicts_and_columns(odd_docs, odd_rows, no_docs):
     kept = rules.keep_good(odd_docs)
-    assert kept.columns == odd_docs.columns and kept.schema == odd_docs.schema
+    assert kept.columns == odd_docs.columns and kept.dtypes == odd_docs.dtypes
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
-    want = []
-    for i, t in odd_rows:
-        n, _, _, _, _, rep = brute(t or "")
-        if n >= 50 and 2 * rep <= n:
-            want.append((i is None, i or 0, t or ""))
-    assert got == sorted(want)
+    stays, bad = brute_kept([(t, f"src{k % 3}" if k % 5 else None) for k, (_, t) in enumerate(odd_rows)])
+    assert bad  # the fixture has a host that is distrusted
+    assert got == sorted((i is None, i or 0, t or "") for s, (i, t) in zip(stays, odd_rows) if s)
     assert rules.keep_good(no_docs).collect() == []
 
 
