@@ -280,13 +280,16 @@ def rolling_date_windows(dates: DataFrame, train_days: int, test_days: int) -> D
 def compare_model_returns(windows: DataFrame, returns: DataFrame) -> DataFrame:
     """Compounded return of each model in each test span and the best one.
 
-    ``returns(name, date, ret)`` are short daily series. Test spans may overlap; the spans a day is
-    in are found through the short list of windows carried as an array.
+    ``returns(name, date, ret)`` are daily series. Test spans may overlap; each names the months it
+    touches, so days and spans meet by month and not by a range.
     """
-    spans = windows.agg(F.collect_set(F.struct("test_start", "trade_date"))).scalar()
-    d = returns.filter(F.col("ret").isNotNull()).withColumn("_w", F.explode(spans))
-    d = d.filter((F.col("date") >= F.col("_w.test_start")) & (F.col("date") < F.col("_w.trade_date")))
-    g = d.groupBy(F.col("_w.trade_date").alias("trade_date"), "name").agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
+    first, last = F.trunc("test_start", "month"), F.trunc("trade_date", "month")
+    spans = windows.select("test_start", "trade_date").distinct().withColumn(
+        "_m", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH")))
+    )
+    d = returns.filter(F.col("ret").isNotNull()).withColumn("_m", F.trunc("date", "month")).join(spans, "_m")
+    d = d.filter((F.col("date") >= F.col("test_start")) & (F.col("date") < F.col("trade_date")))
+    g = d.groupBy("trade_date", "name").agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
     w = Window.partitionBy("trade_date").orderBy(F.desc("ret"), "name")
     return g.withColumn("is_best", F.row_number().over(w) == 1)
 
