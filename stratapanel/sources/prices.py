@@ -28,17 +28,22 @@ def price_csv_scan(
     start: str | None = None,
     end: str | None = None,
     symbols: Sequence[str] | None = None,
+    required: bool = True,
 ) -> DataFrame:
     """One CSV file (or folder) ``{SYM}_daily.csv`` per symbol, symbol taken from the path.
 
     A row with any negative price loses every value. A header that lacks a column is an error,
-    because the schema is enforced against it.
+    because the schema is enforced against it, and so is a symbol without a file; unless
+    ``required``, such symbols are left out as long as one is there.
     """
     paths = [f"{folder}/{s}_daily.csv" for s in symbols] if symbols else [f"{folder}/*_daily.csv"]
+    if symbols and not required:
+        paths = [f"{folder}/{{{','.join(symbols)}}}_daily.csv"]
     raw = (
         spark.read.schema(CSV_SCHEMA)
         .option("header", True)
         .option("enforceSchema", False)
+        .option("ignoreCorruptFiles", not required)
         .csv(paths)
         .withColumn("tic", F.regexp_extract("_metadata.file_path", r"([^/=]+)_daily\.csv", 1))
     )

@@ -262,3 +262,18 @@ def test_rolling_models_impute_and_tell_all_errors(spark):
     every = M.rolling_train_all(df, ["x", "z"], [str(q) for q in ends[4:]], 3, 1, names=("ridge",)).collect()
     assert len(every) == 12 * len(ends[4:])
     assert M.rolling_train_single(df, ["x", "z"], str(ends[0]), 2) is None
+
+
+def test_symbols_that_are_bad_or_absent_can_be_skipped(spark, tmp_path):
+    from stratapanel.sources.prices import price_csv_scan
+
+    head = "date,open,high,low,close,volume\n"
+    (tmp_path / "GOOD_daily.csv").write_text(head + "2024-01-02,1,2,1,2,5\n")
+    (tmp_path / "BAD_daily.csv").write_text("when,open\n2024-01-02,1\n")
+    names = ["GOOD", "BAD", "ABSENT"]
+    got = price_csv_scan(spark, str(tmp_path), symbols=names, required=False).collect()
+    assert [(r["tic"], r["close"]) for r in got] == [("GOOD", 2.0)]
+    with pytest.raises(Exception):
+        price_csv_scan(spark, str(tmp_path), symbols=names).collect()
+    with pytest.raises(Exception):
+        price_csv_scan(spark, str(tmp_path), symbols=["GOOD", "BAD"]).collect()
