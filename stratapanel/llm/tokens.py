@@ -12,7 +12,7 @@ import numpy as np
 import regex
 
 #: Entries that each of an encoder's two memories may hold; then the older half of it goes.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Visible characters below U+0250 but one: composed, with a single lower case, no blanks among them.
 _PLAIN = regex.compile(r"[!-~\u00A1-\u012F\u0131-\u024F]+")
 #: Fixed value: how the tokenizer's file splits lower-cased text.
@@ -48,10 +48,9 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         lower = {chr(c).lower() for c in range(0xA1, 0x250) if c != 0x130}
@@ -82,8 +81,15 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
+def _tokenizer(path: str) -> Any:
+    """One tokenizer for each worker process."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process, with what it remembers."""
+    """An encoder for one task: what it remembers goes with the task, so idle workers hold nothing."""
     return WordEncoder(path)
 
 
