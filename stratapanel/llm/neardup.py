@@ -44,22 +44,28 @@ LEAF = 2048
 _HASHES_AT_ONCE = 65_536
 
 
-def simhash(text: bytes, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a text (UTF-8) as an unsigned number; 0 for a text without words."""
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of all word shingles of a text (UTF-8), in bounded arrays; none for a text without words."""
     words = text.lower().split()  # bytes: only A-Z change, only ASCII blanks separate
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), dtype=np.int64, count=len(words)))
     starts = np.concatenate(([0], ends[:-1]))
     width = min(shingle, len(words))
     first, last = starts[: len(words) - width + 1], ends[width - 1 :] - 1
-    counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(first), _HASHES_AT_ONCE):
         spans = zip(first[at : at + _HASHES_AT_ONCE].tolist(), last[at : at + _HASHES_AT_ONCE].tolist(), strict=True)
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+        yield np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+
+
+def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a text (UTF-8) as an unsigned number; 0 for a text without words."""
+    counts, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        n += len(hashes)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(first), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def _simhasher() -> Callable[[list[bytes]], list]:
@@ -266,12 +272,17 @@ def fingerprint_groups(fps: DataFrame, member: Column, **how: int) -> DataFrame:
     a group has no other.
     """
     alone = cut_lineage(fps.groupBy("fp").agg(F.min(member).alias("least")), "distinct-fingerprints")
-    roots = components(links(alone, **how)).withColumnRenamed("node", "fp")
-    tied = cut_lineage(roots.join(alone, "fp"), "linked-fingerprints")
+    return _firsts(alone, links(alone, **how))
+
+
+def _firsts(alone: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, first), written: the smallest ``least`` of all (fp, least) rows connected to fp by edges (a, b)."""
+    roots = components(edges).withColumnRenamed("node", "fp")
+    tied = cut_lineage(roots.join(alone.select("fp", "least"), "fp"), "linked-fingerprints")
     firsts = tied.groupBy("root").agg(F.min("least").alias("first"))
     tied_first = salted_lookup(tied.select("fp", "root"), firsts, "root", F.col("fp")).select("fp", "first")
-    groups = alone.join(tied_first, "fp", "left").select("fp", F.coalesce("first", "least").alias("first"))
-    return cut_lineage(groups, "groups")
+    groups = alone.select("fp", "least").join(tied_first, "fp", "left")
+    return cut_lineage(groups.select("fp", F.coalesce("first", "least").alias("first")), "groups")
 
 
 def near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
@@ -289,20 +300,24 @@ def near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
     )
 
 
+def _ident(bits: str) -> Column:
+    return F.concat_ws(":", bits, F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+
+
+def _member(fp: str) -> Column:
+    """What the first row of a group is chosen by: rows without an id come last."""
+    return F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"), F.col(fp).alias("fp"))
+
+
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:
     """One document of each group, with the columns it came with: the one with the smallest doc_id.
 
     Rows without an id come last; of rows that agree in id and fingerprint one stays.
     """
     fp, me = unused("near_duplicate_fp", docs), unused("near_duplicate_row", docs)
-
-    def ident(bits: str) -> Column:
-        return F.concat_ws(":", bits, F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
-
     rows = cut_lineage(with_fingerprint(docs, out=fp), "fingerprinted")
     slim = rows.select(F.col(fp).alias("fp"), "doc_id")
-    member = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"), F.col("fp").alias("fp"))
-    first = fingerprint_groups(slim, member, **how).filter(F.col("first.fp") == F.col("fp"))
-    first = first.select("fp", "first.doc_id").select(ident("fp").alias("first_row"))
-    marked = rows.withColumn(me, ident(fp)).drop(fp)
+    first = fingerprint_groups(slim, _member("fp"), **how).filter(F.col("first.fp") == F.col("fp"))
+    first = first.select("fp", "first.doc_id").select(_ident("fp").alias("first_row"))
+    marked = rows.withColumn(me, _ident(fp)).drop(fp)
     return marked.join(first, F.col(me) == F.col("first_row"), "left_semi").dropDuplicates([me]).drop(me)
