@@ -20,7 +20,7 @@ from stratapanel.sources.scratch import cut_lineage
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: A host is distrusted when the shrunk share of its documents that fail a rule is above this.
+#: A host is distrusted when, for one of the rules, the shrunk share of its documents that fail it is above this.
 HOST_LIMIT = 0.5
 #: Rules that a document must pass on any host.
 BASE_RULES = ("too_short", "repeats")
@@ -78,7 +78,8 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
 
     The prior of a rule has the mean m of the hosts' rates and the concentration
     c = m (1 - m) / variance - 1; the shrunk rate of f failures in n documents is
-    (f + c m) / (n + c). Hosts that do not differ (or no positive c) all get m. Only those two
+    (f + c m) / (n + c). Hosts that do not differ all get m; where they differ as far as rates can (c is 0, or
+    below by rounding) each has its own rate. Only those two
     numbers for each rule pass through the driver. Documents without a host form one host of their own.
     """
     rules = failures()
@@ -93,8 +94,8 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
     shrunk = {}
     for r in rules:
         m, v = prior[f"m_{r}"] or 0.0, prior[f"v_{r}"] or 0.0
-        c = m * (1 - m) / v - 1 if v > 0 else 0.0
-        if c > 0:
+        if v > 0:
+            c = max(m * (1 - m) / v - 1, 0.0)
             shrunk[f"rate_{r}"] = (F.col(f"failed_{r}") + F.lit(c * m)) / (F.col("docs") + F.lit(c))
         else:
             shrunk[f"rate_{r}"] = F.lit(m)

@@ -75,3 +75,16 @@ def test_small_hosts_shrink_to_the_mean(spark):
     rate = {r.host: r.rate_symbols for r in rules.host_verdicts(measured).collect()}
     assert 0.1 < rate["tiny"] < 1.0
     measured.unpersist()
+
+
+def verdicts(spark, rows):
+    measured = rules.with_measures(spark.createDataFrame(rows, "text string, source string"), keep=["source"])
+    return {r.host: r.distrusted for r in rules.host_verdicts(measured).collect()}
+
+
+def test_hosts_that_fail_always_or_never_keep_their_own_rate(spark):
+    good = " ".join(f"word{i} runs" for i in range(60))
+    noisy = good + " ||| ### $$$ %%% " * 10
+    two = [(good, "clean")] * 10 + [(noisy, "bad")] * 10
+    assert verdicts(spark, two) == {"clean": False, "bad": True}
+    assert verdicts(spark, two + [(noisy, "bad too")] * 10) == {"clean": False, "bad": True, "bad too": True}
