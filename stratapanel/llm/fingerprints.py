@@ -17,9 +17,9 @@ from stratapanel.sources.scratch import cut_lineage
 
 #: Words in a window. Two thirds of all windows of three words are closed syncmers.
 WINDOW = 3
-#: Anchors kept in a fingerprint: the smallest hashes, a uniform sample of a text's anchors. Texts
-#: with fewer anchors are held whole.
-SKETCH = 128
+#: Anchors kept in a fingerprint: all. A number keeps the smallest hashes, a uniform sample of a text's
+#: anchors; texts with fewer anchors are held whole.
+SKETCH: int | None = None
 #: Texts with fewer code points are looked at by character instead of by word.
 SHORT = 64
 
@@ -64,21 +64,23 @@ def with_anchors(df: DataFrame, text: str = "text", out: str = "anchors", k: int
     return hashed.withColumn(out, anchors(F.col(out), k))
 
 
-def with_sketch(df: DataFrame, text: str, out: str, size: int = SKETCH, k: int = WINDOW) -> DataFrame:
-    """Add the sorted array of a text's ``size`` smallest distinct anchor hashes."""
-    return with_anchors(df, text, out, k).withColumn(
-        out, F.slice(F.sort_array(F.array_distinct(F.col(f"{out}.hash"))), 1, size)
-    )
+def with_sketch(df: DataFrame, text: str, out: str, size: int | None = SKETCH, k: int = WINDOW) -> DataFrame:
+    """Add the sorted array of a text's distinct anchor hashes, of the ``size`` smallest if given."""
+    marks = F.sort_array(F.array_distinct(F.col(f"{out}.hash")))
+    return with_anchors(df, text, out, k).withColumn(out, marks if size is None else F.slice(marks, 1, size))
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
+def likeness(a: Column, b: Column, size: int | None = SKETCH) -> Column:
     """Shared part of two texts (Dice), estimated from their sketches; exact when both are whole.
 
     Two texts without words are alike (1.0), one without words is unlike any other (0.0).
     """
+    both = F.array_intersect(a, b)
+    if size is None:
+        total = F.size(a) + F.size(b)
+        return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(both) / total)
     union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    jaccard = both / F.size(union)
+    jaccard = F.size(F.array_intersect(both, union)) / F.size(union)
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(2.0 * jaccard / (1.0 + jaccard))
 
 
@@ -120,7 +122,7 @@ def followers(keys: DataFrame) -> DataFrame:
     )
 
 
-def edit_comparison(docs: DataFrame, size: int = SKETCH, k: int = WINDOW) -> DataFrame:
+def edit_comparison(docs: DataFrame, size: int | None = SKETCH, k: int = WINDOW) -> DataFrame:
     """Fingerprint every text and its edited text, and compare.
 
     The edited text of a document has its last floor(n_chars / 2) code points replaced by the first

@@ -1,6 +1,7 @@
 import hashlib
 
 import xxhash
+from pyspark.sql import functions as F
 
 from stratapanel.llm import fingerprints as F1
 
@@ -92,3 +93,11 @@ def test_one_document_and_none(odd_docs, no_docs):
     one = odd_docs.filter("doc_id = 1").limit(1)
     r = F1.edit_comparison(one).collect()[0]
     assert r.near_next == 1.0 and 0 < r.near_edited < 1
+
+
+def test_a_changed_word_shows_in_the_fingerprint_of_a_long_text(spark):
+    words = [f"w{i * i % 1999}x{i % 7}" for i in range(1500)]
+    texts = [" ".join([*words[:at], "changed", *words[at + 1 :]]) for at in range(10, 1500, 50)]
+    df = spark.createDataFrame([(" ".join(words),)] + [(t,) for t in texts], "text string")
+    got = [r.fp for r in F1.with_sketch(df, "text", "sketch").select(F1.digest(F.col("sketch")).alias("fp")).collect()]
+    assert len(set(got)) >= len(texts)
