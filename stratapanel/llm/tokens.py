@@ -4,37 +4,58 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 import numpy as np
-import regex
 
-#: Entries that each of an encoder's two memories may hold; then the older half of it goes.
-REMEMBERED = 400_000
+#: Pieces and runs that a worker process remembers (about 150 bytes each) before the older half goes.
+PIECES, RUNS = 1_000_000, 400_000
+#: Hash values, a power of two, of which a memory notes whether they came up.
+SEEN = 1 << 22
 #: Visible characters below U+0250 but one: composed, with a single lower case, no blanks among them.
-_PLAIN = regex.compile(r"[!-~\u00A1-\u012F\u0131-\u024F]+")
-#: Fixed value: how the tokenizer's file splits lower-cased text.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-
-
-class _Memory(dict):
-    """A dictionary that computes what it does not hold, and forgets what was not asked for lately."""
-
-    def __init__(self, compute: Callable[[Any], bytes]) -> None:
-        super().__init__()
-        self.compute = compute
-        self.older: dict = {}
-
-    def __missing__(self, key: Any) -> bytes:
-        found = self.older.get(key)
-        if found is None:
-            found = self.compute(key)
-        if len(self) >= REMEMBERED // 2:
-            self.older = dict(self)
-            self.clear()
-        self[key] = found
+_PLAIN = re.compile(r"[!-~\u00A1-\u012F\u0131-\u024F\n]+")
+#: How the tokenizer's file splits lower-cased text, said for plain characters, where the only numbers
+#: that are no decimal digits are the six listed. A line end stands between pieces.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+|\n")
+#: Between the ids of two pieces. No id has this upper byte, so it is not found inside or across ids.
+_BETWEEN = b"\xff\xff"
+
+
+class Memory:
+    """What was computed lately and asked for more than once, in two generations.
+
+    A key is kept from the second time on that it is computed, so the many words that occur once take no
+    room: a bit for each hash value, fixed in number, tells which were computed before. When half of
+    ``most`` are kept, the older generation goes and the younger becomes the older.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.half = most // 2
+        self.known: dict[Any, bytes] = {}
+        self.older: dict[Any, bytes] = {}
+        self.seen = np.zeros(SEEN, dtype=bool)
+
+    def resolve(self, keys: set, compute: Callable[[list], Iterable[bytes]]) -> dict[Any, bytes]:
+        """The values of these keys, computed where they are not kept."""
+        found = dict(zip(keys, map(self.known.get, keys), strict=True))
+        missing = [k for k, v in found.items() if v is None]
+        again = {k: self.older[k] for k in missing if k in self.older}
+        new = [k for k in missing if k not in again] if again else missing
+        made = dict(zip(new, compute(new), strict=True)) if new else {}
+        found |= again
+        found |= made
+        if new:
+            bits = np.fromiter(map(hash, new), dtype=np.int64, count=len(new)) & (SEEN - 1)
+            before = self.seen[bits].tolist()
+            self.seen[bits] = True
+            again |= {k: made[k] for k, b in zip(new, before, strict=True) if b}
+        if len(self.known) + len(again) > self.half:
+            self.older, self.known = self.known, {}
+            self.seen[:] = False
+        self.known |= again
         return found
 
 
@@ -42,54 +63,68 @@ class WordEncoder:
     """Token ids of whole texts with a tokenizer that never joins across blanks.
 
     Such a tokenizer gives a text the ids of its blank-separated pieces, one after the other, and a
-    piece the ids of its runs of letters, digits and other signs. Each is encoded once and remembered; the ids are those of
-    the whole text. Plain pieces are lower-cased and split here and only their runs go to the
-    tokenizer's model; any other piece goes through the whole tokenizer. Ids must fit 16 bits.
+    piece the ids of its runs of letters, digits and other signs. Each is encoded once and remembered;
+    the ids are those of the whole text. The new pieces of some texts are lower-cased and split
+    together and only their new runs are encoded; pieces that are not plain go through the whole
+    tokenizer. Ids must fit 16 bits, with an upper byte below 255.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer = tokenizer_of(path)
         self.model = self.tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         lower = {chr(c).lower() for c in range(0xA1, 0x250) if c != 0x130}
         self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in lower}
-        self.runs = _Memory(self._encode_run)
-        self.pieces = _Memory(self._encode_piece)
+        self.runs = Memory(RUNS)
+        self.pieces = Memory(PIECES)
 
-    def _encode_run(self, run: str) -> bytes:
-        if not run.isascii():
-            run = run.translate(self.bytes)
+    def encode_run(self, run: str) -> bytes:
+        """Ids of one run, in the byte alphabet."""
         ids = [t.id for t in self.model.tokenize(run)]
         return struct.pack(f"<{len(ids)}H", *ids)
 
-    def _encode_piece(self, piece: bytes) -> bytes:
-        text = piece.decode("utf-8", "replace")
-        plain = text.isprintable() if text.isascii() else _PLAIN.fullmatch(text)
-        if plain and text.isalpha():
-            return self.runs[text.lower()]
-        if not plain or "<|" in text:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array(ids, dtype="<u2").tobytes()
-        return b"".join(map(self.runs.__getitem__, _SPLIT.findall(text.lower())))
+    def encode_odd(self, piece: str) -> bytes:
+        """Ids of a piece as the tokenizer's own rules give them."""
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def _encode_runs(self, runs: list[str]) -> Iterable[bytes]:
+        for run in runs:
+            yield _BETWEEN if run == "\n" else self.encode_run(run if run.isascii() else run.translate(self.bytes))
+
+    def _encode_pieces(self, pieces: list[bytes]) -> Iterable[bytes]:
+        if not pieces:
+            return []
+        text = b"\n".join(pieces).decode("utf-8", "replace")
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            return self._encode_mixed(text.split("\n"))
+        runs = _SPLIT.findall(text.lower())
+        return b"".join(map(self.runs.resolve(set(runs), self._encode_runs).__getitem__, runs)).split(_BETWEEN)
+
+    def _encode_mixed(self, pieces: list[str]) -> list[bytes]:
+        plain = [p for p in pieces if _PLAIN.fullmatch(p) and "<|" not in p]
+        made = iter(self._encode_pieces([p.encode() for p in plain]))
+        return [next(made) if _PLAIN.fullmatch(p) and "<|" not in p else self.encode_odd(p) for p in pieces]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, little-endian, 16 bits each."""
-        look_up = self.pieces.__getitem__
-        return [b"".join(map(look_up, t.split())) for t in texts]
+        cut = [t.split() for t in texts]
+        look_up = self.pieces.resolve(set().union(*cut), self._encode_pieces).__getitem__
+        return [b"".join(map(look_up, pieces)) for pieces in cut]
 
 
 @functools.lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Any:
+def tokenizer_of(path: str) -> Any:
     """One tokenizer for each worker process."""
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
-    """An encoder for one task: what it remembers goes with the task, so idle workers hold nothing."""
+    """One encoder for each worker process: the words of one task are mostly those of the next."""
     return WordEncoder(path)
 
 
