@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapanel.llm import (
-    attribution, chat, classifier, fingerprints, materialise, mixing, neardup, packing, rules, sharding, twins,
+    attribution, balltree, bpe, chat, classifier, fingerprints, materialise, mixing, neardup, packing, resampling,
+    rules, sharding, twins,
 )
 from stratapanel.llm.common import table
 from stratapanel.sources.scratch import cut_lineage
@@ -73,12 +74,24 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints, op2_temperature_mix, op3_splitter_shards, op4_training_order,
         op5_compression_classifier, op6_snapshot_collapse, op7_host_rules, op8_token_attribution,
-        op9_curve_packing, op10_simhash_groups,
+        op9_curve_packing, op10_simhash_groups, op11_ball_tree_search, op12_target_resampling, op13_prefix_bpe,
     )
 }
 ORACLES: dict[str, str] = twins.ORACLES
