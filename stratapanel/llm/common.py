@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ BLANK_RUN = r"[ \t\n\x0B\f\r]+"
 
 #: Rows a Python task works on at a time; bounds its memory whatever Arrow's batch size is.
 SLICE_ROWS = 256
+#: Bytes of text that a Python task works on at a time, in at most so many rows; one row may be longer.
+TEXT_BYTES, TEXT_ROWS = 4 << 20, 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +45,18 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
+def by_bytes(batch: pa.RecordBatch, column: int = -1) -> Iterator[pa.RecordBatch]:
+    """A batch in slices that hold ``TEXT_BYTES`` of a binary column, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = int(np.searchsorted(ends, before + TEXT_BYTES, side="right"))
+        n = min(max(end - at, 1), TEXT_ROWS)
+        yield batch.slice(at, n)
+        at += n
+
+
 def add_by_text(
     df: DataFrame,
     text: str,
@@ -48,7 +64,7 @@ def add_by_text(
     make: Callable[[], Callable[[list[bytes]], Sequence[Sequence]]],
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add columns that a Python function computes from whole texts, in bounded slices.
+    """Add columns that a Python function computes from whole texts, in slices of bounded bytes.
 
     ``fields`` lists (name, Spark type, Arrow type); a field replaces a column of its name.
     ``make`` runs once in each task and returns a function from texts (UTF-8 bytes, null: empty)
@@ -65,8 +81,7 @@ def add_by_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in by_bytes(batch):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 made = compute([x or b"" for x in texts])
                 arrays = [part.column(i) for i in range(len(keep))]

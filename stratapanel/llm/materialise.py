@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import SLICE_ROWS
+from stratapanel.llm.common import SLICE_ROWS, by_bytes
 from stratapanel.llm.tokens import word_encoder
 from stratapanel.sources.scratch import cut_lineage, new_path
 
@@ -93,8 +93,8 @@ def _streamer(path: str, length: int) -> Callable[[Iterator[pa.RecordBatch]], It
             return pa.RecordBatch.from_arrays(columns, names=["task", "number", "n_tokens", "packed", "pieces"])
 
         for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE_ROWS):
-                batch, done = whole.slice(lo, SLICE_ROWS), []
+            for batch in by_bytes(whole):
+                done = []
                 texts = [x or b"" for x in batch.column(1).to_pylist()]
                 for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
                     ids, start = ids + end, 0

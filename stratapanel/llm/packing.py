@@ -33,17 +33,27 @@ def projection(vocabulary: int = 1 << 16, dims: int = DIMS) -> np.ndarray:
     return np.random.default_rng(9).choice(np.array([-1.0, 1.0], dtype=np.float32), size=(vocabulary, dims))
 
 
-def place(ids: np.ndarray, signs: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Grid cell of a document: the projected mean of its distinct tokens, squashed to 0 .. 2^depth - 1.
+def places(documents: list[bytes], signs: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Grid cells of documents (16-bit ids): the projected mean of their distinct tokens, squashed to 0 .. 2^depth - 1.
 
     Distinct tokens, weighed alike, keep the most frequent ones of a language from deciding
     everything. Documents without tokens lie in the middle.
     """
-    distinct = np.unique(ids)
-    if not len(distinct):
-        return np.full(signs.shape[1], 1 << (depth - 1), dtype=np.int64)
-    mean = signs[distinct].sum(axis=0, dtype=np.float64) / np.sqrt(len(distinct))
-    return np.minimum((1 << depth) / (1 + np.exp(-1.7 * mean)), (1 << depth) - 1).astype(np.int64)
+    lengths = np.array([len(x) // 2 for x in documents], dtype=np.int64)
+    ids = np.frombuffer(b"".join(documents), dtype="<u2")
+    marked = np.repeat(np.arange(len(documents), dtype=np.uint64) << np.uint64(16), lengths) | ids
+    marked.sort()
+    marked = marked[np.concatenate(([True], marked[1:] != marked[:-1]))] if len(marked) else marked
+    counts = np.bincount((marked >> np.uint64(16)).astype(np.int64), minlength=len(documents))
+    sums = np.zeros((len(documents), signs.shape[1]))
+    full = counts > 0
+    if full.any():
+        starts = (np.cumsum(counts) - counts)[full]
+        sums[full] = np.add.reduceat(signs[(marked & np.uint64(0xFFFF)).astype(np.int64)], starts, axis=0, dtype=np.float64)
+    mean = sums / np.sqrt(np.maximum(counts, 1))[:, None]
+    cells = np.minimum((1 << depth) / (1 + np.exp(-1.7 * mean)), (1 << depth) - 1).astype(np.int64)
+    cells[~full] = 1 << (depth - 1)
+    return cells
 
 
 def hilbert(cells: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -86,8 +96,7 @@ def _encoder(path: str, dims: int, depth: int) -> Callable[[], Callable[[list[by
             ids = encoder.encode(texts)
             if not ids:
                 return [[], [], []]
-            cells = np.array([place(np.frombuffer(x, dtype="<u2"), signs, depth) for x in ids])
-            return [ids, hilbert(cells, depth), [len(x) // 2 + 1 for x in ids]]
+            return [ids, hilbert(places(ids, signs, depth), depth), [len(x) // 2 + 1 for x in ids]]
 
         return encode
 

@@ -42,8 +42,10 @@ class Memory:
         """The values of these keys, computed where they are not kept."""
         found = dict(zip(keys, map(self.known.get, keys), strict=True))
         missing = [k for k, v in found.items() if v is None]
-        again = {k: self.older[k] for k in missing if k in self.older}
-        new = [k for k in missing if k not in again] if again else missing
+        again = dict(zip(missing, map(self.older.get, missing), strict=True)) if self.older else {}
+        new = [k for k, v in again.items() if v is None] if again else missing
+        for k in new if again else ():
+            del again[k]
         made = dict(zip(new, compute(new), strict=True)) if new else {}
         found |= again
         found |= made
