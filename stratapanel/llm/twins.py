@@ -18,9 +18,9 @@ def _host_rules() -> str:
     prior = ", ".join(
         f"avg(CAST(f_{r} AS DOUBLE) / docs) AS m_{r}, var_pop(CAST(f_{r} AS DOUBLE) / docs) AS v_{r}" for r in _RULES
     )
-    weight = ", ".join(f"CASE WHEN v_{r} > 0 THEN m_{r} * (1 - m_{r}) / v_{r} - 1 ELSE 0 END AS c_{r}" for r in _RULES)
+    weight = ", ".join(f"CASE WHEN v_{r} > 0 THEN greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 0) END AS c_{r}" for r in _RULES)
     above = " OR ".join(
-        f"CASE WHEN c_{r} > 0 THEN (f_{r} + c_{r} * m_{r}) / (docs + c_{r}) ELSE m_{r} END > {HOST_LIMIT}" for r in _RULES
+        f"CASE WHEN v_{r} > 0 THEN (f_{r} + c_{r} * m_{r}) / (docs + c_{r}) ELSE m_{r} END > {HOST_LIMIT}" for r in _RULES
     )
     base = f"({_RULES['too_short']} OR {_RULES['repeats']})"
     fails = "(" + " OR ".join(_RULES.values()) + ")"

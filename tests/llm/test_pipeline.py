@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as cp
 from stratapanel.llm import neardup, rules
 from stratapanel.llm.queries import QUERIES
-from tests.llm.test_neardup import brute_groups, brute_hash
+from tests.llm.test_alike import brute_first
 from tests.llm.test_rules import brute_kept
 
 SF = "/root/testdata/sf0.001"
@@ -27,10 +27,9 @@ def test_stages_one_by_one(spark):
     clean = [i for i in kept if quality.get(i) == 1]
     assert sum(i in good for i in clean) / len(clean) > 0.9 and classed.schema == docs.schema
     single = cp.near_duplicates(spark, classed, SF)
-    fps = {i: brute_hash(rows[i] or "") for i in good}
-    groups = brute_groups(list(fps.items()))
+    groups = brute_first(sorted((i, rows[i] or "") for i in good))
     ones = [r.doc_id for r in single.collect()]
-    assert sorted(ones) == sorted({groups[f] for f in fps.values()}) and single.schema == docs.schema
+    assert sorted(ones) == sorted(set(groups.values())) and single.schema == docs.schema
     mixed = cp.mix_sources(spark, single, SF)
     assert {r.doc_id for r in mixed.collect()} == set(ones) and mixed.schema == docs.schema
     packed = cp.pack_sequences(spark, mixed, SF)

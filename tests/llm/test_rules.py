@@ -2,7 +2,9 @@ import re
 import statistics
 from collections import Counter
 
-from stratapanel.llm import rules
+import duckdb
+
+from stratapanel.llm import rules, twins
 
 
 def brute(text):
@@ -34,9 +36,9 @@ def brute_kept(rows):
     for r in range(5):
         rates = [sum(f[r] for f in fs) / len(fs) for fs in by.values()]
         m, v = statistics.fmean(rates), statistics.pvariance(rates)
-        c = m * (1 - m) / v - 1 if v > 0 else 0
+        c = max(m * (1 - m) / v - 1, 0) if v > 0 else None  # none: the hosts do not differ
         for h, fs in by.items():
-            rate = (sum(f[r] for f in fs) + c * m) / (len(fs) + c) if c > 0 else m
+            rate = (sum(f[r] for f in fs) + c * m) / (len(fs) + c) if c is not None else m
             if rate > 0.5:
                 bad.add(h)
     return [not (f[0] or f[1] or h in bad and any(f)) for f, (_, h) in zip(fails, rows)], bad
@@ -88,3 +90,23 @@ def test_hosts_that_fail_always_or_never_keep_their_own_rate(spark):
     two = [(good, "clean")] * 10 + [(noisy, "bad")] * 10
     assert verdicts(spark, two) == {"clean": False, "bad": True}
     assert verdicts(spark, two + [(noisy, "bad too")] * 10) == {"clean": False, "bad": True, "bad too": True}
+
+
+def test_sql_twin_and_brute_force_on_extreme_hosts(spark):
+    """Hosts that always or never fail, and hosts that do not differ: all three say the same."""
+    good = " ".join(f"word{i} runs" for i in range(60))
+    noisy = good + " ||| ### $$$ %%% " * 10
+    for rows in (
+        [(good, "clean")] * 10 + [(noisy, "bad")] * 10, [(noisy, "a")] * 3 + [(noisy, "b")] * 4,
+        [(good, None)] * 3 + [(noisy, "b")] * 4 + [(noisy, "c"), (good, "c")],
+    ):
+        numbered = [(i, t, h) for i, (t, h) in enumerate(rows)]
+        docs = spark.createDataFrame(numbered, "doc_id long, text string, source string")
+        got = {r.doc_id: (r.host_distrusted, r.kept) for r in rules.judge(rules.with_measures(docs)).collect()}
+        con = duckdb.connect()
+        con.register("frame", docs.toPandas())
+        con.execute("CREATE VIEW documents AS SELECT * FROM frame")
+        sql = {r[0]: r[1:] for r in con.execute(
+            f"SELECT doc_id, host_distrusted, kept FROM ({twins.ORACLES['op7_host_rules']})").fetchall()}
+        stays, bad = brute_kept(rows)
+        assert got == sql == {i: (h in bad, k) for (i, _, h), k in zip(numbered, stays)}
