@@ -257,13 +257,13 @@ def event_weights(
     """Target weights at each month's signal day and last day.
 
     ``signals(date, tic, signal)``, ``events(date, kind)`` with kind 'signal' or 'month_end'. A
-    signal day takes the names with a signal (at most ``cap``, in hash order), equally weighted
+    signal day takes the names with a signal (at most ``cap``, in the order of md5(date, ticker)), equally weighted
     within [low, high]; a signal day without any changes nothing. A month end sets the held
     names to equal weight again, keeping their sign.
     """
     day = events.filter(F.col("kind") == "signal").select("date")
     on = signals.filter(F.col("signal") != 0).join(day, "date", "left_semi")
-    w = Window.partitionBy("date").orderBy(F.xxhash64("date", "tic"), "tic")
+    w = Window.partitionBy("date").orderBy(F.md5(F.concat(F.col("date").cast("string"), F.col("tic"))), "tic")
     picked = on.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
     n = picked.groupBy("date").agg(F.count("*").alias("_n"))
     size = F.least(F.lit(high), F.greatest(F.lit(low), F.lit(ratio) / F.col("_n")))

@@ -151,8 +151,9 @@ def ticker_normalise(spark, sf):
 
 
 @query("zscore_normalise_global", """
-WITH s AS (SELECT avg(ret) AS m, stddev_samp(ret) AS sd, avg(volume) AS vm, stddev_samp(volume) AS vs FROM day_returns)
-SELECT tic, date, """ + qcut("(ret - m) / sd") + " AS ret, " + qcut("(volume - vm) / vs") + " AS volume, 0.0::DOUBLE AS flat FROM day_returns, s")
+WITH z AS (SELECT tic, date, (ret - (SELECT avg(ret) FROM day_returns)) / (SELECT stddev_samp(ret) FROM day_returns) AS r,
+  (volume - (SELECT avg(volume) FROM day_returns)) / (SELECT stddev_samp(volume) FROM day_returns) AS v FROM day_returns)
+SELECT tic, date, """ + qcut("r") + " AS ret, " + qcut("v") + " AS volume, 0.0::DOUBLE AS flat FROM z")
 def zscore_normalise_global(spark, sf):
     d = day_returns(spark, sf).select("tic", "date", "ret", "volume", F.lit(3.0).alias("flat"))
     z = K.zscore_normalise_global(d, ["ret", "volume", "flat"])

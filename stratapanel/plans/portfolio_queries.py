@@ -271,7 +271,8 @@ def daily_signals(spark, sf):
 
 
 @query("monthly_target_weights", f"""
-WITH e AS (SELECT date FROM month_days WHERE k = 2 OR n = 1), s AS (SELECT d.date, tic, signal, count(*) OVER (PARTITION BY d.date) AS n FROM daily_signal d JOIN e USING (date) WHERE d.date < last_day((SELECT max(date) FROM monthly_signal))),
+WITH e AS (SELECT date FROM month_days WHERE k = 2 OR n = 1), g AS (SELECT date, tic, signal FROM daily_signal JOIN e USING (date) WHERE signal <> 0 AND date < last_day((SELECT max(date) FROM monthly_signal)) QUALIFY row_number() OVER (PARTITION BY date ORDER BY md5(CAST(date AS VARCHAR) || tic), tic) <= 20),
+s AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM g),
 d AS (SELECT c.date, (SELECT max(date) FROM s WHERE s.date <= c.date) AS f FROM calendar c)
 SELECT d.date, tic, {qcut('signal * least(0.2, greatest(0.05, 1.0::DOUBLE / n))')} AS weight FROM d JOIN s ON s.date = d.f""")
 def monthly_target_weights(spark, sf):

@@ -147,7 +147,7 @@ def latest_prediction(spark, sf):
     return X.latest_prediction(bucket_preds(spark, sf)).select("tic", "datadate", "bucket", "pred")
 
 
-view("zs", f"SELECT tic, date, close, {qcut('zscore', 4)} AS z FROM scores WHERE is_valid")
+view("zs", f"SELECT tic, date, close, zscore AS z FROM scores WHERE is_valid")
 _F4 = "OVER (PARTITION BY tic ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
 view("mk", f"""
 SELECT tic, date, close, z, CASE WHEN count(*) {_F4} = 4 THEN CAST(sum((z > 2.5)::INT) {_F4} AS BIGINT) ELSE 0 END AS trigger_count,
@@ -160,16 +160,17 @@ def weekly_z(spark, sf, daily=None):
 
 
 def z_of(scores):
-    return scores.filter("is_valid").select("tic", "date", "close", cut(F.col("zscore"), 4).alias("z"))
+    return scores.filter("is_valid").select("tic", "date", "close", F.col("zscore").alias("z"))
 
 
 def _dates_text(d):
     return d.withColumn("trigger_dates", F.concat_ws(",", F.transform("trigger_dates", lambda x: x.cast("string"))))
 
 
-@query("exception_mk", "SELECT tic, date, z, trigger_count, trigger_dates, trigger_count >= 2 AS mk FROM mk")
+@query("exception_mk", f"SELECT tic, date, {qcut('z', 4)} AS z, trigger_count, trigger_dates, trigger_count >= 2 AS mk FROM mk")
 def exception_mk(spark, sf):
-    return _dates_text(X.exception_mk(weekly_z(spark, sf))).drop("close").withColumn("trigger_count", long(F.col("trigger_count")))
+    d = _dates_text(X.exception_mk(weekly_z(spark, sf))).drop("close").withColumn("z", cut(F.col("z"), 4))
+    return d.withColumn("trigger_count", long(F.col("trigger_count")))
 
 
 view("strong", """
@@ -179,23 +180,23 @@ j AS (SELECT * FROM a LEFT JOIN b USING (date))
 SELECT *, coalesce(z >= 3.5 AND ar > 1.5::DOUBLE * br AND ar > 0, false) AS strong, CASE WHEN z < 3.5 THEN 'score' WHEN ar IS NULL OR br IS NULL THEN 'data' WHEN ar <= 0 THEN 'negative' WHEN ar <= 1.5::DOUBLE * br THEN 'benchmark' ELSE 'qualified' END AS reason FROM j""")
 
 
-@query("exception_strong_signal", f"SELECT tic, date, z, {qcut('ar')} AS asset_ret, {qcut('br')} AS bench_ret, strong, reason FROM strong")
+@query("exception_strong_signal", f"SELECT tic, date, {qcut('z', 4)} AS z, {qcut('ar')} AS asset_ret, {qcut('br')} AS bench_ret, strong, reason FROM strong")
 def exception_strong_signal(spark, sf):
     daily = T.daily_panel(spark, sf)
     d = X.exception_strong_signal(weekly_z(spark, sf, daily), T.bench_weekly(spark, sf, daily).select("date", "close")).drop("close")
-    return d.select("tic", "date", "z", cut(F.col("asset_ret")).alias("asset_ret"), cut(F.col("bench_ret")).alias("bench_ret"), "strong", "reason")
+    return d.select("tic", "date", cut(F.col("z"), 4).alias("z"), cut(F.col("asset_ret")).alias("asset_ret"), cut(F.col("bench_ret")).alias("bench_ret"), "strong", "reason")
 
 
 @query("exception_candidates", """
 WITH q AS (SELECT tic, date, mk.z, trigger_count, trigger_dates, trigger_count >= 2 AS m, strong FROM mk JOIN strong USING (tic, date) WHERE tic IN (SELECT tic FROM membership))
-SELECT tic, date, z, trigger_count, trigger_dates, strong, m OR strong AS qualifies,
+SELECT tic, date, """ + qcut("z", 4) + """ AS z, trigger_count, trigger_dates, strong, m OR strong AS qualifies,
   CASE WHEN m OR strong THEN row_number() OVER (PARTITION BY date, m OR strong ORDER BY z DESC, tic) END AS place FROM q""")
 def exception_candidates(spark, sf):
     daily = T.daily_panel(spark, sf)
     z = weekly_z(spark, sf, daily)
     d = X.exception_candidates(z, T.bench_weekly(spark, sf, daily).select("date", "close"), P.membership(spark, sf))
     d = _dates_text(d).withColumn("trigger_count", long(F.col("trigger_count")))
-    return d.select("tic", "date", "z", "trigger_count", "trigger_dates", "strong", "qualifies", "place")
+    return d.select("tic", "date", cut(F.col("z"), 4).alias("z"), "trigger_count", "trigger_dates", "strong", "qualifies", "place")
 
 
 @query("quantile_buckets", """

@@ -70,7 +70,7 @@ def index_weekly(spark: SparkSession, sf: str, index: DataFrame | None = None) -
 
 
 def group_returns(w: DataFrame) -> DataFrame:
-    return A.group_equal_weight_return(w, "sector").withColumn("ret", F.round("ret", 10))
+    return A.group_equal_weight_return(w, "sector")
 
 
 def bench_weekly(spark: SparkSession, sf: str, daily: DataFrame | None = None) -> DataFrame:
@@ -120,7 +120,7 @@ WHERE p.date > coalesce(w.prev + 1, w.date - 7)""")
 view("weekly", """
 SELECT tic, date, close, close / lag(close) OVER (PARTITION BY tic ORDER BY date) - 1 AS ret, sector FROM (
   SELECT tic, week_end AS date, max_by(close, date) AS close FROM smooth JOIN week_map USING (date) GROUP BY 1, 2) x JOIN sectors USING (tic)""")
-view("group_weekly", "SELECT sector, date, round(avg(ret), 10) AS ret FROM weekly GROUP BY 1, 2")
+view("group_weekly", "SELECT sector, date, avg(ret) AS ret FROM weekly GROUP BY 1, 2")
 view("bench_weekly", """
 SELECT date, close, close / lag(close) OVER (ORDER BY date) - 1 AS ret FROM (
   SELECT week_end AS date, max_by(close, date) AS close FROM bench JOIN week_map USING (date) GROUP BY 1) x""")
