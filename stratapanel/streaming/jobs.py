@@ -6,28 +6,67 @@ are file sinks or idempotent ``foreachBatch`` writes under the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stratapanel.operators.calendar import interval_gaps, merge_intervals
 from stratapanel.sources import scratch
 
 
-def run_to_files(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available into a parquet sink and return the result table."""
-    spark = stream.sparkSession
-    out, check = scratch.new_path(spark, name), scratch.new_path(spark, f"{name}-checkpoint")
-    q = (
+def start(stream: DataFrame, out: str, check: str) -> StreamingQuery:
+    """Process what is available into parquet files below ``out``; ``check`` says what was done before."""
+    return (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
     )
-    q.awaitTermination()
+
+
+def run_to_files(stream: DataFrame, name: str) -> DataFrame:
+    """Process everything available into a parquet sink and return the result table."""
+    spark = stream.sparkSession
+    out = scratch.new_path(spark, name)
+    start(stream, out, scratch.new_path(spark, f"{name}-checkpoint")).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_parts(parts: Sequence[DataFrame], name: str, run: Callable[[DataFrame], StreamingQuery]) -> list[dict]:
+    """Let parts of a table arrive one after the other, each as many files, and run a job after each.
+
+    ``run`` starts the job on the stream of all files, with the same checkpoint every time; each run
+    spreads its new files over tasks. Returns the last progress of every run.
+    """
+    spark = parts[0].sparkSession
+    path, told = scratch.new_path(spark, name), []
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        q = run(spark.readStream.schema(part.schema).parquet(path))
+        q.awaitTermination()
+        told.append(q.lastProgress)
+    return told
+
+
+def parts_to_files(parts: Sequence[DataFrame], name: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The result of an append job over parts that arrive one after the other."""
+    spark = parts[0].sparkSession
+    out, check = scratch.new_path(spark, name), scratch.new_path(spark, f"{name}-checkpoint")
+    kinds = []
+
+    def run(stream: DataFrame) -> StreamingQuery:
+        made = job(stream)
+        kinds.append(made.schema)
+        return start(made, out, check)
+
+    run_parts(parts, f"{name}-in", run)
+    return spark.read.schema(kinds[0]).parquet(out)
+
+
 def quote_bars(quotes: DataFrame, size: str = "1 day", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Open, high, low, close and volume per ticker and time window, late rows up to a bound.
 
@@ -47,90 +86,148 @@ def quote_sessions(quotes: DataFrame, gap: str = "30 minutes", late: str = "10 m
     ).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "tic", "quotes", "high")
 
 
-def stop_loss_stream(prices: DataFrame, absolute: float = -0.05, trailing: float = -0.10, cooldown_days: int = 20) -> DataFrame:
-    """Stop signals of a stream of held-position prices; state is peak and end of the quiet time.
+def _by_date(
+    stream: DataFrame, keys: Sequence[str], values: Sequence[str], step: Callable, schema: str, late_days: int, idle_days: int,
+) -> DataFrame:
+    """Fold each key's rows in date order, rows up to ``late_days`` late included, and forget idle keys.
 
-    ``prices(tic, entry_date, entry_price, date, close)``, in date order per position over batches.
+    Rows wait in the state until the watermark is past their date, so whatever batch they come in, they are
+    folded in order; later ones are dropped by the engine. ``step(key, memory, date, values)`` returns the new
+    memory and the output row or None. A key without a row for ``idle_days`` of event time loses its state.
     """
-    quiet = pd.Timedelta(days=7 * ((cooldown_days + 6) // 7))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("date")
-        entry = float(rows["entry_price"].iloc[0])
-        peak, until = state.get if state.exists else (entry, None)
-        until = pd.Timestamp(until) if until else None
+    day = 86_400_000
+    at = F.to_timestamp("date")
+    timed = stream.withColumns({"_at": at, "_ms": F.unix_millis(at), "_day": F.date_format("date", "yyyy-MM-dd")})
+    timed = timed.withWatermark("_at", f"{late_days} days").select(*keys, *values, "_at", "_ms", "_day")
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory, waiting, last = json.loads(state.get[0]) if state.exists else (None, [], 0)
+        if not state.hasTimedOut:
+            for rows in batches:
+                new = [list(r) for r in rows[["_ms", "_day", *values]].itertuples(index=False, name=None)]
+                waiting += [[int(r[0]), r[1], *(x.item() if hasattr(x, "item") else x for x in r[2:])] for r in new]
+        mark = state.getCurrentWatermarkMs()
+        due = sorted(r for r in waiting if r[0] < mark)
+        waiting = [r for r in waiting if r[0] >= mark]
         out = []
-        for day, close in zip(pd.to_datetime(rows["date"]), rows["close"]):
-            peak = max(peak, close)
-            if until is not None and day < until:
-                continue
-            kind = "absolute" if close / entry - 1 <= absolute else "trailing" if close / peak - 1 <= trailing else None
-            if kind:
-                until = day + quiet
-                out.append((key[0], key[1], day.date(), kind, until.date()))
-        state.update((float(peak), str(until.date()) if until is not None else ""))
-        yield pd.DataFrame(out, columns=["tic", "entry_date", "date", "kind", "cooldown_until"])
-
-    return prices.groupBy("tic", "entry_date").applyInPandasWithState(
-        step, "tic string, entry_date date, date date, kind string, cooldown_until date",
-        "peak double, until string", "append", GroupStateTimeout.NoTimeout,
+        for ms, date, *row in due:
+            memory, made = step(key, memory, dt.date.fromisoformat(date), row)
+            last = ms
+            if made is not None:
+                out.append(made)
+        ends = last + idle_days * day
+        if not waiting and mark > ends:
+            state.remove()
+        else:
+            state.update((json.dumps((memory, waiting, last)),))
+            state.setTimeoutTimestamp(max(min((r[0] for r in waiting), default=ends), mark + 1))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return timed.groupBy(*keys).applyInPandasWithState(
+        fold, schema, "folded string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def fast_risk_off_stream(shocks: DataFrame, duration: int = 10, exit_at: float = 0.01) -> DataFrame:
-    """Overlay state of a stream of index days; state is days since the trigger and last prices.
+def stop_loss_stream(
+    prices: DataFrame, absolute: float = -0.05, trailing: float = -0.10, cooldown_days: int = 20, late_days: int = 7,
+    idle_days: int = 60,
+) -> DataFrame:
+    """Stop signals of a stream of held-position prices; state is peak, end of the quiet time, waiting rows.
 
-    ``shocks(index, date, spx, trigger)``, in date order per index over batches.
+    ``prices(tic, entry_date, entry_price, date, close)``, up to ``late_days`` out of order; a signal comes when
+    the watermark is past its day. A position without a price for ``idle_days`` is closed and leaves no state.
+    """
+    quiet = dt.timedelta(days=7 * ((cooldown_days + 6) // 7))
+
+    def step(key: tuple, memory: list | None, date: dt.date, row: list) -> tuple[list, tuple | None]:
+        entry, close = row
+        peak, until = memory or (entry, None)
+        peak = max(peak, close)
+        if until is not None and date < dt.date.fromisoformat(until):
+            return [peak, until], None
+        kind = "absolute" if close / entry - 1 <= absolute else "trailing" if close / peak - 1 <= trailing else None
+        if kind is None:
+            return [peak, until], None
+        until = date + quiet
+        return [peak, until.isoformat()], (key[0], key[1], date, kind, until)
+
+    schema = "tic string, entry_date date, date date, kind string, cooldown_until date"
+    return _by_date(prices, ["tic", "entry_date"], ["entry_price", "close"], step, schema, late_days, idle_days)
+
+
+def fast_risk_off_stream(
+    shocks: DataFrame, duration: int = 10, exit_at: float = 0.01, late_days: int = 7, idle_days: int = 60
+) -> DataFrame:
+    """Overlay state of a stream of index days; state is days since the trigger, last prices, waiting rows.
+
+    ``shocks(index, date, spx, trigger)``, up to ``late_days`` out of order; a day's state comes when the
+    watermark is past it.
     """
+    def step(key: tuple, memory: list | None, date: dt.date, row: list) -> tuple[list, tuple]:
+        price, hit = row
+        gone, p1, p2, p3 = memory or (-1, 0.0, 0.0, 0.0)
+        if gone < 0:
+            gone, made = (0, (key[0], date, True, duration)) if hit else (-1, (key[0], date, False, 0))
+        else:
+            gone += 1
+            base = p3 if gone >= 4 else p2
+            if gone >= duration or (gone >= 3 and price / base - 1 > exit_at):
+                gone = -1
+            made = (key[0], date, gone >= 0, duration - gone if gone >= 0 else 0)
+        return [gone, price, p1, p2], made
+
+    schema = "index string, date date, is_active boolean, days_remaining long"
+    return _by_date(shocks, ["index"], ["spx", "trigger"], step, schema, late_days, idle_days)
+
+
+def news_stream(news: DataFrame, keys: Sequence[str], time: str = "published_datetime", late: str = "1 day") -> DataFrame:
+    """Articles of a stream, each key once: what the provider sends again is dropped.
+
+    A key's state is kept until the watermark is ``late`` past it; a repeat that comes after that, and an article
+    that is first sent so late, are older than the watermark and dropped too. ``time`` must be one of the keys.
+    """
+    return news.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("date")
-        gone, p1, p2, p3 = state.get if state.exists else (-1, 0.0, 0.0, 0.0)
-        out = []
-        for day, price, hit in zip(rows["date"], rows["spx"], rows["trigger"]):
-            if gone < 0:
-                gone = 0 if hit else -1
-                out.append((key[0], day, bool(hit), duration if hit else 0))
-            else:
-                gone += 1
-                base = p3 if gone >= 4 else p2
-                if gone >= duration or (gone >= 3 and price / base - 1 > exit_at):
-                    gone = -1
-                out.append((key[0], day, gone >= 0, duration - gone if gone >= 0 else 0))
-            p1, p2, p3 = float(price), p1, p2
-        state.update((int(gone), p1, p2, p3))
-        yield pd.DataFrame(out, columns=["index", "date", "is_active", "days_remaining"])
-
-    return shocks.groupBy("index").applyInPandasWithState(
-        step, "index string, date date, is_active boolean, days_remaining long",
-        "gone long, p1 double, p2 double, p3 double", "append", GroupStateTimeout.NoTimeout,
-    )
 
+def logged_ranges(spark: SparkSession, log: str, before: int) -> DataFrame:
+    """Merged intervals (tic, start, end) that the batches before one have fetched."""
+    schema = "tic string, start date, end date, rows long"
+    parts = [f"{log}/batch={i}" for i in range(before)]
+    done = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+    return merge_intervals(done, ["tic"])
 
-def incremental_upsert(stream: DataFrame, keys: list[str], seq: str, name: str) -> tuple[str, str]:
-    """Write each batch's last row per key and its fetched interval, one folder per batch.
 
-    A batch that runs again overwrites its own folder, so the result is the same after a failure.
-    Returns the folders of the rows and of the interval log; ``resolve_upserts`` reads the rows.
+def incremental_upsert(
+    stream: DataFrame, keys: list[str], seq: str, rows: str, log: str, check: str
+) -> StreamingQuery:
+    """Write what each batch fetches beyond the logged ranges, and log its new ranges; one folder per batch.
+
+    A batch's request is, for each ticker, the span of its dates. Only the parts of it that no earlier batch
+    has logged are taken: their rows are written (the last one per key by ``seq``) and each part is logged with
+    its number of rows. So a replayed range adds nothing. A batch that runs again reads the log of the
+    batches before it only and overwrites its own folders, so the result is the same after a failure.
+    ``resolve_upserts`` reads the rows.
     """
     spark = stream.sparkSession
-    rows, log = scratch.new_path(spark, f"{name}-rows"), scratch.new_path(spark, f"{name}-log")
     rest = [c for c in stream.columns if c not in keys]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read for the rows and for the log
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(*keys, "r.*")
-        last.write.mode("overwrite").parquet(f"{rows}/batch={batch_id}")
-        span = batch.groupBy("tic").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("rows"))
-        span.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-        batch.unpersist()
-
-    q = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", scratch.new_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return rows, log
+        # one row for each key and one for each ticker and day: what the joins with ranges get to see
+        last = scratch.cut_lineage(batch.groupBy(*keys).agg(
+            F.max_by(F.struct(*rest), seq).alias("r"), F.count("*").alias("_rows")
+        ).select(*keys, "r.*", "_rows"), "batch")
+        span = last.groupBy("tic").agg(F.min("date").alias("start"), F.max("date").alias("end"))
+        known = logged_ranges(spark, log, batch_id)
+        gaps = scratch.cut_lineage(interval_gaps(span, known, ["tic"]).select("tic", "start", "end"), "gaps")
+        inside = (F.col("g.tic") == F.col("l.tic")) & F.col("l.date").between(F.col("g.start"), F.col("g.end"))
+        new = last.alias("l").join(gaps.alias("g"), inside, "left_semi")
+        new.drop("_rows").write.mode("overwrite").parquet(f"{rows}/batch={batch_id}")
+        counted = gaps.alias("g").join(last.alias("l"), inside, "left").groupBy("g.tic", "g.start", "g.end").agg(
+            F.coalesce(F.sum("l._rows"), F.lit(0)).alias("rows")
+        )
+        counted.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", check).trigger(availableNow=True).start()
 
 
 def resolve_upserts(spark: SparkSession, path: str, keys: list[str], seq: str) -> DataFrame:

@@ -224,22 +224,69 @@ def test_stop_stream_over_batches_equals_batch(spark):
     from stratapanel.streaming import jobs
 
     rnd = random.Random(2)
-    rows, p = [], 100.0
-    for k in range(120):
-        p *= 1 + rnd.gauss(0, 0.02)
-        rows.append(("A", d("2020-01-01"), 100.0, d("2020-01-01") + dt.timedelta(days=k), p))
-    df = spark.createDataFrame(rows, "tic string, entry_date date, entry_price double, date date, close double")
-    path = scratch.new_path(spark, "in")
+    rows = []
+    for tic, days in (("A", 120), ("B", 20), ("C", 120)):  # B is closed early
+        p = 100.0
+        for k in range(days):
+            p *= 1 + rnd.gauss(0, 0.02)
+            rows.append((tic, d("2020-01-01"), 100.0, d("2020-01-01") + dt.timedelta(days=k), p))
+    schema = "tic string, entry_date date, entry_price double, date date, close double"
+    df = spark.createDataFrame(rows, schema)
+    order = sorted(rows, key=lambda r: r[3] + dt.timedelta(days=rnd.randint(0, 6)))  # up to six days out of order
+    rnd.shuffle(order[:100])
+    parts = [spark.createDataFrame(order[a:b], schema) for a, b in ((0, 80), (80, 160), (160, 220), (220, 260))]
     out, check = scratch.new_path(spark, "out"), scratch.new_path(spark, "check")
-    for part in (rows[:50], rows[50:]):  # two runs that share one checkpoint
-        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(path)
-        q = (
-            jobs.stop_loss_stream(spark.readStream.schema(df.schema).parquet(path)).writeStream.format("parquet")
-            .option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
-        )
-        q.awaitTermination()
-    got = sorted((str(r["date"]), r["kind"]) for r in spark.read.parquet(out).collect())
-    assert got == sorted((str(r["date"]), r["kind"]) for r in B.stop_loss(df).collect())
+    told = jobs.run_parts(
+        parts, "stop-in", lambda s: jobs.start(jobs.stop_loss_stream(s, late_days=7, idle_days=30), out, check)
+    )
+    got = sorted((r["tic"], str(r["date"]), r["kind"]) for r in spark.read.parquet(out).collect())
+    last = max(r[3] for r in rows) - dt.timedelta(days=7)
+    want = sorted((r["tic"], str(r["date"]), r["kind"]) for r in B.stop_loss(df).collect() if r["date"] < last)
+    assert got == want and want
+    assert told[0]["stateOperators"][0]["numRowsTotal"] == 3
+    assert told[-1]["stateOperators"][0]["numRowsTotal"] == 2  # the closed position left no state
+
+
+def test_only_ranges_that_are_not_logged_are_taken(spark):
+    from stratapanel.sources import scratch
+    from stratapanel.streaming import jobs
+
+    def rows(tic, first, last, price):
+        days = (d(last) - d(first)).days + 1
+        return [(tic, d(first) + dt.timedelta(days=k), price, k) for k in range(days)]
+
+    batches = [
+        rows("A", "2020-01-10", "2020-01-20", 1.0) + rows("B", "2020-01-01", "2020-01-02", 1.0),
+        rows("A", "2020-01-10", "2020-01-20", 2.0),  # a replay
+        rows("A", "2020-01-05", "2020-01-25", 3.0) + rows("A", "2020-01-07", "2020-01-07", 4.0),
+        rows("A", "2020-01-01", "2020-01-30", 5.0) + rows("B", "2020-01-04", "2020-01-04", 5.0),
+    ]
+    schema = "tic string, date date, close double, k long"
+    at, log, check = (scratch.new_path(spark, n) for n in ("rows", "log", "check"))
+    jobs.run_parts(
+        [spark.createDataFrame(b, schema) for b in batches], "fetch",
+        lambda s: jobs.incremental_upsert(s, ["tic", "date"], "k", at, log, check),
+    )
+    got = {(r.tic, r.date.day): r.close for r in jobs.resolve_upserts(spark, at, ["tic", "date"], "k").collect()}
+    want = {("A", x): 1.0 if 10 <= x <= 20 else 3.0 if 5 <= x <= 25 else 5.0 for x in range(1, 31)}
+    assert got == want | {("B", 1): 1.0, ("B", 2): 1.0, ("B", 4): 5.0}
+    logged = sorted((r.batch, r.tic, r.start.day, r.end.day, r.rows) for r in spark.read.parquet(log).collect())
+    assert logged == [
+        (0, "A", 10, 20, 11), (0, "B", 1, 2, 2), (2, "A", 5, 9, 6), (2, "A", 21, 25, 5),
+        (3, "A", 1, 4, 4), (3, "A", 26, 30, 5), (3, "B", 4, 4, 1),
+    ]
+
+
+def test_at_most_so_many_names_are_held(spark):
+    import hashlib
+
+    names = [f"T{i}" for i in range(57)]
+    signals = spark.createDataFrame([(d("2020-01-02"), t, 1 if i % 9 else 0) for i, t in enumerate(names)], "date date, tic string, signal int")
+    events = spark.createDataFrame([(d("2020-01-02"), "signal"), (d("2020-01-31"), "month_end")], "date date, kind string")
+    got = B.event_weights(signals, events).collect()
+    able = [t for i, t in enumerate(names) if i % 9]
+    want = sorted(able, key=lambda t: hashlib.md5(f"2020-01-02{t}".encode()).hexdigest())[:20]
+    assert sorted(r.tic for r in got) == sorted(want * 2) and {r.weight for r in got} == {0.05}
 
 
 def test_rolling_models_impute_and_tell_all_errors(spark):
