@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratapanel.operators import backtest as Q
 from stratapanel.operators import models as M
+from stratapanel.operators import moments as R
 from stratapanel.operators import ranking as X
 from stratapanel.operators import user as U
 from stratapanel.plans import panel as P
@@ -84,6 +85,48 @@ def _trade_quarters(d, train=16, test=4):
     return _quarters(d)[train + test:]
 
 
+def _ridge_sql(features, train, test, group=""):
+    """Every window's ridge by its own rows: medians, standardised columns, normal equations, elimination."""
+    n = len(features)
+    keys = f"t, {group}" if group else "t"
+    own = f"{group}, " if group else ""
+    idx = range(1, n + 1)
+    cells = ", ".join(
+        "[" + ", ".join(f"sum(z[{i}] * z[{j}])" + (" + 1" if i == j else "") for j in idx) + f", sum(z[{i}] * (y - yb))]" for i in idx
+    )
+    return f"""
+WITH RECURSIVE q AS (SELECT datadate, row_number() OVER (ORDER BY datadate) AS ord FROM (SELECT DISTINCT datadate FROM predictions)),
+r AS (SELECT * FROM predictions JOIN q USING (datadate)),
+w AS (SELECT q.ord AS t, r.*, r.ord >= q.ord - {test} AS tested FROM q JOIN r ON r.ord BETWEEN q.ord - {train + test} AND q.ord - 1 WHERE q.ord > {train + test} AND y_return IS NOT NULL),
+md AS (SELECT {keys}, {", ".join(f"median({f}) AS m{i}" for i, f in enumerate(features, 1))} FROM w WHERE NOT tested GROUP BY {keys}),
+f AS (SELECT {keys}, tested, y_return AS y, [{", ".join(f"coalesce({f}, m{i})::DOUBLE" for i, f in enumerate(features, 1))}] AS x FROM w JOIN md USING ({keys})),
+st AS (SELECT {keys}, avg(y) AS yb, [{", ".join(f"avg(x[{i}])" for i in idx)}] AS a, [{", ".join(f"stddev_samp(x[{i}])" for i in idx)}] AS s FROM f WHERE NOT tested GROUP BY {keys} HAVING count(*) >= 10),
+z AS (SELECT {keys}, tested, y, yb, [{", ".join(f"(x[{i}] - a[{i}]) / s[{i}]" for i in idx)}] AS z FROM f JOIN st USING ({keys})),
+g AS (SELECT {keys}, 0 AS k, [{cells}] AS m FROM z WHERE NOT tested GROUP BY {keys}
+  UNION ALL SELECT {keys}, k + 1, list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 2}), lambda j:
+    CASE WHEN i = k + 1 THEN m[k + 1][j] / m[k + 1][k + 1] ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END)) FROM g WHERE k < {n}),
+b AS (SELECT {keys}, list_transform(m, lambda x: x[{n + 1}]) AS b FROM g WHERE k = {n}),
+e AS (SELECT {keys}, avg((y - yb - list_dot_product(z, b)) ** 2) AS mse FROM z JOIN b USING ({keys}) WHERE tested GROUP BY {keys})
+SELECT tic, datadate, {own}{qcut("yb + list_dot_product([" + ", ".join(f"(coalesce({f}, m{i}) - a[{i}]) / s[{i}]" for i, f in enumerate(features, 1)) + "], b)")} AS pred, {qcut("mse")} AS model_mse
+FROM (SELECT *, ord AS t FROM r) r JOIN md USING ({keys}) JOIN st USING ({keys}) JOIN b USING ({keys}) JOIN e USING ({keys})"""
+
+
+def _ridges(spark, sf, group=()):
+    d = scratch.cut_lineage(P.predictions(spark, sf), "panel")
+    p = R.ridge_predictions(d, R.window_ridges(d, FEATURES, group=group), FEATURES, group)
+    return p.select("tic", "datadate", *group, cut(F.col("pred")).alias("pred"), cut(F.col("model_mse")).alias("model_mse"))
+
+
+@query("rolling_ridge", _ridge_sql(FEATURES, 16, 4))
+def rolling_ridge(spark, sf):
+    return _ridges(spark, sf)
+
+
+@query("rolling_ridge_by_sector", _ridge_sql(FEATURES, 16, 4, "sector"))
+def rolling_ridge_by_sector(spark, sf):
+    return _ridges(spark, sf, ["sector"])
+
+
 @query("rolling_train_single")
 def rolling_train_single(spark, sf):
     d = dataset(spark, sf)
