@@ -13,15 +13,17 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.sources.scratch import cut_lineage
 
-#: Fits that are submitted at a time; each is a distributed job of its own.
-AT_ONCE = 4
+#: Buckets or quarters that are worked on at a time, and fits within one; each is a chain of distributed jobs.
+AT_ONCE, FITS_AT_ONCE = 4, 4
+#: Rows of a training table in one partition.
+ROWS_IN_PARTITION = 50_000
 KEYS = ("tic", "datadate")
 
 
@@ -54,18 +56,41 @@ def candidate_models(
     }
 
 
-def fit(train: DataFrame, features: Sequence[str], model) -> PipelineModel:
-    """Impute with the medians of the training rows, standardise, fit. No row is left out."""
+def sized(df: DataFrame) -> DataFrame:
+    """Training rows in as few partitions as their number asks for, in key order: fits are many short jobs.
+
+    The order makes row samples, and so the fitted trees, the same on every run.
+    """
+    return df.repartition(df.count() // ROWS_IN_PARTITION + 1, *KEYS).sortWithinPartitions(*KEYS).cache()
+
+
+def fit(train: DataFrame, features: Sequence[str], model, flags: str | None = None) -> PipelineModel:
+    """Impute with the medians of the training rows, standardise, fit. No row is left out.
+
+    ``flags`` names a vector column of further features, as ``with_flags`` makes it.
+    """
     filled = [f"{f}_filled" for f in features]
     stages = [
         Imputer(inputCols=list(features), outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=filled, outputCol="raw"),
+        VectorAssembler(inputCols=[*filled, flags] if flags else filled, outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
         model,
     ]
     return Pipeline(stages=stages).fit(train)
 
 
+def with_flags(df: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
+    """Add ``<column>_flags``: 0/1 for every value that the rows have; their names in order.
+
+    Values that no row has get no flag, so none is 0 throughout; a null has no flag set.
+    """
+    made = Pipeline(stages=[
+        StringIndexer(inputCol=column, outputCol=f"{column}_index", handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCol=f"{column}_index", outputCol=f"{column}_flags", dropLast=True),  # the last is "unknown"
+    ]).fit(df)
+    return made.transform(df).drop(f"{column}_index"), [f"{column}_{x}" for x in made.stages[0].labels]
+
+
 def known_features(train: DataFrame, features: Sequence[str]) -> list[str]:
     """Features with at least one value among the training rows; the others have no median."""
     seen = train.agg(*(F.count(f).alias(f) for f in features)).first()
@@ -88,36 +113,85 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def run_models(
-    df: DataFrame, features: Sequence[str], cutoff: str, val_quarters: int = 3, min_train: int = 20, bucket: str = "all",
-    sizes_of: Mapping[str, int] | None = None,
-):
-    """Fit, validate, refit on train and validation rows, predict the rest.
+def _all_fits(jobs: Mapping, at_once: int) -> dict:
+    """Fitted models of independent fits, a few at a time: each is a chain of short jobs."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(jobs, pool.map(lambda job: job(), jobs.values()), strict=True))
 
-    Returns (long predictions, model rows, importance rows) or None without enough data. ``sizes_of`` sets
-    the sizes of ``candidate_models``.
+
+def _wide(parts: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
+    return _union(parts).groupBy(*KEYS).pivot("model", list(names)).agg(F.first("pred"))
+
+
+def _stack(oof: Sequence[DataFrame], labelled: DataFrame, names: Sequence[str]) -> PipelineModel:
+    """Ridge over out-of-fold predictions of the base models."""
+    top = _wide(oof, names).join(labelled.select(*KEYS, "y_return"), list(KEYS))
+    ridge = candidate_models(1)["ridge"].setRegParam(1.0 / max(top.count(), 1))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="scaled"), ridge]).fit(top)
+
+
+def run_models(
+    df: DataFrame, features: Sequence[str], cutoff: str, folder: str, val_quarters: int = 3, min_train: int = 20,
+    bucket: str = "all", sizes_of: Mapping[str, int] | None = None, flags: str | None = None, folds: int = 3, top: int = 3,
+) -> tuple[DataFrame, list] | None:
+    """Fit, validate, refit on train and validation rows, predict the rest; models are saved below ``folder``.
+
+    The ``top`` models by validation error are also stacked: a ridge over their out-of-fold predictions (a row's
+    fold comes from a hash of its key). The stack has an error of its own and is a candidate like the others.
+    Returns (long predictions, model rows) or None without enough data. ``sizes_of`` sets the sizes of
+    ``candidate_models``, ``flags`` a column whose values become 0/1 features.
     """
-    d = split_val_quarters(df, cutoff, val_quarters).cache()
+    labels: list[str] = []
+    if flags:
+        df, labels = with_flags(df, flags)
+    d = sized(split_val_quarters(df, cutoff, val_quarters).withColumn("_fold", F.pmod(F.xxhash64(*KEYS), F.lit(folds))))
     sizes = {r["role"]: r["count"] for r in d.groupBy("role").count().collect()}
     if sizes.get("train", 0) < min_train or not sizes.get("infer", 0):
         d.unpersist()
         return None
-    train, val, infer = (d.filter(F.col("role") == r) for r in ("train", "val", "infer"))
-    features = known_features(train, features)
-    full = d.filter(F.col("role").isin("train", "val"))
-    rows = []
-    for name, m in candidate_models(sizes["train"], **(sizes_of or {})).items():
-        err = mse(predict(fit(train, features, m), val, name))
-        rows.append((bucket, name, round(err, 6) if err is not None else None, sizes["train"], sizes.get("val", 0), sizes["infer"]))
-    best = min((r for r in rows if r[2] is not None), key=lambda r: r[2], default=rows[0])[1]
-    parts, importance = [], []
-    for name, m in candidate_models(sizes["train"] + sizes.get("val", 0), **(sizes_of or {})).items():
-        fitted = fit(full, features, m)
-        parts.append(predict(fitted, infer, name))
-        importance += [(bucket, name, name == best, f, v) for f, v in importances(fitted, features)]
+    vector = f"{flags}_flags" if flags else None
+    n_val = sizes.get("val", 0)
+    spans = {"train": F.col("role") == "train", "full": F.col("role").isin("train", "val")}
+    rows_of = {"train": sizes["train"], "full": sizes["train"] + n_val}
+    features = known_features(d.filter(spans["train"]), features)
+    val, infer = d.filter(F.col("role") == "val"), d.filter(F.col("role") == "infer")
+
+    def job(span: str, name: str, fold: int | None = None) -> Callable[[], PipelineModel]:
+        rows = d.filter(spans[span] if fold is None else spans[span] & (F.col("_fold") != fold))
+        model = candidate_models(rows_of[span], **(sizes_of or {}))[name]
+        return lambda: fit(rows, features, model, vector)
+
+    names = list(candidate_models(1))
+    fitted = _all_fits({("train", m, None): job("train", m) for m in names}, FITS_AT_ONCE)
+    errors = {m: mse(predict(fitted["train", m, None], val, m)) for m in names}
+    bases = sorted(names, key=lambda m: math.inf if errors[m] is None else errors[m])[:top]
+    fitted |= _all_fits(
+        {("full", m, None): job("full", m) for m in names}
+        | {(span, m, k): job(span, m, k) for span in spans for m in bases for k in range(folds)}, FITS_AT_ONCE
+    )
+    stacks = {
+        span: _stack(
+            [predict(fitted[span, m, k], d.filter(rows & (F.col("_fold") == k)), m) for m in bases for k in range(folds)],
+            d.filter(rows), bases,
+        ) for span, rows in spans.items()
+    }
+
+    def stacked(span: str, rows: DataFrame) -> DataFrame:
+        wide = _wide([predict(fitted[span, m, None], rows, m) for m in bases], bases)
+        return predict(stacks[span], wide.join(rows.select(*KEYS, "y_return"), list(KEYS)), "stacking")
+
+    errors["stacking"] = mse(stacked("train", val)) if n_val else None
+    rows = [(bucket, m, None if e is None else round(e, 6), sizes["train"], n_val, sizes["infer"]) for m, e in errors.items()]
+    parts = [predict(fitted["full", m, None], infer, m) for m in names] + [stacked("full", infer)]
     preds = cut_lineage(_union(parts).withColumn("bucket", F.lit(bucket)), "predictions")
+    for m in names:
+        fitted["full", m, None].write().overwrite().save(f"{folder}/{bucket}/{m}")
+    stacks["full"].write().overwrite().save(f"{folder}/{bucket}/stacking")
+    df.sparkSession.createDataFrame(
+        [(bucket, i, f) for i, f in enumerate([*features, *labels])], "bucket string, place int, feature string"
+    ).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{bucket}/features")
     d.unpersist()
-    return preds, rows, importance
+    return preds, rows
 
 
 MODEL_SCHEMA = "bucket string, model string, val_mse double, train_size long, val_size long, infer_size long"
@@ -128,25 +202,49 @@ def importances(fitted: PipelineModel, features: Sequence[str]) -> list[tuple[st
     """Tree importances, or absolute coefficients scaled to sum to 1."""
     m = fitted.stages[-1]
     if hasattr(m, "featureImportances"):
-        return list(zip(features, (float(x) for x in m.featureImportances.toArray())))
+        return list(zip(features, (float(x) for x in m.featureImportances.toArray()), strict=True))
     size = [abs(float(x)) for x in m.coefficients]
     total = sum(size) or 1.0
-    return list(zip(features, (x / total for x in size)))
+    return list(zip(features, (x / total for x in size), strict=True))
 
 
-def bucket_models(df: DataFrame, features: Sequence[str], buckets: Sequence[str], cutoff: str, **kw):
-    """``run_models`` for each bucket: (predictions, models, importances) as tables."""
+def bucket_models(
+    df: DataFrame, features: Sequence[str], buckets: Sequence[str], cutoff: str, folder: str, **kw
+) -> tuple[DataFrame, DataFrame]:
+    """``run_models`` for each bucket: (predictions, models) as tables; the fitted models lie below ``folder``."""
     def one(b: str):
-        return run_models(df.filter(F.col("bucket") == b).drop("bucket"), features, cutoff, bucket=b, **kw)
+        return run_models(df.filter(F.col("bucket") == b).drop("bucket"), features, cutoff, folder, bucket=b, **kw)
 
     with ThreadPoolExecutor(AT_ONCE) as pool:  # buckets do not depend on each other
         runs = [r for r in pool.map(one, buckets) if r]
     if not runs:
         raise ValueError("no bucket has enough rows")
-    spark = df.sparkSession
-    models = spark.createDataFrame([x for r in runs for x in r[1]], MODEL_SCHEMA)
-    imp = spark.createDataFrame([x for r in runs for x in r[2]], IMPORTANCE_SCHEMA)
-    return _union([r[0] for r in runs]), models, imp
+    models = df.sparkSession.createDataFrame([x for r in runs for x in r[1]], MODEL_SCHEMA)
+    return _union([r[0] for r in runs]), cut_lineage(models, "models")
+
+
+def saved_importances(models: DataFrame, folder: str) -> DataFrame:
+    """Importances of the models that ``bucket_models`` saved; nothing is fitted again.
+
+    Where the stack is the best model, the forest's importances stand for it as well.
+    """
+    spark = models.sparkSession
+    best = {r["bucket"]: r["model"] for r in _best(models).collect()}
+    rows = []
+    for bucket, name in best.items():  # a short list: each is a fitted model of its own
+        table = spark.read.parquet(f"{folder}/{bucket}/features").orderBy("place").collect()
+        for m in candidate_models(1):
+            found = importances(PipelineModel.load(f"{folder}/{bucket}/{m}"), [r["feature"] for r in table])
+            rows += [(bucket, m, m == name, f, v) for f, v in found]
+            if name == "stacking" and m == "forest":
+                rows += [(bucket, "stacking", True, f, v) for f, v in found]
+    return spark.createDataFrame(rows, IMPORTANCE_SCHEMA)
+
+
+def _best(models: DataFrame) -> DataFrame:
+    """Each bucket's model with the least validation error; one without an error only if there is no other."""
+    order = F.struct(F.col("val_mse").isNull(), "val_mse", "model")
+    return models.groupBy("bucket").agg(F.min_by("model", order).alias("model"))
 
 
 def rank_importance(imp: DataFrame) -> DataFrame:
@@ -156,8 +254,7 @@ def rank_importance(imp: DataFrame) -> DataFrame:
 
 def best_predictions(preds: DataFrame, models: DataFrame) -> DataFrame:
     """Predictions of each bucket's model with the least validation error."""
-    best = models.groupBy("bucket").agg(F.min_by("model", F.struct("val_mse", "model")).alias("model"))
-    return preds.join(best, ["bucket", "model"])
+    return preds.join(_best(models), ["bucket", "model"])
 
 
 def inverse_mse_ensemble(preds: DataFrame, models: DataFrame) -> DataFrame:
@@ -168,44 +265,10 @@ def inverse_mse_ensemble(preds: DataFrame, models: DataFrame) -> DataFrame:
     return d.groupBy("bucket", *KEYS).agg(F.try_divide(F.sum(F.col("_w") * F.col("pred")), F.sum("_w")).alias("ensemble"))
 
 
-def stacking(
-    df: DataFrame, features: Sequence[str], cutoff: str, folds: int = 3, names: Sequence[str] = ("forest", "boosted", "ridge"),
-    sizes_of: Mapping[str, int] | None = None,
-) -> DataFrame:
-    """Ridge over out-of-fold predictions of the base models, applied to the inferred rows.
-
-    A row's fold comes from a hash of its key, so it is the same on every run.
-    """
-    d = split_val_quarters(df, cutoff)
-    features = known_features(d.filter(F.col("role") == "train"), features)
-    fold = F.pmod(F.xxhash64(*KEYS), F.lit(folds))
-    full = d.filter(F.col("role").isin("train", "val")).withColumn("_fold", fold).cache()
-    infer = d.filter(F.col("role") == "infer")
-    n = full.count()
-
-    def wide(parts: Sequence[DataFrame]) -> DataFrame:
-        p = _union(parts).groupBy(*KEYS).pivot("model", list(names)).agg(F.first("pred"))
-        return p
-
-    base = candidate_models(n, **(sizes_of or {}))
-    oof = [
-        predict(fit(full.filter(F.col("_fold") != k), features, base[m]), full.filter(F.col("_fold") == k), m)
-        for m in names for k in range(folds)
-    ]
-    top = wide(oof).join(full.select(*KEYS, "y_return"), list(KEYS))
-    final = Pipeline(stages=[
-        VectorAssembler(inputCols=list(names), outputCol="scaled"), candidate_models(n)["ridge"],
-    ]).fit(top)
-    new = wide([predict(fit(full, features, base[m]), infer, m) for m in names])
-    out = cut_lineage(final.transform(new).select(*KEYS, F.col("prediction").alias("pred")), "stacked")
-    full.unpersist()
-    return out
-
-
 def rolling_train_single(
     df: DataFrame, features: Sequence[str], trade: str, test_quarters: int = 4, train_quarters: int | None = None,
     names: Sequence[str] = ("ridge", "forest", "boosted"), sizes_of: Mapping[str, int] | None = None,
-    quarters: Sequence[str] | None = None,
+    quarters: Sequence[str] | None = None, also: Mapping[str, tuple[float, DataFrame]] | None = None,
 ) -> DataFrame | None:
     """Train before the last test quarters, validate on them, predict the trade quarter.
 
@@ -213,7 +276,7 @@ def rolling_train_single(
     ``train_quarters`` before those (all, if None) train. ``quarters`` is the list of the table's
     quarter ends, read if not given. Returns the predictions of the model with the least error (on the test
     rows, else the training rows) with its name, its error and the errors of all candidates, or None
-    without enough rows.
+    without enough rows. ``also`` brings candidates that are fitted already: error and predictions by name.
     """
     if quarters is None:
         quarters = [str(r[0]) for r in df.select("datadate").distinct().orderBy("datadate").collect()]
@@ -226,7 +289,7 @@ def rolling_train_single(
     def among(qs: Sequence[str]):
         return F.col("datadate").between(F.lit(qs[0]).cast("date"), F.lit(qs[-1]).cast("date"))
 
-    d = df.filter(among([before[begin], trade])).cache()
+    d = sized(df.filter(among([before[begin], trade])))
     known = d.filter(F.col("y_return").isNotNull())
     train = known.filter(among(before[begin:cut]))
     test = known.filter(among(before[cut:])) if before[cut:] else known.filter("false")
@@ -237,30 +300,46 @@ def rolling_train_single(
         return None
     features = known_features(train, features)
     models = candidate_models(n, **(sizes_of or {}))
-    fitted, errors = {}, {}
+    fitted = _all_fits({m: lambda m=m: fit(train, features, models[m]) for m in names}, FITS_AT_ONCE)
+    errors = {m: e for m, (e, _) in (also or {}).items()}
     for m in names:
-        fitted[m] = fit(train, features, models[m])
         on_test = mse(predict(fitted[m], test, m))
         errors[m] = mse(predict(fitted[m], train, m)) if on_test is None else on_test
     best = min(errors, key=lambda m: math.inf if errors[m] is None else errors[m])
-    every = F.create_map(*(F.lit(x) for m in names for x in (m, errors[m])))
-    out = predict(fitted[best], now, best).withColumns({"model_mse": F.lit(errors[best]), "model_errors": every})
+    every = F.create_map(*(F.lit(x) for m in sorted(errors) for x in (m, errors[m])))
+    if best in fitted:
+        out = predict(fitted[best], now, best)
+    else:
+        ready = also[best][1].filter(F.col("datadate") == F.lit(trade).cast("date"))
+        out = ready.select(*KEYS, "y_return", F.lit(best).alias("model"), "pred")
+    out = out.withColumns({"model_mse": F.lit(errors[best]), "model_errors": every})
     out = cut_lineage(out, "rolling")
     d.unpersist()
     return out
 
 
 def rolling_train_all(
-    df: DataFrame, features: Sequence[str], trades: Sequence[str], train_quarters: int = 16, test_quarters: int = 4, **kw
+    df: DataFrame, features: Sequence[str], trades: Sequence[str], train_quarters: int = 16, test_quarters: int = 4,
+    names: Sequence[str] = ("ridge", "forest", "boosted"), **kw
 ) -> DataFrame:
     """``rolling_train_single`` for every trade quarter on its own window of quarters.
 
-    Quarters do not depend on each other, so a few are fitted at a time.
+    All ridges come from one aggregate (``moments.window_ridges``); the trees are fitted quarter by quarter, a few
+    quarters at a time, since they do not depend on each other.
     """
+    from stratapanel.operators import moments
+
     quarters = [str(r[0]) for r in df.select("datadate").distinct().orderBy("datadate").collect()]
+    ridges: dict = {}
+    if "ridge" in names:
+        table = cut_lineage(moments.window_ridges(df, features, train_quarters, test_quarters), "ridges")
+        ready = cut_lineage(moments.ridge_predictions(df, table, features), "ridge-predictions")
+        ridges = {str(r["trade"]): {"ridge": (r["error"], ready)} for r in table.select("trade", "error").collect()}
 
     def one(t: str) -> DataFrame | None:
-        return rolling_train_single(df, features, t, test_quarters, train_quarters, quarters=quarters, **kw)
+        also = ridges.get(t)
+        own = [m for m in names if not also or m not in also]
+        return rolling_train_single(df, features, t, test_quarters, train_quarters, own, quarters=quarters, also=also, **kw)
 
     with ThreadPoolExecutor(AT_ONCE) as pool:
         parts = [p for p in pool.map(one, trades) if p is not None]
@@ -297,17 +376,23 @@ def compare_model_returns(windows: DataFrame, returns: DataFrame) -> DataFrame:
 WeightsContract = Callable[[DataFrame, Mapping], DataFrame]
 
 
-def strategy_weights(preds: DataFrame, q: float = 0.75, sector: bool = False, method: str = "equal", prices: DataFrame | None = None) -> DataFrame:
-    """Predictions to capped weights: quantile selection, allocation, risk caps.
+def strategy_weights(
+    preds: DataFrame, q: float = 0.75, sector: bool = False, method: str = "equal", prices: DataFrame | None = None,
+    gap_prices: DataFrame | None = None, execution: str | None = None,
+) -> DataFrame:
+    """Predictions to capped weights: same-day adjustment, quantile selection, allocation, risk caps.
 
-    ``preds(tic, datadate, sector, pred)``; per-sector selection with ``sector``.
+    ``preds(tic, datadate, sector, pred)``; per-sector selection with ``sector``. With ``execution`` (a day) and
+    ``gap_prices(tic, date, close)`` the move of the last trading day is taken off each prediction first.
     """
+    from stratapanel.operators import joins as J
     from stratapanel.operators import portfolio as B
     from stratapanel.operators import ranking as X
 
+    if execution is not None:
+        moved = J.same_day_gap_adjust(preds, gap_prices, execution)
+        preds = cut_lineage(moved.withColumn("pred", F.col("adjusted")).drop("realized", "adjusted"), "adjusted")
     keys = ["datadate", "sector"] if sector else ["datadate"]
     s = X.quantile_select(preds, q, keys, positive=not sector).withColumn("date", F.col("datadate"))
     w = B.allocate_weights(s, method, prices)
     return B.risk_caps(w.select("date", "tic", "sector", "pred", "weight"))
-
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from stratapanel.operators import backtest as Q
@@ -20,8 +22,10 @@ from stratapanel.sources import scratch
 
 CUTOFF = "2000-12-31"
 FEATURES = ("revenue", "net_revenue", "shares", "price", "pred", "pred2")
-# The panel has a few thousand rows and six factors; small models do for it.
-SIZES = {"trees": 20, "depth": 5, "rounds": 10}
+MOMENTUM = ("ret_1q", "ret_4q", "eps_chg", "roe_chg", "gm_chg", "ret_accel")
+# What was trained in this application: folder and tables by (application, tables, what). Each model is fitted once.
+_TRAINED: dict[tuple, tuple] = {}
+SIZES: dict[str, int] = {}  # of candidate_models; empty: the full ones
 
 
 def dataset(spark, sf):
@@ -35,28 +39,80 @@ def split_val_quarters(spark, sf):
     return M.split_val_quarters(P.predictions(spark, sf), CUTOFF).select("tic", "datadate", "role")
 
 
+def factors(spark, sf):
+    """The rows that models are trained on: factors, momentum, sector, bucket, label."""
+    from stratapanel.operators.features import momentum_features as momentum
+
+    p = P.predictions(spark, sf)
+    m = momentum(p.select(
+        "tic", "datadate", F.col("price").alias("trade_price"), (F.col("net_revenue") / F.col("shares")).alias("eps"), "pred", "pred2"
+    ), {"eps": "eps_chg", "pred": "roe_chg", "pred2": "gm_chg"})
+    d = p.join(m.select("tic", "datadate", *MOMENTUM), ["tic", "datadate"]).join(buckets(spark, sf), "tic")
+    return scratch.cut_lineage(d, "factors")
+
+
+def _once(spark, sf, what, make):
+    key = (spark.sparkContext.applicationId, sf, what, tuple(sorted(SIZES.items())))
+    if key not in _TRAINED:
+        _TRAINED[key] = make()
+    return _TRAINED[key]
+
+
+def _trained(spark, sf, unified=False):
+    """(predictions, models, folder) of the bucket models, or of one model for all stocks."""
+    def make():
+        folder = scratch.new_path(spark, "fitted")
+        d, names = factors(spark, sf), X.BUCKETS
+        if unified:
+            d, names = d.withColumn("bucket", F.lit("unified")), ["unified"]
+        p, m = M.bucket_models(d, [*FEATURES, *MOMENTUM], names, CUTOFF, folder, sizes_of=SIZES, flags="sector")
+        return p, m, folder
+
+    return _once(spark, sf, "unified" if unified else "buckets", make)
+
+
+@query("sector_flags", """
+WITH s AS (SELECT DISTINCT bucket, sector FROM predictions JOIN buckets USING (tic))
+SELECT tic, datadate, bucket, 'sector_' || s.sector AS feature, CAST(p.sector = s.sector AS DOUBLE) AS value
+FROM predictions p JOIN buckets USING (tic) JOIN s USING (bucket)""")
+def sector_flags(spark, sf):
+    """The 0/1 features of each bucket's models: only sectors that the bucket has."""
+    from pyspark.ml.functions import vector_to_array
+
+    d, out = dataset(spark, sf), None
+    for b in X.BUCKETS:  # four of them
+        own, labels = M.with_flags(d.filter(F.col("bucket") == b), "sector")
+        values = vector_to_array("sector_flags")
+        flags = F.explode(F.array(*(
+            F.struct(F.lit(n).alias("feature"), F.get(values, F.lit(i)).alias("value")) for i, n in enumerate(labels)
+        ))).alias("f")
+        part = own.select("tic", "datadate", "bucket", flags).select("tic", "datadate", "bucket", "f.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("bucket_models")
 def bucket_models(spark, sf):
-    p, m, _ = M.bucket_models(dataset(spark, sf), FEATURES, X.BUCKETS, CUTOFF, sizes_of=SIZES)
-    return M.best_predictions(p, m)
+    p, m, _ = _trained(spark, sf)
+    return M.best_predictions(p, m).join(M.inverse_mse_ensemble(p, m), ["bucket", "tic", "datadate"])
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    return M.rank_importance(M.bucket_models(dataset(spark, sf), FEATURES, X.BUCKETS, CUTOFF, sizes_of=SIZES)[2])
+    _, m, folder = _trained(spark, sf)
+    return M.rank_importance(M.saved_importances(m, folder))
 
 
 @query("unified_model")
 def unified_model(spark, sf):
-    d = dataset(spark, sf)
-    p, m, _ = M.bucket_models(d.withColumn("bucket", F.lit("unified")), FEATURES, ["unified"], CUTOFF, sizes_of=SIZES)
-    best = M.best_predictions(p, m)
-    return X.rank_within_bucket(best, "pred", ["datadate"], "rank")
+    p, m, _ = _trained(spark, sf, unified=True)
+    return X.rank_within_bucket(M.best_predictions(p, m), "pred", ["datadate"], "rank")
 
 
 @query("stacking")
 def stacking(spark, sf):
-    return M.stacking(dataset(spark, sf), FEATURES, CUTOFF, sizes_of=SIZES)
+    p, m, _ = _trained(spark, sf)
+    return p.join(m, ["bucket", "model"]).filter(F.col("model") == "stacking").select("bucket", "tic", "datadate", "pred", "val_mse")
 
 
 @query("inverse_mse_ensemble", f"""
@@ -129,39 +185,79 @@ def rolling_ridge_by_sector(spark, sf):
 
 @query("rolling_train_single")
 def rolling_train_single(spark, sf):
-    d = dataset(spark, sf)
-    p = M.rolling_train_single(d, FEATURES, _quarters(d)[-1], sizes_of=SIZES)
-    return p.withColumn("model_errors", F.to_json("model_errors"))
+    return _single(spark, sf).withColumn("model_errors", F.to_json("model_errors"))
+
+
+def _single(spark, sf):
+    def make():
+        d = dataset(spark, sf)
+        return M.rolling_train_single(d, FEATURES, _quarters(d)[-1], sizes_of=SIZES)
+
+    return _once(spark, sf, "single", make)
+
+
+def _rolling(spark, sf):
+    """Predictions of every trade quarter by its best model."""
+    def make():
+        d = dataset(spark, sf)
+        return M.rolling_train_all(d, FEATURES, _trade_quarters(d), sizes_of=SIZES)
+
+    return _once(spark, sf, "rolling", make)
 
 
 @query("rolling_train_all")
 def rolling_train_all(spark, sf):
-    d = dataset(spark, sf)
-    p = M.rolling_train_all(d, FEATURES, _trade_quarters(d), names=("ridge",))
-    return p.withColumn("model_errors", F.to_json("model_errors"))
+    return _rolling(spark, sf).withColumn("model_errors", F.to_json("model_errors"))
 
 
 @query("strategy_weights")
 def strategy_weights(spark, sf):
-    d = dataset(spark, sf)
-    p = M.rolling_train_all(d, FEATURES, _trade_quarters(d), names=("ridge",))
-    p = scratch.cut_lineage(p.join(P.sectors(spark, sf), "tic"), "rolling")
-    return M.strategy_weights(p)
+    """Single mode with the same-day adjustment and rolling mode, each with both allocations; metadata beside."""
+    sectors, prices = P.sectors(spark, sf), scratch.cut_lineage(P.quarter_closes(spark, sf), "quarters")
+    daily = P.smooth(spark, sf).select("tic", "date", "close")
+    out = None
+    for mode, preds in (("single", _single(spark, sf)), ("rolling", _rolling(spark, sf))):
+        p = scratch.cut_lineage(preds.drop("model_errors").join(sectors, "tic"), mode)
+        day = {"gap_prices": daily, "execution": str(p.agg(F.max("datadate")).first()[0])} if mode == "single" else {}
+        told = p.groupBy(F.col("datadate").alias("date")).agg(F.first("model").alias("model"), F.first("model_mse").alias("model_mse"))
+        for method in ("equal", "min_variance"):
+            w = M.strategy_weights(p, method=method, prices=prices, **day).join(told, "date")
+            w = w.withColumns({"mode": F.lit(mode), "method": F.lit(method)})
+            out = w if out is None else out.unionByName(w)
+    return out
+
+
+@query("ridge_strategy_weights", f"""
+WITH p AS (SELECT tic, datadate, pred, sector FROM (""" + _ridge_sql(FEATURES, 16, 4).strip() + f""") x JOIN sectors USING (tic)),
+a AS (SELECT *, greatest(quantile_cont(pred, 0.75) OVER (PARTITION BY datadate), 0) AS thr FROM p), s AS (SELECT * FROM a WHERE pred >= thr AND pred > 0),
+w AS (SELECT *, least(0.1::DOUBLE, 1.0::DOUBLE / count(*) OVER (PARTITION BY datadate)) AS w FROM s)
+SELECT datadate AS date, tic, sector, pred, {qcut('w * least(1, 0.3::DOUBLE / sum(w) OVER (PARTITION BY datadate, sector))')} AS weight FROM w""")
+def ridge_strategy_weights(spark, sf):
+    """The rolling mode with the ridge alone, equal weights."""
+    p = scratch.cut_lineage(_ridges(spark, sf).join(P.sectors(spark, sf), "tic"), "ridge")
+    w = M.strategy_weights(p)
+    return w.select("date", "tic", "sector", "pred", cut(F.col("weight")).alias("weight"))
 
 
 @query("sector_neutral_weights")
 def sector_neutral_weights(spark, sf):
-    d = dataset(spark, sf)
-    names = [r[0] for r in d.select("sector").distinct().orderBy("sector").collect()]
-    parts = []
-    for s in names:  # the sector list is short: one model family for each
-        own = d.filter(F.col("sector") == s)
-        if own.count() >= 20:
-            parts.append(M.rolling_train_all(own, FEATURES, _trade_quarters(d), names=("ridge",)).withColumn("sector", F.lit(s)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return M.strategy_weights(scratch.cut_lineage(out, "sectors"), sector=True)
+    def make():
+        d = dataset(spark, sf)
+        names = [r[0] for r in d.groupBy("sector").count().filter(F.col("count") >= 20).orderBy("sector").collect()]
+        trades = _trade_quarters(d)
+
+        def one(s):  # the sector list is short: one model family for each
+            own = scratch.cut_lineage(d.filter(F.col("sector") == s), "sector")
+            return M.rolling_train_all(own, FEATURES, trades, sizes_of=SIZES).withColumn("sector", F.lit(s))
+
+        with ThreadPoolExecutor(2) as pool:
+            parts = list(pool.map(one, names))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return scratch.cut_lineage(out.drop("model_errors"), "sectors")
+
+    return M.strategy_weights(_once(spark, sf, "sectors", make), sector=True)
 
 
 @query("rolling_date_windows", f"""
