@@ -113,35 +113,45 @@ def equal_weights(selected: DataFrame, keys: Sequence[str] = ("date",)) -> DataF
     return selected.join(n, list(keys)).withColumn("weight", 1 / F.col("_n")).drop("_n")
 
 
-def _min_variance(cov: np.ndarray) -> np.ndarray:
-    """Long-only weights summing to 1 with least variance, by an active set.
+def _min_variance(returns: np.ndarray) -> np.ndarray:
+    """Long-only weights summing to 1 with least variance of (rows x names) returns, through the rows.
 
-    They are the scaled solution of the least-variance problem without the sum: names enter one
-    by one while that lowers the objective and leave when their weight would turn negative. Each set of
-    held names is met once, so it ends, at the optimum. A tiny ridge picks one of equal solutions.
+    With A the centred rows, scaled, the weights are in proportion to (1 - A'u)+ where u, one number for each row,
+    is least in e|u|^2 + |(1 - A'u)+|^2: convex and quadratic between the changes of the set of held names, so
+    Newton steps on that set end at the optimum. Nothing larger than rows x names is made, so the
+    number of names may be large; e is a tiny ridge that picks one of equal solutions.
     """
-    k = len(cov)
-    scale = np.trace(cov) / k
+    k = returns.shape[1]
+    a = (returns - returns.mean(axis=0)) / np.sqrt(max(len(returns) - 1, 1))
+    scale = float((a * a).sum()) / k
     if not np.isfinite(scale) or scale <= 0:
         return np.full(k, 1.0 / k)
-    cov = cov / scale + 1e-10 * np.eye(k)
-    x, held = np.zeros(k), np.zeros(k, dtype=bool)
-    while True:
-        gain = np.where(held, -np.inf, 1.0 - cov @ x)
-        if held.all() or gain.max() <= 1e-9:
-            return x / x.sum()
-        held[int(np.argmax(gain))] = True
-        while True:
-            z = np.zeros(k)
-            z[held] = np.linalg.solve(cov[np.ix_(held, held)], np.ones(held.sum()))
-            out = held & (z <= 0)
-            if not out.any():
-                break
-            part = np.min(x[out] / (x[out] - z[out]))
-            x = x + part * (z - x)
-            held &= ~(out & (x <= 1e-15))
-            x[~held] = 0.0
-        x = z
+    a, ridge = a / np.sqrt(scale), 1e-10
+    u = np.zeros(len(a))
+
+    def value(v: np.ndarray) -> float:
+        return ridge * float(v @ v) + float((np.maximum(1 - a.T @ v, 0.0) ** 2).sum())
+
+    for _ in range(200):
+        rest = np.maximum(1 - a.T @ u, 0.0)
+        held = rest > 0
+        down = a @ rest - ridge * u
+        own = a[:, held]
+        step = np.linalg.solve(own @ own.T + ridge * np.eye(len(a)), down)
+        size, now = 1.0, value(u)
+        while value(u + size * step) > now - 1e-4 * size * float(down @ step) and size > 1e-12:
+            size /= 2
+        u = u + size * step
+        same = np.array_equal(held, 1 - a.T @ u > 0)
+        if same and size == 1.0 or size <= 1e-12:
+            break
+    x = np.maximum(1 - a.T @ u, 0.0)
+    held = np.nonzero(x > 0)[0]
+    if 0 < len(held) <= len(a) + 1:  # few names: what is left of 1 is rounding, so solve for them
+        own = a[:, held]
+        x = np.zeros(k)
+        x[held] = np.maximum(np.linalg.solve(own.T @ own + ridge * np.eye(len(held)), np.ones(len(held))), 0.0)
+    return x / x.sum() if x.sum() > 0 else np.full(k, 1.0 / k)
 
 
 def min_variance_weights(
@@ -151,8 +161,8 @@ def min_variance_weights(
 
     ``selected(date, tic)``; ``prices(tic, datadate, price)`` of earlier and equal dates. The last
     ``periods`` price dates up to the selection count; rows and names with gaps are left out; too
-    few rows give equal weights. Dates run in parallel; one date's task holds only its own
-    selected names.
+    few rows give equal weights. Dates run in parallel; one date's task holds ``periods`` numbers for each of
+    its own selected names, and never a table of names by names.
     """
     pairs = selected.select("date", "tic").distinct()
     # price dates are a short list: numbered once, so the last ones of a selection are found by number
@@ -179,7 +189,7 @@ def min_variance_weights(
             r = wide.pct_change(fill_method=None).iloc[1:]
             r = r.loc[:, r.notna().all()].dropna()
             if len(r) >= min_rows and r.shape[1]:
-                found = pd.Series(_min_variance(np.atleast_2d(np.cov(r.values, rowvar=False))), index=r.columns)
+                found = pd.Series(_min_variance(r.to_numpy()), index=r.columns)
                 weights = found.reindex(every).fillna(0.0)
                 weights = weights / weights.sum()
         return pd.DataFrame({"date": key[0], "tic": every, "weight": weights.reindex(every).values})

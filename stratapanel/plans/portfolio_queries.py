@@ -201,6 +201,25 @@ def min_variance_weights(spark, sf):
     return B.min_variance_weights(scratch.cut_lineage(_selected(spark, sf), "selected"), prices)
 
 
+@query("min_variance_pair", f"""
+WITH q AS (SELECT datadate, row_number() OVER (ORDER BY datadate) AS ord FROM (SELECT DISTINCT datadate FROM quarter_closes)),
+p AS (SELECT DISTINCT ord AS t, q.datadate AS date FROM q JOIN bucket_preds USING (datadate)),
+n AS (SELECT p.t, p.date, tic, row_number() OVER (PARTITION BY p.t ORDER BY md5(CAST(p.date AS VARCHAR) || tic)) AS k FROM p JOIN bucket_preds b ON b.datadate = p.date QUALIFY k <= 2),
+x AS (SELECT n.t, n.date, n.tic, n.k, q.ord, price / lag(price) OVER (PARTITION BY n.t, n.tic ORDER BY q.ord) - 1 AS r
+  FROM n JOIN q ON q.ord BETWEEN n.t - 7 AND n.t JOIN quarter_closes c ON c.datadate = q.datadate AND c.tic = n.tic),
+j AS (SELECT t, date, ord, max(r) FILTER (WHERE k = 1) AS a, max(r) FILTER (WHERE k = 2) AS b FROM x GROUP BY ALL),
+v AS (SELECT t, date, count(a) AS rows, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM j GROUP BY ALL),
+w AS (SELECT t, CASE WHEN rows < 3 THEN 0.5 ELSE least(greatest((vb - c) / (va + vb - 2 * c), 0), 1) END AS w FROM v)
+SELECT n.date, n.tic, {qcut('CASE WHEN k = 1 THEN w ELSE 1 - w END', 4)} AS weight FROM n JOIN w USING (t)""")
+def min_variance_pair(spark, sf):
+    """Two names of each date, picked by hash: the closed form is SQL's."""
+    w = Window.partitionBy("datadate").orderBy(F.md5(F.concat(F.col("datadate").cast("string"), F.col("tic"))))
+    two = bucket_preds(spark, sf).withColumn("k", F.row_number().over(w)).filter("k <= 2")
+    two = scratch.cut_lineage(two.select(F.col("datadate").alias("date"), "tic"), "pairs")
+    prices = scratch.cut_lineage(P.quarter_closes(spark, sf), "quarters")
+    return B.min_variance_weights(two, prices).withColumn("weight", cut(F.col("weight"), 4))
+
+
 @query("allocate_weights")
 def allocate_weights(spark, sf):
     s = scratch.cut_lineage(_selected(spark, sf), "selected")

@@ -142,7 +142,7 @@ def test_min_variance_meets_the_optimality_conditions():
         for rows in (3, k + 5):
             x = rng.normal(size=(rows, k)) * rng.uniform(0.1, 2, k)
             cov = np.atleast_2d(np.cov(x, rowvar=False))
-            w = B._min_variance(cov)
+            w = B._min_variance(x)
             assert (w >= 0).all() and math.isclose(w.sum(), 1.0, abs_tol=1e-9)
             # at the optimum no name has a lower marginal variance than the held ones
             slope = cov @ w
@@ -324,3 +324,103 @@ def test_symbols_that_are_bad_or_absent_can_be_skipped(spark, tmp_path):
         price_csv_scan(spark, str(tmp_path), symbols=names).collect()
     with pytest.raises(Exception):
         price_csv_scan(spark, str(tmp_path), symbols=["GOOD", "BAD"]).collect()
+
+
+def _table_solver(cov):
+    """The same problem through the names' table: names enter one by one, and leave when they turn negative."""
+    k = len(cov)
+    cov = cov / (np.trace(cov) / k) + 1e-10 * np.eye(k)
+    x, held = np.zeros(k), np.zeros(k, dtype=bool)
+    while True:
+        gain = np.where(held, -np.inf, 1.0 - cov @ x)
+        if held.all() or gain.max() <= 1e-9:
+            return x / x.sum()
+        held[int(np.argmax(gain))] = True
+        while True:
+            z = np.zeros(k)
+            z[held] = np.linalg.solve(cov[np.ix_(held, held)], np.ones(held.sum()))
+            out = held & (z <= 0)
+            if not out.any():
+                break
+            part = np.min(x[out] / (x[out] - z[out]))
+            x = x + part * (z - x)
+            held &= ~(out & (x <= 1e-15))
+            x[~held] = 0.0
+        x = z
+
+
+def test_least_variance_through_the_rows():
+    rng = np.random.default_rng(5)
+    for k in (1, 2, 3, 5, 7, 9, 14, 25):
+        for _ in range(8):
+            r = rng.normal(0.01, 0.05, (7, k)) + rng.normal(0, 0.04, (7, 1))
+            cov = np.atleast_2d(np.cov(r, rowvar=False))
+            got, want = B._min_variance(r), _table_solver(cov)
+            assert abs(got.sum() - 1) < 1e-9 and (got >= 0).all()
+            assert got @ cov @ got <= want @ cov @ want + 1e-9 * np.trace(cov)
+            if k <= 6:
+                assert np.allclose(got, want, atol=1e-5)
+
+
+def test_least_variance_of_many_names(spark):
+    rng = np.random.default_rng(6)
+    names = 5000
+    days = [d("2020-03-31"), d("2020-06-30"), d("2020-09-30"), d("2020-12-31"), d("2021-03-31"), d("2021-06-30")]
+    level = 100 * np.cumprod(1 + rng.normal(0, 0.1, (len(days), names)) + rng.normal(0, 0.1, (len(days), 1)), axis=0)
+    rows = [(f"T{i}", day, float(level[t, i])) for t, day in enumerate(days) for i in range(names)]
+    prices = spark.createDataFrame(rows, "tic string, datadate date, price double")
+    picked = prices.filter(F.col("datadate") == days[-1]).select(F.col("datadate").alias("date"), "tic")
+    w = B.min_variance_weights(picked, prices).toPandas().set_index("tic")["weight"]
+    assert len(w) == names and abs(w.sum() - 1) < 1e-9 and (w >= 0).all()
+    r = (level[1:] / level[:-1] - 1) @ w.loc[[f"T{i}" for i in range(names)]].to_numpy()
+    assert r.std() < 1e-4  # more names than rows: no variance is left
+
+
+def test_models_are_fitted_once_and_the_stack_competes(spark, monkeypatch):
+    from stratapanel.operators import models as M
+    from stratapanel.plans import model_queries as Q
+
+    monkeypatch.setattr(Q, "SIZES", {"trees": 3, "depth": 2, "rounds": 2})
+    fits = []
+    real = M.fit
+    monkeypatch.setattr(M, "fit", lambda *a: fits.append(1) or real(*a))
+    sf = "/root/testdata/sf0.001"
+    first = Q.bucket_models(spark, sf).collect()
+    once = len(fits)
+    assert once == 24 * len({r.bucket for r in first})  # three models and nine folds, on two spans
+    found = Q.feature_importance(spark, sf).collect()
+    stack = Q.stacking(spark, sf).collect()
+    assert len(fits) == once and stack and all(r.val_mse > 0 for r in stack)
+    assert {r.feature for r in found if r.bucket == "cyclical"} >= {"sector_ASIA", "ret_accel", "revenue"}
+    assert "sector_EUROPE" not in {r.feature for r in found if r.bucket == "cyclical"}
+    _, models, _ = Q._trained(spark, sf)
+    assert {r.model for r in models.collect()} == {"forest", "boosted", "ridge", "stacking"}
+    Q._TRAINED.clear()
+    assert sorted(Q.bucket_models(spark, sf).collect()) == sorted(first)  # another run says the same
+
+
+def test_window_ridges_with_missing_values(spark):
+    from stratapanel.operators import moments as R
+
+    rng = np.random.default_rng(3)
+    days = [x.date() for x in pd.date_range("2018-03-31", periods=9, freq="QE")]
+    rows = []
+    for t, day in enumerate(days):
+        for i in range(20):
+            x, z = rng.normal(5, 2, 2)
+            rows.append((f"T{i}", day, None if rng.random() < 0.2 else float(x), float(z), None, None if t == 8 else float(x - z)))
+    df = spark.createDataFrame(rows, "tic string, datadate date, x double, z double, gone double, y_return double")
+    got = R.window_ridges(df, ["x", "z", "gone"], 5, 2).collect()
+    assert [r.trade for r in sorted(got)] == days[7:]
+    pdf = pd.DataFrame(rows, columns=["tic", "day", "x", "z", "gone", "y"])
+    for r in got:
+        t = days.index(r.trade)
+        train, test = pdf[pdf.day.isin(days[t - 7 : t - 2])], pdf[pdf.day.isin(days[t - 2 : t])]
+        med = train[["x", "z"]].median()
+        a = train[["x", "z"]].fillna(med)
+        m, s = a.mean(), a.std()
+        coef = np.linalg.solve(((a - m) / s).T @ ((a - m) / s) + np.eye(2), ((a - m) / s).T @ (train.y - train.y.mean())) / s
+        assert np.allclose(r.coefficients, [*coef, 0.0]) and r.rows == 100
+        error = test.y - train.y.mean() - (test[["x", "z"]].fillna(med) - m) @ coef.to_numpy()
+        assert math.isclose(r.error, float((error**2).mean()), rel_tol=1e-9)
+    assert R.window_ridges(df.filter("false"), ["x", "z"], 5, 2).count() == 0
