@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.functions import rolling as R
+from stratapanel.functions.folds import fold_rows
 from stratapanel.operators import cleaning as K
 from stratapanel.sources.scratch import cut_lineage
 
@@ -61,19 +61,27 @@ def rsi(df: DataFrame, value: str, n: int = 14, name: str = "rsi_14") -> DataFra
 def macd(df: DataFrame, value: str, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Difference of two bias-adjusted exponential means and its own exponential mean.
 
-    The recursion runs per ticker in pandas; Spark shuffles by ticker.
+    One fold over a ticker's days carries, for each mean, the weighted sum of the values and the sum of the
+    weights; a day without a value keeps the means.
     """
-    schema = "tic string, date date, macd double, macd_signal double"
+    def mean(state: Column, name: str, span: int, x: Column) -> tuple[Column, Column]:
+        keep = F.lit((span - 1) / (span + 1))
+        return (
+            state[f"{name}_sum"] * keep + F.coalesce(x, F.lit(0.0)), state[f"{name}_weight"] * keep + x.isNotNull().cast("double")
+        )
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        line = pdf["x"].ewm(span=fast).mean() - pdf["x"].ewm(span=slow).mean()
-        return pd.DataFrame(
-            {"tic": pdf["tic"], "date": pdf["date"], "macd": line, "macd_signal": line.ewm(span=signal).mean()}
+    def step(state: Column, row: Column) -> tuple[Column, Column]:
+        new = {"fast": mean(state, "fast", fast, row["x"]), "slow": mean(state, "slow", slow, row["x"])}
+        line = F.try_divide(*new["fast"]) - F.try_divide(*new["slow"])
+        new["signal"] = mean(state, "signal", signal, line)
+        fields = [f.alias(f"{n}_{part}") for n, pair in new.items() for f, part in zip(pair, ("sum", "weight"), strict=True)]
+        return F.struct(*fields), F.struct(
+            row["date"].alias("date"), line.alias("macd"), F.try_divide(*new["signal"]).alias("macd_signal")
         )
 
-    small = df.select("tic", "date", F.col(value).alias("x"))
-    return small.groupBy("tic").applyInPandas(one, schema)
+    zero = F.struct(*(F.lit(0.0).alias(f"{n}_{part}") for n in ("fast", "slow", "signal") for part in ("sum", "weight")))
+    small = df.select("tic", "date", F.col(value).cast("double").alias("x"))
+    return fold_rows(small, ["tic"], "date", ["x"], zero, step, "date: date, macd: double, macd_signal: double")
 
 
 def profit_margin(df: DataFrame, income: str = "net_income", revenue: str = "revenue") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.functions import rolling as R
+from stratapanel.functions.folds import fold_rows
 from stratapanel.operators import joins as J
 from stratapanel.operators.regime import REGIME_LIMITS
 
@@ -74,7 +75,7 @@ def stop_loss(
     ``positions(tic, entry_date, entry_price, date, close)`` has one row per held day. The peak
     includes the day itself; an absolute stop wins over a trailing one; after a signal the
     position is quiet for the cooldown (whole weeks). Windows find the breaches; only those few
-    rows go through the ordered pass per position.
+    rows go through the ordered fold per position.
     """
     w = R.by("tic", "entry_date")
     peak = F.greatest(F.max("close").over(R.upto(w)), F.col("entry_price"))
@@ -87,24 +88,18 @@ def stop_loss(
     kind = F.when(F.col("from_entry") <= absolute, "absolute").when(F.col("from_peak") <= trailing, "trailing")
     hits = d.withColumn("kind", kind).filter(F.col("kind").isNotNull())
     days = 7 * ((cooldown_days + 6) // 7)
-    schema = (
-        "tic string, entry_date date, date date, kind string, entry_price double, close double, "
-        "peak double, from_entry double, from_peak double, cooldown_until date"
-    )
-    cols = [c.split()[0] for c in schema.split(", ")]
-
-    def quiet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        keep, until = [], None
-        for i, day in enumerate(pdf["date"]):
-            if until is None or day >= until:
-                keep.append(i)
-                until = day + pd.Timedelta(days=days)
-        out = pdf.iloc[keep].copy()
-        out["cooldown_until"] = [x + pd.Timedelta(days=days) for x in out["date"]]
-        return out[cols]
-
-    return hits.groupBy("tic", "entry_date").applyInPandas(quiet, schema)
+    given = {"kind": "string", "entry_price": "double", "close": "double", "peak": "double", "from_entry": "double", "from_peak": "double"}
+    hits = hits.withColumns({c: F.col(c).cast(t) for c, t in given.items()})
+
+    def step(state: Column, row: Column) -> tuple[Column, Column]:
+        fire = state["until"].isNull() | (row["date"] >= state["until"])
+        until = F.when(fire, F.date_add(row["date"], days)).otherwise(state["until"])
+        kept = [row[c].alias(c) for c in ("date", *given)]
+        return F.struct(until.alias("until")), F.struct(*kept, until.alias("cooldown_until"), fire.alias("fire"))
+
+    zero = F.struct(F.lit(None).cast("date").alias("until"))
+    out = ", ".join(["date: date", *(f"{c}: {t}" for c, t in given.items()), "cooldown_until: date", "fire: boolean"])
+    return fold_rows(hits, ["tic", "entry_date"], "date", list(given), zero, step, out).filter("fire").drop("fire")
 
 
 def equal_weights(selected: DataFrame, keys: Sequence[str] = ("date",)) -> DataFrame:

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.functions import rolling as R
+from stratapanel.functions.folds import fold_rows
 from stratapanel.operators import features as W
 from stratapanel.operators import joins as J
 
@@ -100,31 +100,27 @@ def fast_overlay_state(shocks: DataFrame, params: Sequence[tuple[str, int, float
         for n, k, x in params
     ))
     rows = steps.withColumn("_s", F.explode(sets)).select("_s.*", "date", "trigger", "r2", "r3")
-    schema = "params string, date date, is_active boolean, days_remaining long, trigger_date date, reason string"
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        duration, exit_at = int(pdf["duration"][0]), float(pdf["exit_at"][0])
-        out, start = [], None
-        for i, (date, hit, r2, r3) in enumerate(zip(pdf["date"], pdf["trigger"], pdf["r2"], pdf["r3"])):
-            if start is None:
-                if hit:
-                    start = i
-                out.append((hit, duration if hit else 0, date if hit else None, "triggered" if hit else "inactive"))
-                continue
-            gone = i - start
-            back = r3 if gone >= 4 else r2
-            if gone >= duration:
-                start, state = None, (False, 0, None, "duration_expired")
-            elif gone >= 3 and back > exit_at:
-                start, state = None, (False, 0, None, "recovery")
-            else:
-                state = (True, duration - gone, pdf["date"][start], "active")
-            out.append(state)
-        res = pd.DataFrame(out, columns=["is_active", "days_remaining", "trigger_date", "reason"])
-        return pd.concat([pdf[["params", "date"]], res], axis=1)
-
-    return rows.groupBy("params").applyInPandas(walk, schema)
+
+    def step(state: Column, row: Column) -> tuple[Column, Column]:
+        idle, hit, gone = state["gone"] < 0, row["trigger"], state["gone"] + 1
+        expired = gone >= row["duration"]
+        back = F.when(gone >= 4, row["r3"]).otherwise(row["r2"])
+        recovered = F.coalesce((gone >= 3) & (back > row["exit_at"]), F.lit(False))
+        now = F.when(idle, F.when(hit, 0).otherwise(-1)).when(expired | recovered, -1).otherwise(gone)
+        since = F.when(idle, F.when(hit, row["date"])).when(~expired & ~recovered, state["since"])
+        reason = (
+            F.when(idle & hit, "triggered").when(idle, "inactive").when(expired, "duration_expired")
+            .when(recovered, "recovery").otherwise("active")
+        )
+        left = F.when(now >= 0, row["duration"] - now).otherwise(0).cast("long")
+        return F.struct(now.alias("gone"), since.alias("since")), F.struct(
+            row["date"].alias("date"), (now >= 0).alias("is_active"), left.alias("days_remaining"),
+            since.alias("trigger_date"), reason.alias("reason"),
+        )
+
+    zero = F.struct(F.lit(-1).alias("gone"), F.lit(None).cast("date").alias("since"))
+    out = "date: date, is_active: boolean, days_remaining: bigint, trigger_date: date, reason: string"
+    return fold_rows(rows, ["params"], "date", ["trigger", "r2", "r3", "duration", "exit_at"], zero, step, out)
 
 
 def effective_regime(overlay: DataFrame, weekly: DataFrame) -> DataFrame:
@@ -156,16 +152,14 @@ def decision_timeline(days: DataFrame, params: Sequence[tuple[str, int]]) -> Dat
     rows = days.withColumn("_s", F.explode(sets)).select("_s.*", *days.columns)
     open_days = rows.filter(~F.col("is_weekly") & F.col("trigger")).select("params", "quiet", "date")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        quiet, last, keep = int(pdf["quiet"].iloc[0]), None, []
-        for d in pdf["date"]:
-            if last is None or (d - last).days > quiet:
-                last = d
-                keep.append(d)
-        return pd.DataFrame({"params": pdf["params"].iloc[0], "date": keep})
+    def step(last: Column, row: Column) -> tuple[Column, Column]:
+        fire = last["day"].isNull() | (F.datediff(row["date"], last["day"]) > row["quiet"])
+        day = F.when(fire, row["date"]).otherwise(last["day"])
+        return F.struct(day.alias("day")), F.struct(row["date"].alias("date"), fire.alias("fire"))
 
-    fired = open_days.groupBy("params").applyInPandas(walk, "params string, date date")
+    zero = F.struct(F.lit(None).cast("date").alias("day"))
+    folded = fold_rows(open_days, ["params"], "date", ["quiet"], zero, step, "date: date, fire: boolean")
+    fired = folded.filter("fire").drop("fire")
     d = rows.join(fired.withColumn("_fast", F.lit(True)), ["params", "date"], "left")
     action = (
         F.when(F.col("is_weekly"), "weekly")

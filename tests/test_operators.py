@@ -424,3 +424,19 @@ def test_window_ridges_with_missing_values(spark):
         error = test.y - train.y.mean() - (test[["x", "z"]].fillna(med) - m) @ coef.to_numpy()
         assert math.isclose(r.error, float((error**2).mean()), rel_tol=1e-9)
     assert R.window_ridges(df.filter("false"), ["x", "z"], 5, 2).count() == 0
+
+
+def test_macd_fold_equals_the_recursion(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for tic, n in (("A", 300), ("B", 1), ("C", 40)):
+        for k in range(n):
+            x = None if rng.random() < 0.1 or tic == "A" and k < 3 else float(100 + rng.normal())
+            rows.append((tic, d("2020-01-01") + dt.timedelta(days=k), x))
+    got = W.macd(spark.createDataFrame(rows, "tic string, date date, close double"), "close").toPandas().sort_values(["tic", "date"])
+    pdf = pd.DataFrame(rows, columns=["tic", "date", "x"])
+    for tic, own in pdf.groupby("tic"):
+        line = own.x.ewm(span=12).mean() - own.x.ewm(span=26).mean()
+        mine = got[got.tic == tic]
+        assert np.allclose(mine.macd, line, equal_nan=True) and np.allclose(mine.macd_signal, line.ewm(span=9).mean(), equal_nan=True)
+    assert "Pandas" not in W.macd(spark.createDataFrame(rows, "tic string, date date, close double"), "close")._jdf.queryExecution().toString()

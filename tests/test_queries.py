@@ -15,6 +15,18 @@ NAMES = [n for n in entry.queries() if n not in CORPUS and n != "pipeline"]
 MAY_BE_EMPTY: set[str] = set()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_models():
+    """Models of small sizes; the queries themselves use the full ones."""
+    from stratapanel.plans import model_queries
+
+    before = dict(model_queries.SIZES)
+    model_queries.SIZES.update(trees=5, depth=3, rounds=3)
+    yield
+    model_queries.SIZES.clear()
+    model_queries.SIZES.update(before)
+
+
 @pytest.fixture(scope="module")
 def con():
     return duck(SF)
