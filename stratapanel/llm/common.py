@@ -19,7 +19,7 @@ BLANK_RUN = r"[ \t\n\x0B\f\r]+"
 #: Rows a Python task works on at a time; bounds its memory whatever Arrow's batch size is.
 SLICE_ROWS = 256
 #: Bytes of text that a Python task works on at a time, in at most so many rows; one row may be longer.
-TEXT_BYTES, TEXT_ROWS = 4 << 20, 2048
+TEXT_BYTES, TEXT_ROWS = 2 << 20, 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,12 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
+def by_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of ``SLICE_ROWS``."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(at, SLICE_ROWS)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int = -1) -> Iterator[pa.RecordBatch]:
     """A batch in slices that hold ``TEXT_BYTES`` of a binary column, or one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -63,12 +69,13 @@ def add_by_text(
     fields: Sequence[tuple[str, str, pa.DataType]],
     make: Callable[[], Callable[[list[bytes]], Sequence[Sequence]]],
     keep: Sequence[str] | None = None,
+    cut: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] = by_rows,
 ) -> DataFrame:
-    """Add columns that a Python function computes from whole texts, in slices of bounded bytes.
+    """Add columns that a Python function computes from whole texts, in bounded slices.
 
     ``fields`` lists (name, Spark type, Arrow type); a field replaces a column of its name.
     ``make`` runs once in each task and returns a function from texts (UTF-8 bytes, null: empty)
-    to one sequence of values per field. The text column travels with the row only when kept.
+    to one sequence of values per field. ``cut`` makes the slices. The text column travels with the row only when kept.
     """
     names = [name for name, _, _ in fields]
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
@@ -81,7 +88,7 @@ def add_by_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for part in by_bytes(batch):
+            for part in cut(batch):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 made = compute([x or b"" for x in texts])
                 arrays = [part.column(i) for i in range(len(keep))]

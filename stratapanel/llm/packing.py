@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import SLICE_ROWS, add_by_text, bucket_count, with_offsets
+from stratapanel.llm.common import SLICE_ROWS, add_by_text, bucket_count, by_bytes, with_offsets
 from stratapanel.llm.tokens import word_encoder
 from stratapanel.sources.scratch import cut_lineage
 
@@ -110,7 +110,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, dims: int = DIMS, dep
     """
     fields = [("ids", "binary", pa.binary()), ("hilbert", "long", pa.int64()), ("n_tokens", "long", pa.int64())]
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tie"))
-    made = add_by_text(rows, "text", fields, _encoder(tokenizer_path, dims, depth), keep=["doc_id", "tie"])
+    made = add_by_text(rows, "text", fields, _encoder(tokenizer_path, dims, depth), keep=["doc_id", "tie"], cut=by_bytes)
     tie_bits = 63 - dims * depth
     curve = F.shiftleft("hilbert", tie_bits).bitwiseOR(F.shiftrightunsigned("tie", 64 - tie_bits))
     return made.withColumn("curve", curve).drop("hilbert", "tie")

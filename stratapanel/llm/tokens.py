@@ -12,7 +12,7 @@ from typing import Any
 import numpy as np
 
 #: Pieces and runs that a worker process remembers (about 150 bytes each) before the older half goes.
-PIECES, RUNS = 1_000_000, 400_000
+PIECES, RUNS = 600_000, 250_000
 #: Hash values, a power of two, of which a memory notes whether they came up.
 SEEN = 1 << 22
 #: Visible characters below U+0250 but one: composed, with a single lower case, no blanks among them.
