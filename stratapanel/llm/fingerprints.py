@@ -1,8 +1,14 @@
 """Document fingerprints from closed syncmers.
 
-A window of ``k`` words is a closed syncmer when the smallest hash among its words is that of its
-first or last word. The choice looks at nothing outside the window, so the same passage gives the
-same anchors wherever it stands, and an edit only touches the anchors that overlap it.
+The units of every text, short or long, are small pieces of it: blanks are left out, and a piece ends at the
+first vowel, digit or character outside ASCII, or after ``PIECE`` characters. Where pieces end depends on the
+characters at hand and on nothing else, so texts without blanks have units like any other. A window of ``k`` units is a
+closed syncmer when the smallest hash among its units is that of its first or last one. The choice looks at
+nothing outside the window, so the same passage gives the same anchors wherever it stands, and an edit only
+touches the anchors that overlap it.
+
+The first and last ``EDGE`` characters of every text are looked at by character too, since windows of pieces cover the
+edges of a text, and very short texts, only thinly.
 
 Everything here is made of Spark's own functions.
 """
@@ -12,68 +18,141 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import words
+from stratapanel.llm.common import BLANK_RUN, unused
 from stratapanel.sources.scratch import cut_lineage
 
-#: Words in a window. Two thirds of all windows of three words are closed syncmers.
-WINDOW = 3
+#: Units in a window. Two fifths of all windows of five units are closed syncmers.
+WINDOW = 5
+#: Characters of a piece at most.
+PIECE = 8
+#: Characters that do not end a piece: ASCII but vowels and digits.
+INNER = r"[\x00-\x2F\x3A-\x40B-DF-HJ-NP-TV-Z\x5B-\x60b-df-hj-np-tv-z\x7B-\x7F]"
+UNIT = rf"{INNER}{{1,{PIECE - 1}}}+[\s\S]?|[\s\S]"
+#: Characters, without blanks, at each end of a text that are also units of their own, and how many of them a window has.
+EDGE, EDGE_WINDOW = 16, 3
 #: Anchors kept in a fingerprint: all. A number keeps the smallest hashes, a uniform sample of a text's
 #: anchors; texts with fewer anchors are held whole.
 SKETCH: int | None = None
-#: Texts with fewer code points are looked at by character instead of by word.
-SHORT = 64
 
 
-def _mark(*parts: Column) -> Column:
-    """32 bits of a hash."""
-    return F.shiftright(F.xxhash64(*parts), 32).cast("int")
+def _solid(text: Column) -> Column:
+    """A text without blanks."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), BLANK_RUN, "")
+
+
+def units(solid: Column) -> Column:
+    """The pieces of a text without blanks, in order; an empty text has none."""
+    return F.regexp_extract_all(solid, F.lit(UNIT), F.lit(0))
+
+
+def _hashes(of: Column) -> Column:
+    return F.transform(of, lambda u: F.xxhash64(u))
 
 
 def anchors(hashes: Column, k: int = WINDOW) -> Column:
-    """Closed syncmers as array<struct<pos, hash>> in text order, from an array of unit hashes.
+    """Closed syncmers as an array of longs in text order, from an array of unit hashes.
 
-    ``pos`` counts units from 0. A text with fewer than ``k`` units, but at least one, has a single
-    anchor over all of them; a text without units has none.
+    The upper 32 bits are the anchor's place in units, from 0, the lower 32 its hash (``places`` and ``marks``
+    take them apart). A text with fewer than ``k`` units, but at least one, has a single anchor over all of
+    them; a text without units has none.
     """
+    def anchor(i: Column, *parts: Column) -> Column:
+        mark = F.shiftrightunsigned(F.xxhash64(*parts), 32)
+        return F.shiftleft(i.cast("long"), 32).bitwiseOR(mark)
+
     def window(x: Column, i: Column) -> Column:
         parts = [x, *(F.get(hashes, i + j) for j in range(1, k))]
         closed = F.least(parts[0], parts[-1]) <= F.least(*parts)
-        mark = F.struct(i.alias("pos"), _mark(*parts).alias("hash"))
-        return F.when((i <= F.size(hashes) - k) & closed, mark)
+        return F.when((i <= F.size(hashes) - k) & closed, anchor(i, *parts))
 
-    short = F.array(F.struct(F.lit(0).alias("pos"), _mark(hashes).alias("hash")))
-    none = F.array().cast("array<struct<pos:int,hash:int>>")
     return (
-        F.when(F.size(hashes) == 0, none)
-        .when(F.size(hashes) < k, short)
-        .otherwise(F.filter(F.transform(hashes, window), lambda a: a.isNotNull()))
+        F.when(F.size(hashes) == 0, F.array().cast("array<bigint>"))
+        .when(F.size(hashes) < k, F.array(anchor(F.lit(0), hashes)))
+        .otherwise(F.array_compact(F.transform(hashes, window)))
     )
 
 
-def with_anchors(df: DataFrame, text: str = "text", out: str = "anchors", k: int = WINDOW) -> DataFrame:
-    """Add the closed syncmers of a text column, with positions, for positional matching.
+def _mark(anchor: Column) -> Column:
+    return F.shiftright(F.shiftleft(anchor, 32), 32).cast("int")
+
+
+def marks(found: Column) -> Column:
+    """The hashes of anchors."""
+    return F.transform(found, _mark)
+
+
+def places(found: Column) -> Column:
+    """Where anchors stand, in units from 0."""
+    return F.transform(found, lambda a: F.shiftright(a, 32).cast("int"))
+
+
+def with_anchors(
+    df: DataFrame, text: str = "text", out: str = "anchors", k: int = WINDOW, edges: str | None = None
+) -> DataFrame:
+    """Add the closed syncmers of a text column, with their places (see ``anchors``), and those of its ``edges``.
 
-    Units are words; in texts of fewer than ``SHORT`` code points, which hardly have windows of words, they are
-    characters. A text without words has no anchors.
+    A null, empty or blank text has neither. The places of edge anchors count from each edge's first character.
     """
-    value = F.coalesce(F.col(text), F.lit(""))
-    units = words(value)
-    letters = F.filter(F.split(value, ""), lambda c: c != "")
-    units = F.when((F.char_length(value) < SHORT) & (F.size(units) > 0), letters).otherwise(units)
-    hashed = df.withColumn(out, F.transform(units, lambda u: F.xxhash64(u)))
-    return hashed.withColumn(out, anchors(F.col(out), k))
+    solid, ends = unused("solid", df), unused("ends", df)
+    made = df.withColumn(solid, _solid(F.col(text)))
+    made = made.withColumn(out, _hashes(units(F.col(solid)))).withColumn(out, anchors(F.col(out), k))
+    if edges is not None:
+        def letters(part: Column) -> Column:
+            return _hashes(F.filter(F.split(part, ""), lambda c: c != ""))
+
+        pair = F.struct(letters(F.left(solid, F.lit(EDGE))).alias("head"), letters(F.right(solid, F.lit(EDGE))).alias("tail"))
+        made = made.withColumn(ends, pair).withColumn(
+            edges, F.concat(anchors(F.col(f"{ends}.head"), EDGE_WINDOW), anchors(F.col(f"{ends}.tail"), EDGE_WINDOW))
+        ).drop(ends)
+    return made.drop(solid)
+
+
+def in_place(a: Column, b: Column) -> Column:
+    """Share of two texts' anchors (Dice) that are common and stand at the same place in both.
+
+    Two texts without anchors agree (1.0).
+    """
+    total = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
+
+
+def aligned(left: DataFrame, right: DataFrame, key: str = "doc_id", found: str = "anchors") -> DataFrame:
+    """Positional matches of two tables of anchors: which passages they have in common, and how far apart.
+
+    Anchors that occur once in their own text meet by hash; all meetings of two texts at one offset (place in the
+    right text less that in the left one) are one passage. Returns left_id, right_id, offset,
+    matches, first_place, last_place (in the left text). The result has a row for each pair and offset, so the left side
+    is meant to be the texts that are looked for. Rows with a null key or without anchors give none.
+    """
+    def once(df: DataFrame, side: str) -> DataFrame:
+        each = df.select(F.col(key).alias(f"{side}_id"), F.explode(found).alias("anchor")).filter(F.col(f"{side}_id").isNotNull())
+        mark, place = _mark(F.col("anchor")).alias("mark"), F.shiftright("anchor", 32).cast("int")
+        counted = each.groupBy(f"{side}_id", mark).agg(F.min(place).alias(f"{side}_place"), F.count("*").alias("n"))
+        return counted.filter("n = 1").drop("n")
+
+    met = once(left, "left").join(once(right, "right"), "mark")
+    offset = (F.col("right_place") - F.col("left_place")).alias("offset")
+    return met.groupBy("left_id", "right_id", offset).agg(
+        F.count("*").alias("matches"), F.min("left_place").alias("first_place"), F.max("left_place").alias("last_place")
+    )
+
+
+def sketch(found: Column, edges: Column, size: int | None = SKETCH) -> Column:
+    """The sorted array of distinct anchor hashes, of the ``size`` smallest if given."""
+    kept = F.sort_array(F.array_distinct(marks(F.concat(found, edges))))
+    return kept if size is None else F.slice(kept, 1, size)
 
 
 def with_sketch(df: DataFrame, text: str, out: str, size: int | None = SKETCH, k: int = WINDOW) -> DataFrame:
-    """Add the sorted array of a text's distinct anchor hashes, of the ``size`` smallest if given."""
-    marks = F.sort_array(F.array_distinct(F.col(f"{out}.hash")))
-    return with_anchors(df, text, out, k).withColumn(out, marks if size is None else F.slice(marks, 1, size))
+    """Add the sketch of a text: the hashes of its anchors and those of its edges."""
+    edges = unused("edges", df)
+    return with_anchors(df, text, out, k, edges).withColumn(out, sketch(F.col(out), F.col(edges), size)).drop(edges)
 
 
 def likeness(a: Column, b: Column, size: int | None = SKETCH) -> Column:
     """Shared part of two texts (Dice), estimated from their sketches; exact when both are whole.
 
-    Two texts without words are alike (1.0), one without words is unlike any other (0.0).
+    Two texts without anchors are alike (1.0), one without is unlike any other (0.0).
     """
     both = F.array_intersect(a, b)
     if size is None:
@@ -128,11 +207,12 @@ def edit_comparison(docs: DataFrame, size: int | None = SKETCH, k: int = WINDOW)
     The edited text of a document has its last floor(n_chars / 2) code points replaced by the first
     as many of the next document's text (by descending doc_id, round to the first), or by all of
     it. A null text is an empty one. Repeated rows are all returned. A sole document is
-    its own next one. Whole texts are shuffled once (both joins use the same exchange); what a document
+    its own next one; an empty table gives no rows. Rows with a null doc_id come last in that order and keep it. Whole texts are shuffled once (both joins use the same exchange); what a document
     gives to the one before it, a piece of text and a sketch, is a second, smaller shuffle.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, n_anchors_kept.
+    near_next, n_anchors_kept, in_place_edited (likeness by anchors that stand at the same place in the
+    text and in the edited one).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     # a row is known by two numbers without nulls; whether its doc_id is null goes into the hash
@@ -143,7 +223,7 @@ def edit_comparison(docs: DataFrame, size: int | None = SKETCH, k: int = WINDOW)
     n_chars = F.char_length("text").cast("long")
     links = followers(keyed.select("doc_id", "id", "text_hash", n_chars.alias("n_chars")))
     placed = keyed.select("id", "text_hash", "text").join(links, ["id", "text_hash"])
-    sketched = with_sketch(placed, "text", "sketch", size, k)
+    sketched = with_anchors(placed, "text", "found", k, "edges")
     # of repeated rows one gives; their exchange and order are those of the join
     same = Window.partitionBy("id", "text_hash").orderBy("text_hash")
     giving = placed.withColumn("copy", F.row_number().over(same)).filter("copy = 1")
@@ -152,12 +232,15 @@ def edit_comparison(docs: DataFrame, size: int | None = SKETCH, k: int = WINDOW)
         F.left("text", F.floor(F.col("before_chars") / 2).cast("int")).alias("piece"),
         F.col("sketch").alias("next_sketch"),
     )
-    met = sketched.select("doc_id", "id", "text_hash", "text", "sketch").join(given, ["id", "text_hash"])
+    met = sketched.select("doc_id", "id", "text_hash", "text", "found", "edges").join(given, ["id", "text_hash"])
     kept = F.left("text", (n_chars - F.floor(n_chars / 2)).cast("int"))
     edited = met.select(
-        "doc_id", n_chars.alias("n_chars"), "sketch", "next_sketch", F.concat(kept, F.col("piece")).alias("edited")
+        "doc_id", n_chars.alias("n_chars"), "found", "edges", "next_sketch", F.concat(kept, F.col("piece")).alias("edited")
     )
-    edited = with_sketch(edited, "edited", "edited_sketch", size, k)
+    edited = with_anchors(edited, "edited", "edited_found", k, "edited_edges").withColumns({
+        "sketch": sketch(F.col("found"), F.col("edges"), size),
+        "edited_sketch": sketch(F.col("edited_found"), F.col("edited_edges"), size),
+    })
     return edited.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         digest(F.col("sketch")).alias("fingerprint"),
@@ -165,4 +248,5 @@ def edit_comparison(docs: DataFrame, size: int | None = SKETCH, k: int = WINDOW)
         likeness(F.col("sketch"), F.col("edited_sketch"), size).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch"), size).alias("near_next"),
         F.size("sketch").alias("n_anchors_kept"),
+        in_place(F.col("found"), F.col("edited_found")).alias("in_place_edited"),
     )

@@ -1,4 +1,7 @@
 import hashlib
+import random
+import re
+import string
 
 import xxhash
 from pyspark.sql import functions as F
@@ -21,22 +24,31 @@ def signed(h):
     return h - (1 << 64) if h >> 63 else h
 
 
-def sketch(text, k=F1.WINDOW, size=F1.SKETCH):
-    units = text.encode().split()
-    if units and len(text) < F1.SHORT:
-        units = [c.encode() for c in text]
-    h = [xxhash.xxh64_intdigest(w, 42) for w in units]
+def solid(text):
+    return "".join(re.split(r"[ \t\n\x0b\f\r]+", text))
+
+
+def syncmers(units, k):
+    """(place, hash) of the closed syncmers, the hash signed."""
+    h = [xxhash.xxh64_intdigest(u.encode(), 42) for u in units]
     low = [signed(x) for x in h]
     if not h:
         return []
     if len(h) < k:
-        return [mark(xx_long(h))]
-    marks = set()
-    for i in range(len(h) - k + 1):
-        part = low[i : i + k]
-        if min(part) in (part[0], part[-1]):
-            marks.add(mark(xx_long(h[i : i + k])))
-    return sorted(marks)[:size]
+        return [(0, mark(xx_long(h)))]
+    return [
+        (i, mark(xx_long(h[i : i + k]))) for i in range(len(h) - k + 1) if min(low[i : i + k]) in (low[i], low[i + k - 1])
+    ]
+
+
+def found(text, k=F1.WINDOW):
+    return syncmers(re.findall(F1.UNIT, solid(text)), k)
+
+
+def sketch(text, k=F1.WINDOW, size=F1.SKETCH):
+    ends = solid(text)[: F1.EDGE], solid(text)[-F1.EDGE :]
+    edges = [a for end in ends for a in syncmers(end, F1.EDGE_WINDOW)]
+    return sorted({m for _, m in found(text, k) + edges})[:size]
 
 
 def dice(a, b, size=F1.SKETCH):
@@ -66,20 +78,60 @@ def test_edit_comparison_against_brute_force(odd_docs, odd_rows):
         want.setdefault(i, []).append((
             len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{v & 0xFFFFFFFF:08x}" for v in s),
             "".join(f"{v & 0xFFFFFFFF:08x}" for v in e), round(dice(s, e), 9), round(dice(s, x), 9),
+            round(dice(found(t), found(edited), None), 9),
         ))
     for r in got:
-        mine = (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9))
+        mine = (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9), round(r.in_place_edited, 9))
         assert mine in want[r.doc_id]
 
 
+def placed(spark, texts):
+    df = F1.with_anchors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    return [list(zip(r.p, r.m)) for r in df.select(F1.places(F.col("anchors")).alias("p"), F1.marks(F.col("anchors")).alias("m")).collect()]
+
+
 def test_anchors_are_context_free_and_placed(spark):
     words = [f"w{i * i % 97}" for i in range(80)]
     a, b = " ".join(words), " ".join(["other", "start", *words, "other", "end"])
-    df = spark.createDataFrame([(a,), (b,)], "text string")
-    plain, moved = (r.anchors for r in F1.with_anchors(df).collect())
-    shifted = {(m.pos - 2, m.hash) for m in moved}
-    assert plain and {(m.pos, m.hash) for m in plain} <= shifted
-    assert [m.pos for m in plain] == sorted(m.pos for m in plain)
+    plain, moved = placed(spark, [a, b])
+    before = len(re.findall(F1.UNIT, "otherstart"))
+    # "w" goes on in a piece that "other start" leaves open; what stands before that is only the first window's
+    assert plain and {m for m in plain if m[0] > 0} <= {(p - before + 1, m) for p, m in moved} | {(p - before, m) for p, m in moved}
+    assert plain == found(a) and moved == found(b)
+
+
+def test_one_unit_for_all_lengths(spark):
+    """No length at which likeness breaks off: code points 63 and 64, long texts without blanks."""
+    prose = "Inonst heble th and shonre ouwhea of rend Thlyer the to bleatio unds"
+    assert len(prose) >= 64
+    draw = random.Random(7)
+    plain = "".join(draw.choices(string.ascii_letters + string.digits + "+/", k=240))
+    chinese = "".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(240))
+    pairs = [(prose[:63], prose[:64])]
+    spots = range(3, 240, 9)
+    for t in (plain, chinese):
+        pairs += [(t, t[:i] + ("Q" if t is plain else "\u4dff") + t[i + 1 :]) for i in spots]
+    df = spark.createDataFrame([(n, *p) for n, p in enumerate(pairs)], "n int, a string, b string")
+    df = F1.with_sketch(F1.with_sketch(df, "a", "x"), "b", "y").select("n", F1.likeness(F.col("x"), F.col("y")).alias("near"))
+    near = [r.near for r in df.orderBy("n").collect()]
+    assert near[0] >= 0.7
+    assert min(near[1:]) >= 0.75
+    for part in (near[1 : 1 + len(spots)], near[1 + len(spots) :]):
+        assert sum(part) / len(part) >= 0.9
+
+
+def test_aligned_passages(spark):
+    words = [f"w{i * i % 1999}x{i % 7}y" for i in range(300)]
+    passage = " ".join(words[100:160])
+    texts = [(1, passage), (2, " ".join(words)), (3, "Something else altogether, " * 9), (4, None), (None, passage)]
+    df = F1.with_anchors(spark.createDataFrame(texts, "doc_id long, text string"))
+    got = {(r.right_id): r for r in F1.aligned(df.filter("doc_id = 1"), df.filter("doc_id > 1")).collect()}
+    assert set(got) == {2}
+    here, there = dict((m, p) for p, m in found(passage)), dict((m, p) for p, m in found(" ".join(words)))
+    offsets = {there[m] - p for m, p in here.items() if m in there}
+    assert offsets == {got[2].offset} and got[2].matches >= 0.9 * len(here)
+    assert got[2].first_place < got[2].last_place
+    assert F1.aligned(df.filter("doc_id = 4"), df).collect() == []
 
 
 def test_short_texts_share_what_they_keep(spark):
