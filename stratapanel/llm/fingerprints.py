@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers.
 
 The units of every text, short or long, are small pieces of it: blanks are left out, and a piece ends at the
-first vowel, digit or character outside ASCII, or after ``PIECE`` characters. Where pieces end depends on the
+first ``a`` or ``o``, digit or character outside ASCII, or after ``PIECE`` characters. Where pieces end depends on the
 characters at hand and on nothing else, so texts without blanks have units like any other. A window of ``k`` units is a
 closed syncmer when the smallest hash among its units is that of its first or last one. The choice looks at
 nothing outside the window, so the same passage gives the same anchors wherever it stands, and an edit only
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from stratapanel.llm.common import BLANK_RUN, unused
 from stratapanel.sources.scratch import cut_lineage
 
-#: Units in a window. Two fifths of all windows of five units are closed syncmers.
-WINDOW = 5
+#: Units in a window. Two thirds of all windows of three units are closed syncmers.
+WINDOW = 3
 #: Characters of a piece at most.
 PIECE = 8
-#: Characters that do not end a piece: ASCII but vowels and digits.
-INNER = r"[\x00-\x2F\x3A-\x40B-DF-HJ-NP-TV-Z\x5B-\x60b-df-hj-np-tv-z\x7B-\x7F]"
+#: Characters that do not end a piece: ASCII but ``a``, ``o``, ``A``, ``O`` and digits.
+INNER = r"[\x00-\x2F\x3A-\x40B-NP-Z\x5B-\x60b-np-z\x7B-\x7F]"
 UNIT = rf"{INNER}{{1,{PIECE - 1}}}+[\s\S]?|[\s\S]"
 #: Characters, without blanks, at each end of a text that are also units of their own, and how many of them a window has.
 EDGE, EDGE_WINDOW = 16, 3
@@ -93,17 +93,19 @@ def with_anchors(
 
     A null, empty or blank text has neither. The places of edge anchors count from each edge's first character.
     """
-    solid, ends = unused("solid", df), unused("ends", df)
+    solid, head, tail = (unused(name, df) for name in ("solid", "head", "tail"))
     made = df.withColumn(solid, _solid(F.col(text)))
     made = made.withColumn(out, _hashes(units(F.col(solid)))).withColumn(out, anchors(F.col(out), k))
     if edges is not None:
         def letters(part: Column) -> Column:
             return _hashes(F.filter(F.split(part, ""), lambda c: c != ""))
 
-        pair = F.struct(letters(F.left(solid, F.lit(EDGE))).alias("head"), letters(F.right(solid, F.lit(EDGE))).alias("tail"))
-        made = made.withColumn(ends, pair).withColumn(
-            edges, F.concat(anchors(F.col(f"{ends}.head"), EDGE_WINDOW), anchors(F.col(f"{ends}.tail"), EDGE_WINDOW))
-        ).drop(ends)
+        # columns of their own: fields of a struct would be put back into the windows and made anew for each of them
+        made = made.withColumns({
+            head: letters(F.left(solid, F.lit(EDGE))), tail: letters(F.right(solid, F.lit(EDGE))),
+        })
+        both = F.concat(anchors(F.col(head), EDGE_WINDOW), anchors(F.col(tail), EDGE_WINDOW))
+        made = made.withColumn(edges, both).drop(head, tail)
     return made.drop(solid)
 
 
@@ -112,7 +114,7 @@ def in_place(a: Column, b: Column) -> Column:
 
     Two texts without anchors agree (1.0).
     """
-    total = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
+    total = F.size(a) + F.size(b)  # places make the anchors of a text distinct
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
