@@ -63,23 +63,30 @@ def trade_table(daily_weights: DataFrame, prices: DataFrame) -> DataFrame:
     """Trades of a daily rebalanced portfolio: strategy, date, tic, gross, change.
 
     ``change`` is the weight bought or sold after the day's drift; ``gross`` is the day's return of
-    the portfolio held since the day before.
+    the portfolio held since the day before. The weights are read once; a day's rows of one strategy meet in
+    one window, so memory is that of its names.
     """
     days = C.calendar_ordinals(prices.select("date").distinct())
-    w = daily_weights.join(days, "date").select("strategy", "ord", "tic", "weight")
-    ret = prices.select("tic", "date", R.change(F.col("close"), R.by("tic")).alias("r")).join(days, "date")
-    ret = ret.filter(F.col("r").isNotNull()).select("tic", "ord", "r")
     last = days.agg(F.max("ord")).scalar()
-    before = w.select("strategy", (F.col("ord") + 1).alias("ord"), "tic", F.col("weight").alias("_w0"))
-    before = before.filter(F.col("ord") <= last).join(ret, ["tic", "ord"], "left")
-    before = before.withColumn("r", F.coalesce("r", F.lit(0.0)))
-    gross = before.groupBy("strategy", "ord").agg(F.sum(F.col("_w0") * F.col("r")).alias("gross"))
-    d = before.join(w, ["strategy", "ord", "tic"], "full").join(gross, ["strategy", "ord"], "left")
-    g = F.coalesce("gross", F.lit(0.0))
+    ret = prices.select("tic", "date", R.change(F.col("close"), R.by("tic")).alias("r")).join(days, "date")
+    tomorrow = ret.filter(F.col("r").isNotNull()).select("tic", (F.col("ord") - 1).alias("ord"), "r")
+    w = daily_weights.join(days, "date").select("strategy", "ord", "tic", "weight").join(tomorrow, ["tic", "ord"], "left")
+
+    def role(ahead: int, weight: Column, before: Column, r: Column) -> Column:
+        return F.struct((F.col("ord") + ahead).alias("ord"), weight.alias("weight"), before.alias("_w0"), r.alias("r"))
+
+    # a weight is what its day wants and what the next day starts with; one exchange serves the sum and the window
+    none, held = F.lit(0.0), F.col("weight").cast("double")
+    roles = F.array(role(0, held, none, none), role(1, none, held, F.coalesce("r", none)))
+    d = w.select("strategy", "tic", F.inline(roles)).filter(F.col("ord") <= last).repartition("strategy", "ord")
+    d = d.groupBy("strategy", "ord", "tic").agg(
+        F.sum("weight").alias("weight"), F.sum("_w0").alias("_w0"), F.max_by("r", F.abs("_w0")).alias("r")
+    )
+    gross = F.sum(F.col("_w0") * F.col("r")).over(Window.partitionBy("strategy", "ord"))
+    d = d.withColumn("gross", gross)
     # The first day buys from cash: nothing has drifted.
-    drift = F.coalesce(F.col("_w0") * (1 + F.col("r")) / (1 + g), F.lit(0.0))
-    change = F.coalesce("weight", F.lit(0.0)) - drift
-    return d.withColumns({"gross": g, "change": change}).join(days, "ord").select(
+    drift = F.col("_w0") * (1 + F.col("r")) / (1 + F.col("gross"))
+    return d.withColumn("change", F.col("weight") - drift).join(days, "ord").select(
         "strategy", "date", "tic", "gross", "change"
     )
 

@@ -294,14 +294,25 @@ def drawdown(value: Column, key: str = "tic", order: str = "date") -> Column:
     return value / F.max(value).over(R.upto(R.by(key, order=order))) - 1
 
 
-def rolling_covariance(series: DataFrame, n: int = 252) -> DataFrame:
-    """Covariance of every pair of series over the last n + 1 levels (n returns) per date.
+#: Series that a pairwise matrix takes at most: 500 give 125,250 pairs for each date.
+MOST_SERIES = 500
+
+
+def _chosen(series: DataFrame, names: Sequence[str]) -> DataFrame:
+    wanted = sorted(set(names))
+    if not 0 < len(wanted) <= MOST_SERIES:
+        raise ValueError(f"a pairwise matrix takes 1 to {MOST_SERIES} series, {len(wanted)} named")
+    return series.filter(F.col("name").isin(wanted))
+
+
+def rolling_covariance(series: DataFrame, names: Sequence[str], n: int = 252) -> DataFrame:
+    """Covariance of every pair of the named series over the last n + 1 levels (n returns) per date.
 
     ``series``: name, date, close. The result is quadratic in the number of series by definition,
-    so it is meant for group or selected-universe series; all dates come from one plan.
+    so they are named, at most ``MOST_SERIES``; all dates come from one plan.
     """
     w = R.by("name")
-    r = series.select("name", "date", R.change(F.col("close"), w).alias("r"))
+    r = _chosen(series, names).select("name", "date", R.change(F.col("close"), w).alias("r"))
     a = r.select(F.col("name").alias("name_i"), "date", F.col("r").alias("_a"))
     b = r.select(F.col("name").alias("name_j"), "date", F.col("r").alias("_b"))
     pairs = a.join(b, "date").filter(F.col("name_i") <= F.col("name_j"))
@@ -313,13 +324,13 @@ def rolling_covariance(series: DataFrame, n: int = 252) -> DataFrame:
     return out.filter(F.col("cov").isNotNull()).select("date", "name_i", "name_j", "cov")
 
 
-def correlation_matrix(series: DataFrame) -> DataFrame:
-    """Pearson correlation of every pair (name_i <= name_j) of return series on their common dates.
+def correlation_matrix(series: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair (name_i <= name_j) of the named return series on their common dates.
 
-    Like the covariance, for a short list of series: group series or a chosen universe.
+    Series are named as for the covariance.
     """
     w = R.by("name")
-    r = series.select("name", "date", R.change(F.col("close"), w).alias("r")).dropna()
+    r = _chosen(series, names).select("name", "date", R.change(F.col("close"), w).alias("r")).dropna()
     a = r.select(F.col("name").alias("name_i"), "date", F.col("r").alias("_a"))
     b = r.select(F.col("name").alias("name_j"), "date", F.col("r").alias("_b"))
     pairs = a.join(b, "date").filter(F.col("name_i") <= F.col("name_j"))

@@ -58,8 +58,8 @@ def levels(daily):
 
 
 def held(spark, sf, daily):
-    """Weights of every day, written once: a back-test reads them several times."""
-    return scratch.cut_lineage(Q.weight_ffill_normalise(strategies(spark, sf, daily), levels(daily)), "held")
+    """Weights of every day. A back-test reads them once, so they are not written."""
+    return Q.weight_ffill_normalise(strategies(spark, sf, daily), levels(daily))
 
 
 @query("weight_alignment", f"SELECT date, tic, {qcut('weight')} AS weight FROM aligned")

@@ -260,19 +260,24 @@ def sector_weekly(spark, sf):
     )
 
 
+def sector_names(spark, sf):
+    """The names of the sector series, a short list."""
+    return [r.sector for r in P.sectors(spark, sf).select("sector").distinct().collect()]
+
+
 @query("rolling_covariance", f"""
 WITH p AS (SELECT a.date, a.name AS name_i, b.name AS name_j, a.r AS ra, b.r AS rb FROM sector_weekly_ret a JOIN sector_weekly_ret b ON a.date = b.date AND a.name <= b.name),
 c AS (SELECT date, name_i, name_j, count(ra * rb) OVER w AS n, covar_samp(ra, rb) OVER w AS cov FROM p WINDOW w AS (PARTITION BY name_i, name_j ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW))
 SELECT date, name_i, name_j, {qcut('cov', 9)} AS cov FROM c WHERE n = 52""")
 def rolling_covariance(spark, sf):
-    d = W.rolling_covariance(sector_weekly(spark, sf), 52)
+    d = W.rolling_covariance(sector_weekly(spark, sf), sector_names(spark, sf), 52)
     return d.withColumn("cov", cut(F.col("cov"), 9))
 
 
 @query("correlation_matrix", f"""
 SELECT a.name AS name_i, b.name AS name_j, {qcut('corr(a.r, b.r)')} AS corr FROM sector_weekly_ret a JOIN sector_weekly_ret b ON a.date = b.date AND a.name <= b.name GROUP BY 1, 2""")
 def correlation_matrix(spark, sf):
-    return W.correlation_matrix(sector_weekly(spark, sf)).withColumn("corr", cut(F.col("corr")))
+    return W.correlation_matrix(sector_weekly(spark, sf), sector_names(spark, sf)).withColumn("corr", cut(F.col("corr")))
 
 
 @query("frozen_price_pairs", """

@@ -440,3 +440,51 @@ def test_macd_fold_equals_the_recursion(spark):
         mine = got[got.tic == tic]
         assert np.allclose(mine.macd, line, equal_nan=True) and np.allclose(mine.macd_signal, line.ewm(span=9).mean(), equal_nan=True)
     assert "Pandas" not in W.macd(spark.createDataFrame(rows, "tic string, date date, close double"), "close")._jdf.queryExecution().toString()
+
+
+def test_pairwise_matrices_take_named_series_only(spark):
+    rng = random.Random(3)
+    levels = {n: [100 * (1 + 0.1 * rng.random()) for _ in range(8)] for n in "abc"}
+    day = dt.date(2024, 1, 1)
+    rows = [(n, day + dt.timedelta(i), x) for n, xs in levels.items() for i, x in enumerate(xs)]
+    series = spark.createDataFrame(rows, "name string, date date, close double")
+    returns = {n: [b / a - 1 for a, b in zip(xs, xs[1:])] for n, xs in levels.items()}
+    got = {(r.date, r.name_i, r.name_j): r.cov for r in W.rolling_covariance(series, ["c", "a"], 4).collect()}
+    assert {(i, j) for _, i, j in got} == {("a", "a"), ("a", "c"), ("c", "c")} and len(got) == 3 * 4
+    last = day + dt.timedelta(7)
+    assert got[last, "a", "c"] == pytest.approx(statistics.covariance(returns["a"][-4:], returns["c"][-4:]))
+    corr = {(r.name_i, r.name_j): r["corr"] for r in W.correlation_matrix(series, ["a", "b"]).collect()}
+    assert corr["a", "b"] == pytest.approx(statistics.correlation(returns["a"], returns["b"])) and len(corr) == 3
+    for names in ([], [str(i) for i in range(W.MOST_SERIES + 1)]):
+        with pytest.raises(ValueError):
+            W.correlation_matrix(series, names)
+
+
+def test_trades_against_a_walk_through_the_days(spark):
+    rng = random.Random(11)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(9)]
+    close = {(t, d): 50 + rng.random() for t in "abcd" for d in days if rng.random() < 0.85 or d == days[0]}
+    held = {
+        (s, d): dict.fromkeys(rng.sample("abcd", rng.choice((1, 2, 3))), 0.3)
+        for s in ("one", "two") for d in days if (s, d) != ("one", days[0]) and rng.random() < 0.8
+    }
+    weights = spark.createDataFrame([(s, d, t, x) for (s, d), w in held.items() for t, x in w.items()], "strategy string, date date, tic string, weight double")
+    prices = spark.createDataFrame([(t, d, x) for (t, d), x in close.items()], "tic string, date date, close double")
+
+    def change_of(tic, d):
+        before = [x for x in days if x < d and (tic, x) in close]
+        return close[tic, d] / close[tic, before[-1]] - 1 if before and (tic, d) in close else 0.0
+
+    want = {}
+    for s in ("one", "two"):
+        for y, d in zip([None, *days], days):
+            old, new = held.get((s, y), {}), held.get((s, d), {})
+            gross = sum(x * change_of(t, d) for t, x in old.items())
+            for t in old.keys() | new.keys():
+                drift = old.get(t, 0.0) * (1 + change_of(t, d)) / (1 + gross)
+                want[s, d, t] = (gross, new.get(t, 0.0) - drift)
+    table = Q.trade_table(weights, prices)
+    got = {(r.strategy, r.date, r.tic): (r.gross, r.change) for r in table.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert Q.trade_table(weights.filter("false"), prices).collect() == []
