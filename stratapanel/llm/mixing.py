@@ -103,8 +103,10 @@ def mix(
     the part of its source's budget that comes before a row, so sorting by it gives every stretch of
     the mix its sources in proportion to their weights.
 
-    A null source is a source of its own; repeated rows are used each for itself. Returns doc_id, source, tokens, pass_no, block, tokens_before, weight, repeats,
-    position and the columns in ``carry``.
+    A null source is a source of its own, and so is a sole one, with repeats 1; repeated rows are used each for
+    itself, rows with a null doc_id too. A text without tokens counts as one token. An empty table gives no rows.
+    Returns doc_id, source, tokens, pass_no, block, tokens_before, weight, repeats, position and the columns in
+    ``carry``; a carried column takes the place of the mix's own one of its name.
     """
     carry = [c for c in carry or [] if c not in ("doc_id", "source")]
     kept = {f"carried_{i}": c for i, c in enumerate(carry)}
@@ -135,14 +137,12 @@ def mix(
     placed = with_offsets(slim, ["source", "pass_no", "block"], w_order, {"in_pass": "tokens"}, restart=2)
     before = F.col("in_pass") + F.col("pass_no") * F.col("w_tokens")
     budget = F.col("repeats") * F.col("w_tokens")
+    own = ("doc_id", "source", "tokens", "pass_no", "block", "tokens_before", "weight", "repeats", "position")
     return (
         placed.withColumn("tokens_before", before)
         .filter(F.col("tokens_before") < budget)
         .withColumn("position", F.col("tokens_before") / budget)
-        .select(
-            "doc_id", "source", "tokens", "pass_no", "block", "tokens_before", "weight", "repeats", "position",
-            *(F.col(k).alias(c) for k, c in kept.items()),
-        )
+        .select(*(c for c in own if c not in carry), *(F.col(k).alias(c) for k, c in kept.items()))
     )
 
 

@@ -74,3 +74,53 @@ def test_passes_differ_and_runs_agree(spark):
     part = runs[0][: len(runs[0]) // 4]
     share = sum(d % 9 == 0 for d, _ in part) / len(part)
     assert share == pytest.approx(300 / 1100, abs=0.03)
+
+
+def test_blocks_and_passes_against_brute_force(spark, odd_docs):
+    limit, rng = 2.5, range(400)
+    more = spark.createDataFrame([(50_000 + i, "hot" if i % 4 else "rare", "w " * (1 + i % 7)) for i in rng], "doc_id long, source string, text string")
+    docs = odd_docs.select("doc_id", "source", "text").unionByName(more)
+    ident = F.xxhash64("doc_id", "text")
+    facts = [r.asDict() for r in docs.select("doc_id", "source", "text", ident.alias("ident")).collect()]
+    for f in facts:
+        f["tokens"] = max(len((f["text"] or "").encode().split()), 1)
+    total, count = Counter(), Counter(f["source"] for f in facts)
+    for f in facts:
+        total[f["source"]] += f["tokens"]
+    high, low = max(total.values()), min(total.values())
+    e = max(0.0, 1 - math.log(limit) / math.log(high / low))
+    raised = {s: (t / sum(total.values())) ** e for s, t in total.items()}
+    per = {s: x / total[s] for s, x in raised.items()}
+    repeats = {s: per[s] / min(per.values()) for s in per}
+    shown = [(f["ident"], p) for f in facts for p in range(math.ceil(round(repeats[f["source"]], 6)))]
+    hashes = spark.createDataFrame(sorted(set(shown)), "ident long, p int").select(
+        "ident", "p", F.xxhash64("ident", "p", F.lit("block")).alias("b"), F.xxhash64("ident", "p", F.lit("turn")).alias("t")
+    )
+    deal = {(r.ident, r.p): (r.b, r.t) for r in hashes.collect()}
+    want = Counter()
+    for s in total:
+        for p in range(math.ceil(round(repeats[s], 6))):
+            # below 4096 rows a block stands for one row on average
+            mine = [(deal[f["ident"], p][0] % count[s], deal[f["ident"], p][1], f["doc_id"] is not None, f["doc_id"] or 0, f["tokens"], f["doc_id"]) for f in facts if f["source"] == s]
+            at = p * total[s]
+            for block, *_, tokens, doc in sorted(mine):
+                if at < round(repeats[s], 6) * total[s]:
+                    want[s, p, block, at, tokens, doc] += 1
+                at += tokens
+    got = mixing.mix(docs, mixing.text_tokens(F.col("text")), max_repeat=limit).collect()
+    assert Counter((r.source, r.pass_no, r.block, r.tokens_before, r.tokens, r.doc_id) for r in got) == want
+    weight = {s: x / sum(raised.values()) for s, x in raised.items()}
+    assert all(r.weight == pytest.approx(weight[r.source], rel=1e-6) for r in got)
+    assert all(r.position == pytest.approx(r.tokens_before / repeats[r.source] / total[r.source], rel=1e-6, abs=1e-9) for r in got)
+
+
+def test_names_of_the_operators_own_columns_in_the_input(odd_docs):
+    names = ("tokens", "weight", "position", "block", "pass_no", "repeats", "docs", "ident", "turn", "w_tokens")
+    clash = odd_docs.withColumns({c: F.lit(c) for c in names})
+    plain, other = (
+        mixing.mix(d, mixing.text_tokens(F.col("text")), max_repeat=1.7).collect() for d in (odd_docs, clash)
+    )
+    assert sorted(map(repr, plain)) == sorted(map(repr, other))
+    carried = mixing.mix(clash, mixing.text_tokens(F.col("text")), max_repeat=1.7, carry=clash.columns).select(*clash.columns)
+    rows = carried.collect()
+    assert len(rows) == len(plain) and all(r[n] == n for r in rows for n in names)

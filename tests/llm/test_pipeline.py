@@ -71,6 +71,28 @@ def test_stages_take_empty_tables_and_extra_columns(spark, odd_docs, no_docs):
         cp.STAGES[-1][1](spark, frame, SF).collect()
 
 
+def test_stages_take_the_operators_own_names(spark, odd_docs):
+    names = ("tokens", "weight", "position", "size", "ids", "curve", "kept", "quality_score", "component_id", "source_weight")
+    clash = odd_docs.withColumns({c: F.lit(c) for c in names})
+    for _, stage in cp.STAGES[:-1]:
+        plain, other = stage(spark, odd_docs, SF).collect(), stage(spark, clash, SF).collect()
+        assert sorted(map(repr, plain)) == sorted(repr(type(plain[0])(**{c: r[c] for c in odd_docs.columns})) for r in other)
+        assert all(r[c] == c for r in other for c in names)
+    keys = ("doc_id", "start", "sequence_id", "offset", "ids_crc32")
+    plain, other = (cp.pack_sequences(spark, d, SF).select(*keys).collect() for d in (odd_docs, clash))
+    assert sorted(map(repr, plain)) == sorted(map(repr, other))
+
+
+def test_without_labels_and_with_one_source(spark, odd_docs, tmp_path):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter("false")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    scored = cp.quality_classifier(spark, odd_docs, str(tmp_path))  # no labels: every score is 0.5, nothing goes
+    assert scored.count() == odd_docs.count()
+    single = odd_docs.withColumn("source", F.lit("only"))
+    mixed = cp.mix_sources(spark, single, SF)
+    assert sorted(map(repr, mixed.collect())) == sorted(map(repr, single.collect()))
+
+
 def test_every_query_runs(spark):
     for name, query in QUERIES.items():
         assert query(spark, SF).count() > 0, name

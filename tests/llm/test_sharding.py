@@ -1,5 +1,6 @@
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratapanel.llm import sharding
@@ -50,3 +51,50 @@ def test_heavy_records_weigh_in_the_draw(spark):
     df = spark.range(1000).select(F.col("id").alias("key"), F.when(F.col("id") < 10, 10_000).otherwise(1).alias("size"), F.xxhash64("id").alias("tie"))
     cuts = sharding.splitters(df, "key", "size", 10)
     assert cuts and all(c < 20 for c in cuts)
+
+
+def brute_shards(rows, n):
+    """(id, size, crc, key, tie) rows laid out by one walk through the sorted list."""
+    ranges, total = n * sharding.RANGES_PER_SHARD, sum(r[1] for r in rows)
+    wanted = ranges * sharding.DRAWN_PER_RANGE
+    drawn = []
+    for *_, size, _, key, _, chance in rows:
+        share = size * (wanted / total)
+        drawn += [key] * (int(share) + (chance / 2**40 < share - int(share)))
+    drawn.sort()
+    cuts = [drawn[len(drawn) * i // ranges] for i in range(1, ranges)]
+    cuts = sorted({*cuts, *(a + 1 for a, b in zip(cuts, cuts[1:]) if a == b)})
+    homes = [sum(c <= r[3] for c in cuts) for r in rows]
+    load = {}
+    for h, r in zip(homes, rows):
+        load[h] = load.get(h, 0) + r[1]
+    split = {h: x * ranges // total + 1 if x * ranges > sharding.OVERFULL * total else 1 for h, x in load.items()}
+    line = sorted(
+        (h, ((r[4] % 2**64 >> 33) * split[h]) >> 31, r[3], r[4], (r[0] is not None, r[0] or 0), r[2], r[1]) for h, r in zip(homes, rows)
+    )
+    out, before, slots = [], 0, {}
+    for *_, doc, crc, size in line:
+        shard = min(int((before + size / 2) * n / total), n - 1)
+        slot = slots[shard] = slots.get(shard, -1) + 1
+        out.append((doc[1] if doc[0] else None, size, crc, shard, slot))
+        before += size
+    return out
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_layout_against_brute_force(spark, odd_docs, n):
+    hot = spark.range(400).select((F.col("id") + 9000).alias("doc_id"), F.lit("the hot text " * 9).alias("text"))
+    docs = odd_docs.select("doc_id", "text").unionByName(hot)
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    facts = docs.select("doc_id", (F.octet_length(data) + 16).alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("key"))
+    facts = facts.withColumn("tie", F.xxhash64(F.lit("tie"), "doc_id", "text_crc32"))
+    facts = facts.withColumn("chance", F.pmod(F.xxhash64("key", "tie", F.lit("draw")), F.lit(1 << 40)))
+    want = brute_shards([tuple(r) for r in facts.collect()], n)
+    got = [(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(docs, n).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_names_of_the_operators_own_columns_in_the_input(spark, odd_docs):
+    clash = odd_docs.withColumns({c: F.lit(c) for c in ("size", "shard", "slot", "range", "sub", "key", "tie", "law", "one")})
+    rows = [sorted(map(repr, sharding.shard_documents(d, 5).collect())) for d in (odd_docs, clash)]
+    assert rows[0] == rows[1]
