@@ -1,7 +1,10 @@
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from stratapanel.llm import classifier
@@ -60,3 +63,42 @@ def test_without_both_classes_the_score_is_constant(spark, odd_docs, labels):
     model = classifier.train(odd_docs, frame)
     scores = {round(r.score, 6) for r in classifier.with_score(odd_docs, model).collect()}
     assert len(scores) == 1 and 0 <= scores.pop() <= 1
+
+
+def brute_inputs(model, text):
+    """The curve's two inputs for one text, each piece compressed by a compressor of its own."""
+    data = (text or "").encode()
+    if not data:
+        return 0.0, 0.0
+    options = dict(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    pieces = [data[i : i + 2048] for i in range(0, len(data), 2048)]
+
+    def size(**more):
+        return sum(len(zstandard.ZstdCompressor(**options, **more).compress(p)) for p in pieces)
+
+    good, bad = (size(dict_data=zstandard.ZstdCompressionDict(d)) for d in (model.good, model.bad))
+    return (bad - good) / (bad + good), min(size() / len(data), 1.0)
+
+
+def brute_terms(model, text):
+    a, b = (min(max((x - c) / s, -8), 8) for x, c, s in zip(brute_inputs(model, text), model.centre, model.scale))
+    return [1.0, a, b, a * b, a * a, b * b]
+
+
+def test_scores_and_curve_against_brute_force(spark, odd_docs):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = classifier.train(docs, labels, 60)
+    texts = odd_docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    for r in classifier.with_score(texts, model).collect()[:400]:
+        at = sum(w * x for w, x in zip(model.weights, brute_terms(model, r.text)))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-at)), rel=1e-9)
+    # at the fitted weights the weighted likelihood, less half their squares, has no slope
+    rows, rate = classifier.sample_of(docs, labels, 60)
+    curve = [(t.decode(), q) for c in (0, 1) for t, q in [(t, q) for _, q, t in rows if q == c and t][1::2]]
+    share = sum(q for _, q in curve) / len(curve)
+    slope = -np.array(model.weights)
+    for text, q in curve:
+        x = np.array(brute_terms(model, text))
+        p = 1 / (1 + math.exp(-float(x @ np.array(model.weights))))
+        slope += (rate / share if q else (1 - rate) / (1 - share)) * (q - p) * x
+    assert np.abs(slope).max() < 1e-6

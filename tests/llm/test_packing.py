@@ -1,8 +1,10 @@
+import math
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratapanel.llm import packing
@@ -82,3 +84,28 @@ def test_neighbours_on_the_curve_are_alike(spark):
     order = [r.doc_id % 4 for r in got]
     same = sum(a == b for a, b in zip(order, order[1:]))
     assert same > 100  # by chance it would be 50
+
+
+def test_order_and_cuts_against_brute_force(odd_docs, tokenizer):
+    signs, bits, length = packing.projection(), packing.TIE_BITS, 64
+    line = []
+    for r in odd_docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tie")).collect():
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        if ids:
+            seen = sorted(set(ids))
+            mean = sum(signs[i].astype(float) for i in seen) / len(seen) ** 0.5
+            cell = [min(int(1024 / (1 + math.exp(-1.7 * m))), 1023) for m in mean]
+        else:
+            cell = [512] * packing.DIMS
+        curve = int(packing.hilbert(np.array([cell]))[0]) << bits | r.tie % 2**64 >> 64 - bits
+        line.append((curve, r.doc_id is not None, r.doc_id or 0, len(ids) + 1, ids + [packing.END_ID]))
+    want, at = [], 0
+    for _, known, doc, total, ids in sorted(line):
+        start = 0
+        while start < total:
+            n = min(length - at % length, total - start)
+            piece = np.array(ids[start : start + n], dtype="<u4").tobytes()
+            want.append((doc if known else None, start, n, zlib.crc32(piece), total, at // length, at % length))
+            start, at = start + n, at + n
+    got = packing.pack(odd_docs, PATH, length=length).drop("ids").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
