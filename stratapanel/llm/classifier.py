@@ -158,5 +158,9 @@ def score_texts(model: CompressionModel) -> Callable[[list[bytes]], list[np.ndar
 def with_score(
     docs: DataFrame, model: CompressionModel, text: str = "text", out: str = "score", keep: Sequence[str] | None = None
 ) -> DataFrame:
-    """Add the score of every whole text. The model travels to the tasks with the function."""
+    """Add the score of every whole text. The model travels to the tasks with the function.
+
+    Only the text is looked at: rows with a null doc_id and repeated rows have scores like any other, a null text that
+    of an empty one. An empty table gives no rows.
+    """
     return add_by_text(docs, text, [(out, "double", pa.float64())], lambda: score_texts(model), keep)

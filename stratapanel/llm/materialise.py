@@ -176,6 +176,9 @@ def write_in_order(
     n_tokens (without padding), ids_crc32 (of the whole record) and pieces. A shard is written under a
     name of its task attempt and renamed when it is whole, so a task that runs again after a lost
     executor leaves the same file. The folder must be one that all executors share.
+    Texts of any length are cut into sequences, repeated rows and rows with a null doc_id are written each for itself;
+    an empty table gives no records and no shards. Which number a sequence has goes by task, so another split size of the
+    input gives another order under the same key.
     """
     cut = sequences(docs, tokenizer_path, length)
     counts = sorted((r["task"], r["n"]) for r in cut.groupBy("task").agg(F.count("*").alias("n")).collect())

@@ -181,7 +181,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE) -> DataFr
     """Cut all documents into pieces of full sequences, in curve order.
 
     A null text is an empty one; a document's ids end with ``END_ID``, so each has at least one
-    piece; repeated rows are packed each for itself. Returns for each piece: doc_id, start, length,
+    piece; repeated rows are packed each for itself, rows with a null doc_id too. An empty table
+    gives no pieces. Returns for each piece: doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset and ids (little-endian, 32 bits).
     """
     encoded = cut_lineage(encode_documents(docs, tokenizer_path), "encoded")

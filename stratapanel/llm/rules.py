@@ -115,7 +115,8 @@ def judge(measured: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
 
     A document that fails a base rule goes. On a trusted host all others stay; on a distrusted host
     only those stay that fail no rule at all. The host table is broadcast only if Spark finds its
-    files small; else the join is a shuffle whose hot hosts AQE splits.
+    files small; else the join is a shuffle whose hot hosts AQE splits. Repeated rows count and are judged each for itself;
+    an empty table gives no rows.
     """
     verdicts = host_verdicts(measured, host, limit).select("host", "distrusted")
     rules = failures()

@@ -89,7 +89,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
 
     Size is the text's UTF-8 bytes (null: none) plus 16. Returns doc_id, size, text_crc32, law,
     shard, slot (gapless from 0 in each shard) and grown_shard (null: this law has none). Repeated rows
-    are placed each for itself.
+    are placed each for itself, rows with a null doc_id too. An empty table gives no rows.
     """
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select("doc_id", F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("text_hash"), F.octet_length(data).alias("n_bytes"))

@@ -58,3 +58,37 @@ def test_a_second_run_of_a_task_leaves_the_same_files(odd_docs, tmp_path):
     df.count()
     assert (materialise.read_from(root, 0, n, 64, 20) == once).all()
     assert not [p for p in (tmp_path / "again").iterdir() if p.name.startswith(".")]
+
+
+def brute_slot(index, size, key):
+    """One number at a time through the network, walking on until it is back in range."""
+    def mix(x, k):
+        x = ((x ^ k) * 0xFF51AFD7ED558CCD) % 2**64
+        x = ((x ^ x >> 33) * 0xC4CEB9FE1A85EC53) % 2**64
+        return x ^ x >> 33
+
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    while True:
+        left, right = index >> half, index % 2**half
+        for r in range(materialise.ROUNDS):
+            left, right = right, left ^ mix(right, mix(r + 1, key)) % 2**half
+        index = left << half | right
+        if index < size:
+            return index
+
+
+def test_slots_against_brute_force(odd_docs, tmp_path):
+    for size in (1, 5, 1000):
+        assert materialise.feistel(np.arange(size), size, 9).tolist() == [brute_slot(i, size, 9) for i in range(size)]
+    docs = odd_docs.select("doc_id", "text").coalesce(1).sortWithinPartitions("doc_id", "text")  # one task, one order
+    df, _ = materialise.write_in_order(docs, PATH, 5, length=32, per_shard=50, root=f"file://{tmp_path}/slots")
+    tokenizer = Tokenizer.from_file(PATH)
+    stream = []
+    for r in docs.collect():
+        stream += tokenizer.encode(r.text or "", add_special_tokens=False).ids + [materialise.END_ID]
+    cut = [stream[i : i + 32] for i in range(0, len(stream), 32)]
+    want = []
+    for i, ids in enumerate(cut):
+        padded = np.array(ids + [materialise.END_ID] * (32 - len(ids)), dtype="<u2").tobytes()
+        want.append((brute_slot(i, len(cut), 5), len(ids), zlib.crc32(padded)))
+    assert sorted((r.slot, r.n_tokens, r.ids_crc32) for r in df.collect()) == sorted(want)
