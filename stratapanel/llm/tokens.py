@@ -10,9 +10,11 @@ from collections.abc import Callable, Iterable
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces and runs that a worker process remembers (about 150 bytes each) before the older half goes.
-PIECES, RUNS = 600_000, 250_000
+PIECES, RUNS = 300_000, 150_000
 #: Hash values, a power of two, of which a memory notes whether they came up.
 SEEN = 1 << 22
 #: Visible characters below U+0250 but one: composed, with a single lower case, no blanks among them.
@@ -22,6 +24,7 @@ _PLAIN = re.compile(r"[!-~\u00A1-\u012F\u0131-\u024F\n]+")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+|\n")
 #: Between the ids of two pieces. No id has this upper byte, so it is not found inside or across ids.
 _BETWEEN = b"\xff\xff"
+_PACK = [struct.Struct(f"<{n}H").pack for n in range(16)]
 
 
 class Memory:
@@ -38,22 +41,25 @@ class Memory:
         self.older: dict[Any, bytes] = {}
         self.seen = np.zeros(SEEN, dtype=bool)
 
-    def resolve(self, keys: set, compute: Callable[[list], Iterable[bytes]]) -> dict[Any, bytes]:
-        """The values of these keys, computed where they are not kept."""
-        found = dict(zip(keys, map(self.known.get, keys), strict=True))
-        missing = [k for k, v in found.items() if v is None]
-        again = dict(zip(missing, map(self.older.get, missing), strict=True)) if self.older else {}
-        new = [k for k, v in again.items() if v is None] if again else missing
-        for k in new if again else ():
-            del again[k]
-        made = dict(zip(new, compute(new), strict=True)) if new else {}
-        found |= again
-        found |= made
-        if new:
+    def resolve(self, keys: list, compute: Callable[[list], Iterable[bytes]]) -> list[bytes]:
+        """The values of these distinct keys, in their order, computed where they are not kept."""
+        found = list(map(self.known.get, keys))
+        missing = [i for i, v in enumerate(found) if v is None]
+        again = {}
+        if self.older and missing:
+            for i in missing:
+                found[i] = self.older.get(keys[i])
+            again = {keys[i]: found[i] for i in missing if found[i] is not None}
+            missing = [i for i in missing if found[i] is None]
+        if missing:
+            new = [keys[i] for i in missing]
+            made = list(compute(new))
+            for i, value in zip(missing, made, strict=True):
+                found[i] = value
             bits = np.fromiter(map(hash, new), dtype=np.int64, count=len(new)) & (SEEN - 1)
-            before = self.seen[bits].tolist()
+            before = np.nonzero(self.seen[bits])[0].tolist()
             self.seen[bits] = True
-            again |= {k: made[k] for k, b in zip(new, before, strict=True) if b}
+            again |= {new[k]: made[k] for k in before}
         if len(self.known) + len(again) > self.half:
             self.older, self.known = self.known, {}
             self.seen[:] = False
@@ -85,7 +91,7 @@ class WordEncoder:
     def encode_run(self, run: str) -> bytes:
         """Ids of one run, in the byte alphabet."""
         ids = [t.id for t in self.model.tokenize(run)]
-        return struct.pack(f"<{len(ids)}H", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}H", *ids)
 
     def encode_odd(self, piece: str) -> bytes:
         """Ids of a piece as the tokenizer's own rules give them."""
@@ -102,7 +108,9 @@ class WordEncoder:
         if not _PLAIN.fullmatch(text) or "<|" in text:
             return self._encode_mixed(text.split("\n"))
         runs = _SPLIT.findall(text.lower())
-        return b"".join(map(self.runs.resolve(set(runs), self._encode_runs).__getitem__, runs)).split(_BETWEEN)
+        distinct = list(set(runs))
+        known = dict(zip(distinct, self.runs.resolve(distinct, self._encode_runs), strict=True))
+        return b"".join(map(known.__getitem__, runs)).split(_BETWEEN)
 
     def _encode_mixed(self, pieces: list[str]) -> list[bytes]:
         plain = [p for p in pieces if _PLAIN.fullmatch(p) and "<|" not in p]
@@ -110,10 +118,25 @@ class WordEncoder:
         return [next(made) if _PLAIN.fullmatch(p) and "<|" not in p else self.encode_odd(p) for p in pieces]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, little-endian, 16 bits each."""
-        cut = [t.split() for t in texts]
-        look_up = self.pieces.resolve(set().union(*cut), self._encode_pieces).__getitem__
-        return [b"".join(map(look_up, pieces)) for pieces in cut]
+        """The ids of each text, little-endian, 16 bits each.
+
+        Arrow cuts the texts and numbers their distinct pieces, so only those are looked up one by one; the ids
+        of all places are then copied from the ids of the distinct pieces by number.
+        """
+        if not texts:
+            return []
+        whole = pa.array(texts, type=pa.large_binary()).view(pa.large_string())
+        cut = pc.ascii_split_whitespace(whole)
+        distinct = cut.flatten().dictionary_encode()
+        pieces = distinct.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        made = pa.array(self.pieces.resolve(pieces, self._encode_pieces), type=pa.large_binary())
+        placed = made.take(distinct.indices)
+        stream = placed.buffers()[2]
+        if stream is None:
+            return [b""] * len(texts)
+        ends = np.frombuffer(placed.buffers()[1], dtype=np.int64)
+        stream, bounds = memoryview(stream), ends[cut.offsets.to_numpy()].tolist()
+        return [bytes(stream[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
 @functools.lru_cache(maxsize=2)

@@ -109,3 +109,22 @@ def test_order_and_cuts_against_brute_force(odd_docs, tokenizer):
             start, at = start + n, at + n
     got = packing.pack(odd_docs, PATH, length=length).drop("ids").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_encoder_numbers_distinct_pieces():
+    """Ids of odd blanks and repeats are the tokenizer's; each distinct piece is computed once, in the order asked."""
+    from stratapanel.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["", " ", "a", " a  b\x0b\x0cc\t\r\n", "\x1c x\x1d y", "café  é don't <|endoftext|> 12½", "\n\n", "word " * 3000]
+    whole = tokens.tokenizer_of(path)
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+    encoder = tokens.WordEncoder(path)
+    for given in (slice(None), slice(None, None, -1), slice(0, 1), slice(0, 0)):
+        assert encoder.encode([t.encode() for t in texts[given]]) == want[given]
+    asked = []
+    memory = tokens.Memory(4)
+    for keys in (["b", "a"], ["a", "c", "b"], ["c", "a", "d"], ["a", "d", "b"]):
+        assert memory.resolve(keys, lambda new: [asked.append(k) or k.encode() for k in new]) == [k.encode() for k in keys]
+    assert asked[:2] == ["b", "a"]
+    assert tokens.PIECES + tokens.RUNS <= 450_000  # at about 150 bytes, six workers keep 0.4 GB
