@@ -488,3 +488,30 @@ def test_trades_against_a_walk_through_the_days(spark):
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
     assert Q.trade_table(weights.filter("false"), prices).collect() == []
+
+
+def test_fits_overlap_longest_first():
+    import threading
+
+    from stratapanel.operators import models as M
+
+    started, every = [], threading.Barrier(M.FITS_AT_ONCE, timeout=20)
+
+    def job(key):
+        def run():
+            started.append(key)
+            every.wait()  # passes only if all of them are under way together
+            return key
+
+        return run
+
+    keys = [("train", m, k) for k in range(4) for m in ("forest", "boosted", "ridge")]
+    assert len(keys) == M.FITS_AT_ONCE
+    assert M._all_fits({k: job(k) for k in keys}, M.FITS_AT_ONCE) == {k: k for k in keys}
+    assert {k[1] for k in started[:4]} == {"boosted"}
+
+
+def test_forests_keep_row_places(spark):
+    from stratapanel.operators import models as M
+
+    assert M.candidate_models(10)["forest"].getCacheNodeIds()
