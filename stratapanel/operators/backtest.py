@@ -50,40 +50,54 @@ def weight_ffill_normalise(weights: DataFrame, days: DataFrame, keep_cash: bool
         "strategy", F.explode(names.agg(F.collect_set("strategy")).scalar())
     )
     d = J.asof_join(grid, starts, ["strategy"], "date", "_from", ["_from"]).filter(F.col("_from").isNotNull())
-    held = d.join(w.withColumnRenamed("date", "_from"), ["strategy", "_from"]).select("strategy", "date", "tic", "weight")
-    if keep_cash:
-        return held
-    t = held.groupBy(*KEYS).agg(F.sum("weight").alias("_t"))
-    return held.join(t, list(KEYS)).withColumn(
-        "weight", F.when(F.col("_t") > 0, F.col("weight") / F.col("_t")).otherwise(F.col("weight"))
-    ).drop("_t")
+    # Weights are rescaled once for each of their dates and sent to where their days are listed: rows are only
+    # multiplied after the last exchange.
+    if not keep_cash:
+        t = w.groupBy(*KEYS).agg(F.sum("weight").alias("_t"))
+        w = w.join(t, list(KEYS)).withColumn(
+            "weight", F.when(F.col("_t") > 0, F.col("weight") / F.col("_t")).otherwise(F.col("weight"))
+        )
+    held = d.groupBy("strategy", "_from").agg(F.collect_list("date").alias("_days"))
+    w = w.select("strategy", F.col("date").alias("_from"), "tic", "weight")
+    return w.join(held, ["strategy", "_from"]).select("strategy", F.explode("_days").alias("date"), "tic", "weight")
 
 
 def trade_table(daily_weights: DataFrame, prices: DataFrame) -> DataFrame:
     """Trades of a daily rebalanced portfolio: strategy, date, tic, gross, change.
 
     ``change`` is the weight bought or sold after the day's drift; ``gross`` is the day's return of
-    the portfolio held since the day before. The weights are read once; a day's rows of one strategy meet in
-    one window, so memory is that of its names.
+    the portfolio held since the day before. Weights and prices are read once and meet in one exchange by
+    ticker, which has a row for each day and strategy at most; their moves are written and read for both columns.
     """
-    days = C.calendar_ordinals(prices.select("date").distinct())
+    days = F.broadcast(C.calendar_ordinals(prices.select("date").distinct()))  # a row for each day
     last = days.agg(F.max("ord")).scalar()
-    ret = prices.select("tic", "date", R.change(F.col("close"), R.by("tic")).alias("r")).join(days, "date")
-    tomorrow = ret.filter(F.col("r").isNotNull()).select("tic", (F.col("ord") - 1).alias("ord"), "r")
-    w = daily_weights.join(days, "date").select("strategy", "ord", "tic", "weight").join(tomorrow, ["tic", "ord"], "left")
-
-    def role(ahead: int, weight: Column, before: Column, r: Column) -> Column:
-        return F.struct((F.col("ord") + ahead).alias("ord"), weight.alias("weight"), before.alias("_w0"), r.alias("r"))
-
-    # a weight is what its day wants and what the next day starts with; one exchange serves the sum and the window
-    none, held = F.lit(0.0), F.col("weight").cast("double")
-    roles = F.array(role(0, held, none, none), role(1, none, held, F.coalesce("r", none)))
-    d = w.select("strategy", "tic", F.inline(roles)).filter(F.col("ord") <= last).repartition("strategy", "ord")
-    d = d.groupBy("strategy", "ord", "tic").agg(
-        F.sum("weight").alias("weight"), F.sum("_w0").alias("_w0"), F.max_by("r", F.abs("_w0")).alias("r")
+    w = daily_weights.join(days, "date").select(
+        "strategy", "tic", "ord", F.col("weight").cast("double").alias("weight"), F.lit(None).cast("double").alias("close"),
+        F.lit(False).alias("_price"),
     )
-    gross = F.sum(F.col("_w0") * F.col("r")).over(Window.partitionBy("strategy", "ord"))
-    d = d.withColumn("gross", gross)
+    p = prices.join(days, "date").select(
+        F.lit(None).cast(w.schema["strategy"].dataType).alias("strategy"), "tic", "ord", F.lit(None).cast("double").alias("weight"), "close",
+        F.lit(True).alias("_price"),
+    )
+    none, held = F.lit(0.0), F.col("weight")
+
+    def role(ahead: int, weight: Column, before: Column) -> Column:
+        return F.struct((F.col("ord") + ahead).alias("ord"), weight.alias("weight"), before.alias("_w0"), "close")
+
+    # a weight is what its day wants and what the next day starts with
+    roles = F.when(F.col("_price"), F.array(role(0, none, none))).otherwise(F.array(role(0, held, none), role(1, none, held)))
+    d = w.unionByName(p).repartition("tic").select("strategy", "tic", "_price", F.inline(roles))
+    d = d.groupBy("strategy", "ord", "tic", "_price").agg(
+        F.sum("weight").alias("weight"), F.sum("_w0").alias("_w0"), F.max("close").alias("close")
+    )
+    move = F.when(F.col("_price"), R.change(F.col("close"), Window.partitionBy("tic", "_price").orderBy("ord")))
+    d = d.withColumn("r", move).withColumn("r", F.max("r").over(Window.partitionBy("tic", "ord")))
+    # a name that was not held yesterday has not moved the portfolio
+    moved = F.when((F.col("_w0") != 0) & F.col("tic").isNotNull(), F.col("r"))
+    d = d.filter(~F.col("_price") & (F.col("ord") <= last)).withColumn("r", F.coalesce(moved, none)).drop("_price", "close")
+    d = cut_lineage(d, "moves")
+    gross = d.groupBy("strategy", "ord").agg(F.sum(F.col("_w0") * F.col("r")).alias("gross"))
+    d = d.join(F.broadcast(gross), ["strategy", "ord"])
     # The first day buys from cash: nothing has drifted.
     drift = F.col("_w0") * (1 + F.col("r")) / (1 + F.col("gross"))
     return d.withColumn("change", F.col("weight") - drift).join(days, "ord").select(
@@ -133,15 +147,15 @@ def priced_trades(daily_weights: DataFrame, prices: DataFrame, liquidity: DataFr
     ``prices(tic, date, close)``; ``liquidity(tic, date, volume, volatility)``. Sizes follow the value path before
     costs. A trade on a day without a price row uses the last known one.
     """
-    # Read twice below, and behind several joins: write it once.
-    every = cut_lineage(trade_table(daily_weights, prices), "trades")
+    every = trade_table(daily_weights, prices)
     t = every.filter(F.abs("change") > 1e-12)
     path = every.groupBy(*KEYS).agg(F.max("gross").alias("_g"))
     w = R.upto(R.by("strategy"))
     path = path.select(*KEYS, (capital * F.product(1 + F.col("_g")).over(w)).alias("_v"))
     m = prices.select("tic", "date", "close").join(liquidity, ["tic", "date"]).withColumnRenamed("date", "_pd")
-    d = J.asof_join(t, m, ["tic"], "date", "_pd", ["close", "volume", "volatility"], bucket="quarter")
-    d = d.join(path, list(KEYS)).withColumn("traded", F.abs("change") * F.col("_v"))
+    # a ticker has a row for each day and strategy at most, so its window needs no buckets
+    d = J.asof_join(t, m, ["tic"], "date", "_pd", ["close", "volume", "volatility"])
+    d = d.join(F.broadcast(path), list(KEYS)).withColumn("traded", F.abs("change") * F.col("_v"))
     return d.select(
         *KEYS, "tic", "traded", "volatility", (F.col("traded") / F.col("close") / F.col("volume")).alias("participation")
     )
