@@ -515,3 +515,73 @@ def test_forests_keep_row_places(spark):
     from stratapanel.operators import models as M
 
     assert M.candidate_models(10)["forest"].getCacheNodeIds()
+
+
+def test_universe_of_some_days(spark):
+    calendar = days(spark, "2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04", "2024-01-05")
+    chosen = spark.createDataFrame([(d("2024-01-01"), "a"), (d("2024-01-03"), "b")], "trade_date date, tic string")
+    some = days(spark, "2024-01-03", "2024-01-05", "2024-02-01")
+    got = {(r.date, r.tic) for r in J.daily_universe_expand(chosen, calendar, only=some).collect()}
+    assert got == {(d("2024-01-03"), "a"), (d("2024-01-05"), "b")}
+
+
+def test_signals_are_expanded_to_the_days_that_use_them(spark, monkeypatch):
+    from stratapanel.plans import panel as P
+    from stratapanel.plans import portfolio_queries as Z
+
+    asked = []
+
+    def expand(signals, calendar, freq, universe=None, before=J.signal_expand_to_daily):
+        asked.append({r.date for r in calendar.select("date").collect()})
+        return before(signals, calendar, freq, universe)
+
+    monkeypatch.setattr(J, "signal_expand_to_daily", expand)
+    sf = "/root/testdata/sf0.001"
+    Z.monthly_target_weights(spark, sf)
+    Z.step_weights(spark, sf)
+    every = {r.date for r in P.calendar(spark, sf).collect()}
+    assert asked[0] == {r.date for r in Z._month_events(P.calendar(spark, sf)).filter("kind = 'signal'").collect()}
+    assert asked[0] < every and asked[1] < every
+
+
+def test_held_weights_are_multiplied_after_the_last_exchange(spark):
+    rows = [("s", d("2024-01-01"), t, x) for t, x in (("a", 1.0), ("b", 3.0))] + [("s", d("2024-01-03"), "a", -2.0)]
+    weights = spark.createDataFrame(rows, "strategy string, date date, tic string, weight double")
+    held = Q.weight_ffill_normalise(weights, days(spark, "2024-01-01", "2024-01-02", "2024-01-04"))
+    got = {(r.date.day, r.tic): r.weight for r in held.collect()}
+    assert got == {(1, "a"): 0.25, (1, "b"): 0.75, (2, "a"): 0.25, (2, "b"): 0.75, (4, "a"): -2.0}
+    plan = held._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("explode(_days") < plan.index("Join")
+
+
+def test_trades_meet_in_one_exchange_by_ticker(spark, monkeypatch):
+    plans = []
+
+    def cut(df, name, before=Q.cut_lineage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return before(df, name)
+
+    monkeypatch.setattr(Q, "cut_lineage", cut)
+    weights = spark.createDataFrame([("s", d("2024-01-01"), "a", 1.0)], "strategy string, date date, tic string, weight double")
+    prices = spark.createDataFrame([("a", d("2024-01-01"), 2.0), ("a", d("2024-01-02"), 3.0)], "tic string, date date, close double")
+    got = {(r.date.day, r.gross, r.change) for r in Q.trade_table(weights, prices).collect()}
+    assert got == {(1, 0.0, 1.0), (2, 0.5, -1.0)}
+    assert plans[0].count("Exchange hashpartitioning(tic") == 1 and "hashpartitioning(strategy" not in plans[0]
+
+
+def test_nearest_price_without_a_row_for_each_try(spark):
+    rng = random.Random(3)
+    start = d("2024-01-01")
+    close = {(t, k): rng.random() for t in "ab" for k in range(0, 90) if rng.random() < 0.15}
+    prices = spark.createDataFrame([(t, start + dt.timedelta(k), x) for (t, k), x in close.items()], "tic string, date date, close double")
+    asked = [(t, k) for t in "abc" for k in range(-8, 98)] + [("a", 4), (None, 3), ("a", None)]
+    rows = spark.createDataFrame([(t, None if k is None else start + dt.timedelta(k)) for t, k in asked], "tic string, on date")
+    found = J.price_nearest_bounded(rows, prices, "on")
+
+    def near(t, k):
+        tries = [] if t is None or k is None else [0, *(s * i for i in range(1, 6) for s in (1, -1))]
+        return next((close[t, k + o] for o in tries if (t, k + o) in close), None)
+
+    want = sorted(((t, k, near(t, k)) for t, k in asked), key=repr)
+    assert sorted(((r.tic, r.on and (r.on - start).days, r.price) for r in found.collect()), key=repr) == want
+    assert "explode" not in found._jdf.queryExecution().sparkPlan().toString()
