@@ -281,12 +281,16 @@ def outliers_and_mad_winsorize(
     ).drop("_mad", "_z", "_med", "_row")
 
 
-def rolling_sharpe(ret: Column, n: int = 252, key: str = "tic", order: str = "date") -> Column:
-    """Annualised mean over deviation of the last n returns; no deviation gives 0."""
-    w = R.by(key, order=order)
-    std = R.rolling_std(ret, w, n)
-    mean = R.rolling_mean(ret, w, n)
-    return F.when(std > 0, mean / std * F.sqrt(F.lit(252.0))).when(std.isNotNull(), 0.0)
+def rolling_sharpe(
+    df: DataFrame, value: str, name: str, n: int = 252, key: str = "tic", order: str = "date"
+) -> DataFrame:
+    """Add the annualised mean over deviation of the last n returns; no deviation gives 0, fewer than n null."""
+    d = R.with_last_moments(df, value, "_moments", n, key, order)
+    m = F.col("_moments")
+    std = F.when(m["low"] == m["high"], F.when(F.abs(m["low"]) < float("inf"), 0.0).otherwise(float("nan")))
+    std = std.otherwise(F.sqrt(m["squares"] / (m["n"] - 1)))
+    ratio = F.when(std > 0, m["total"] / m["n"] / std * F.sqrt(F.lit(252.0))).otherwise(0.0)
+    return d.withColumn(name, F.when(m["n"] == n, ratio)).drop("_moments")
 
 
 def drawdown(value: Column, key: str = "tic", order: str = "date") -> Column:

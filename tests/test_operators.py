@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 import statistics
 
 import numpy as np
@@ -585,3 +586,25 @@ def test_nearest_price_without_a_row_for_each_try(spark):
     want = sorted(((t, k, near(t, k)) for t, k in asked), key=repr)
     assert sorted(((r.tic, r.on and (r.on - start).days, r.price) for r in found.collect()), key=repr) == want
     assert "explode" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_rolling_sharpe_of_long_frames(spark):
+    rng = random.Random(5)
+    rets = [None] + [rng.gauss(0, 0.01) for _ in range(30)] + [0.1] * 9 + [1e9] + [rng.gauss(0, 0.01) for _ in range(12)]
+    rets += [None] + [0.3, float("nan")] + [rng.gauss(0, 0.01) for _ in range(8)]
+    rows = [(t, dt.date(2020, 1, 1) + dt.timedelta(days=i), x) for t in ("A", None) for i, x in enumerate(rets)]
+    d = W.rolling_sharpe(spark.createDataFrame(rows, "tic string, date date, ret double"), "ret", "sharpe", n=7)
+    for tic in ("A", None):
+        got = [r["sharpe"] for r in d.filter(F.col("tic").eqNullSafe(F.lit(tic))).orderBy("date").collect()]
+        for i, x in enumerate(got):
+            frame = rets[max(i - 6, 0) : i + 1]
+            if len(frame) < 7 or None in frame:
+                assert x is None
+            elif len(set(frame)) == 1:
+                assert x == 0.0
+            elif any(v != v for v in frame):
+                assert x != x
+            else:
+                assert x == pytest.approx(statistics.mean(frame) / statistics.stdev(frame) * math.sqrt(252), rel=1e-9)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"RowFrame, -\d+, currentrow", plan)  # no row looks at n others
