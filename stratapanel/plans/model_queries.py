@@ -305,7 +305,8 @@ def signal_per_ticker(spark, sf):
 @query("window_function_udf", f"""
 SELECT tic, date, {qcut("CASE WHEN count(ret) OVER w = 20 THEN max(ret) OVER w - min(ret) OVER w END")} AS spread FROM day_returns WINDOW w AS (PARTITION BY tic ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def window_function_udf(spark, sf):
-    d = U.window_function(day_returns(spark, sf).select("tic", "date", "ret"), "ret", 20, lambda s: s.max() - s.min(), "spread")
+    r = day_returns(spark, sf).select("tic", "date", "ret")
+    d = U.window_function(r, "ret", 20, lambda w: w.max() - w.min(), "spread", many=True)
     return d.select("tic", "date", cut(F.col("spread")).alias("spread"))
 
 

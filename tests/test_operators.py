@@ -18,6 +18,7 @@ from stratapanel.operators import features as W
 from stratapanel.operators import joins as J
 from stratapanel.operators import portfolio as B
 from stratapanel.operators import ranking as X
+from stratapanel.operators import user as U
 
 
 def d(text):
@@ -608,3 +609,18 @@ def test_rolling_sharpe_of_long_frames(spark):
                 assert x == pytest.approx(statistics.mean(frame) / statistics.stdev(frame) * math.sqrt(252), rel=1e-9)
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"RowFrame, -\d+, currentrow", plan)  # no row looks at n others
+
+
+def test_window_function_per_ticker(spark):
+    nan = float("nan")
+    rows = [("A", dt.date(2020, 1, 1 + i), x, i) for i, x in enumerate([1.0, 4.0, None, 2.0, 7.0, nan, 3.0])]
+    rows += [("B", dt.date(2020, 1, 1), 5.0, None), (None, dt.date(2020, 1, 2), 1.0, 2**60), (None, dt.date(2020, 1, 3), 9.0, 1)]
+    df = spark.createDataFrame(rows, "tic string, date date, x double, place long").repartition(3)
+    want = {
+        ("A", 1): (None, 0), ("A", 2): (3.0, 1), ("A", 3): (None, 2), ("A", 4): (None, 3), ("A", 5): (5.0, 4), ("A", 6): (0.0, 5),
+        ("A", 7): (0.0, 6), ("B", 1): (None, None), (None, 2): (None, 2**60), (None, 3): (8.0, 1),
+    }
+    for many in (False, True):
+        d = U.window_function(df, "x", 2, lambda w: w.max() - w.min(), "spread", many=many)
+        assert {(r["tic"], r["date"].day): (r["spread"], r["place"]) for r in d.collect()} == want
+        assert d.columns == ["tic", "date", "x", "place", "spread"]
