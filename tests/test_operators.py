@@ -249,6 +249,31 @@ def test_stop_stream_over_batches_equals_batch(spark):
     assert told[-1]["stateOperators"][0]["numRowsTotal"] == 2  # the closed position left no state
 
 
+def test_positions_of_a_ticker_share_a_state(spark):
+    from stratapanel.sources import scratch
+    from stratapanel.streaming import jobs
+
+    rnd = random.Random(3)
+    rows = []
+    for tic, start, days in (("A", 0, 90), ("A", 10, 15), ("A", 60, 60), (None, 0, 120)):  # the second is closed early
+        first, p = d("2020-01-01") + dt.timedelta(days=start), 100.0
+        for k in range(days):
+            p *= 1 + rnd.gauss(0, 0.03)
+            rows.append((tic, first, 100.0, first + dt.timedelta(days=k), p))
+    schema = "tic string, entry_date date, entry_price double, date date, close double"
+    rows.sort(key=lambda r: r[3])
+    edges = [0, 60, 140, 200, len(rows)]
+    parts = [spark.createDataFrame(rows[a:b], schema) for a, b in zip(edges, edges[1:])]
+    out, check = scratch.new_path(spark, "out"), scratch.new_path(spark, "check")
+    told = jobs.run_parts(parts, "share-in", lambda s: jobs.start(jobs.stop_loss_stream(s, idle_days=30), out, check))
+    last = max(r[3] for r in rows) - dt.timedelta(days=7)
+    key = lambda r: (str(r["tic"]), r["entry_date"], r["date"], r["kind"])
+    got = sorted(key(r) for r in spark.read.parquet(out).collect())
+    assert got == sorted(key(r) for r in B.stop_loss(spark.createDataFrame(rows, schema)).collect() if r["date"] < last) and got
+    assert len({r[1] for r in got if r[0] == "A"}) > 1
+    assert told[0]["stateOperators"][0]["numRowsTotal"] == 2  # one for each ticker
+
+
 def test_only_ranges_that_are_not_logged_are_taken(spark):
     from stratapanel.sources import scratch
     from stratapanel.streaming import jobs
