@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratapanel.sources.scratch import few_listings
+
 CSV_SCHEMA = "date date, open double, high double, low double, close double, volume double"
 
 # Provider column names and the names used here.
@@ -39,14 +41,10 @@ def price_csv_scan(
     paths = [f"{folder}/{s}_daily.csv" for s in symbols] if symbols else [f"{folder}/*_daily.csv"]
     if symbols and not required:
         paths = [f"{folder}/{{{','.join(symbols)}}}_daily.csv"]
-    raw = (
-        spark.read.schema(CSV_SCHEMA)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("ignoreCorruptFiles", not required)
-        .csv(paths)
-        .withColumn("tic", F.regexp_extract("_metadata.file_path", r"([^/=]+)_daily\.csv", 1))
-    )
+    reader = spark.read.schema(CSV_SCHEMA).option("header", True).option("enforceSchema", False)
+    with few_listings(spark):
+        raw = reader.option("ignoreCorruptFiles", not required).csv(paths)
+    raw = raw.withColumn("tic", F.regexp_extract("_metadata.file_path", r"([^/=]+)_daily\.csv", 1))
     if start is not None:
         raw = raw.filter(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:

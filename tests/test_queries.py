@@ -53,3 +53,11 @@ def test_plans_stay_small(spark, name, shuffles):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bExchange ", plan)) < shuffles
     assert plan.count("lineitem.parquet") <= 2
+
+
+def test_csv_files_are_written_by_many_tasks(spark):
+    listings = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listings, None)
+    files = entry.queries()["price_csv_scan"](spark, SF).inputFiles()
+    assert len({re.search(r"part-(\d+)", f).group(1) for f in files}) > 1  # joined by bytes they were one task's
+    assert spark.conf.get(listings, None) == before
