@@ -649,3 +649,73 @@ def test_window_function_per_ticker(spark):
         d = U.window_function(df, "x", 2, lambda w: w.max() - w.min(), "spread", many=many)
         assert {(r["tic"], r["date"].day): (r["spread"], r["place"]) for r in d.collect()} == want
         assert d.columns == ["tic", "date", "x", "place", "spread"]
+
+
+def test_boosted_fits_share_their_jobs_and_are_those_of_mllib(spark, tmp_path, monkeypatch):
+    from pyspark.ml import PipelineModel
+
+    from stratapanel.operators import boosting
+    from stratapanel.operators import models as M
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(400):
+        x, z = (float(v) for v in rng.normal(0, 1, 2))
+        rows.append((f"T{i:03}", d("2020-03-31"), x if i % 7 else None, z, float(i % 3), 1.0, x * z + i % 3 + float(rng.normal(0, 0.1))))
+    df = M.sized(spark.createDataFrame(rows, "tic string, datadate date, x double, z double, k double, same double, y_return double"))
+    features, rounds, depth = ["x", "z", "k", "same"], 12, 3
+    parts = [df, df.filter("tic < 'T250'"), df.filter("z > 0"), df.filter("tic < 'T025'")]
+    model = M.candidate_models(400, rounds=rounds, boosted_depth=depth)["boosted"]
+    own = [M.fit(p, features, model) for p in parts]
+
+    def last_job():
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+    group = boosting.Together()
+    found = [M.fit(p, features, group.member(model)) for p in parts]
+    before = last_job()
+    group.train()
+    assert last_job() - before <= rounds * depth + 20  # one fit of MLlib takes about as many
+    monkeypatch.setattr(boosting, "BLOCK", 60)  # and with several blocks of rows
+    more = M._all_fits({i: (p, features, model, None) for i, p in enumerate(parts)})
+    for i, p in enumerate(own):
+        found[i].write().overwrite().save(str(tmp_path / str(i)))
+        want = {r.tic: r.prediction for r in p.transform(df).collect()}
+        for got in (PipelineModel.load(str(tmp_path / str(i))), more[i]):
+            assert isinstance(got.stages[-1], boosting.BoostedModel)
+            assert all(abs(r.prediction - want[r.tic]) < 1e-9 for r in got.transform(df).collect())
+            assert np.allclose(got.stages[-1].featureImportances.toArray(), p.stages[-1].featureImportances.toArray())
+
+
+def test_cuts_have_equal_numbers_of_rows_between():
+    from stratapanel.operators.boosting import cuts_of
+
+    assert cuts_of(np.array([1.0, 1.0, 1.0]), 31) == []
+    assert cuts_of(np.array([3.0, 1.0, 2.0, 1.0]), 31) == [1.5, 2.5]
+    assert cuts_of(np.arange(100.0), 4) == [19.5, 39.5, 59.5, 79.5]
+
+
+def test_labels_that_are_no_numbers_are_refused(spark):
+    from stratapanel.operators import models as M
+
+    rows = [(f"T{i}", d("2020-03-31"), float(i), float("nan") if i == 5 else 1.0 * i) for i in range(30)]
+    df = spark.createDataFrame(rows, "tic string, datadate date, x double, y_return double")
+    model = M.candidate_models(30, rounds=2)["boosted"]
+    with pytest.raises(Exception, match="finite"):
+        M._all_fits({k: (df, ["x"], model, None) for k in (1, 2)})
+
+
+def test_works_of_several_steps_are_made_together(spark):
+    from stratapanel.operators import models as M
+
+    rows = [(f"T{i}", d("2020-03-31"), float(i), 2.0 * i) for i in range(30)]
+    df = spark.createDataFrame(rows, "tic string, datadate date, x double, y_return double").cache()
+    job = (df, ["x"], M.candidate_models(30)["ridge"], None)
+
+    def work(steps):
+        seen = 0
+        for _ in range(steps):
+            seen += len((yield {"a": job, "b": job}))
+        return seen
+
+    assert M._together([work(n) for n in (0, 1, 2)]) == [0, 2, 4]
