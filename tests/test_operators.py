@@ -677,7 +677,7 @@ def test_boosted_fits_share_their_jobs_and_are_those_of_mllib(spark, tmp_path, m
     group.train()
     assert last_job() - before <= rounds * depth + 20  # one fit of MLlib takes about as many
     monkeypatch.setattr(boosting, "BLOCK", 60)  # and with several blocks of rows
-    more = M._all_fits({i: (p, features, model, None) for i, p in enumerate(parts)})
+    more = M._fits_together({i: (p, features, model, None) for i, p in enumerate(parts)})
     for i, p in enumerate(own):
         found[i].write().overwrite().save(str(tmp_path / str(i)))
         want = {r.tic: r.prediction for r in p.transform(df).collect()}
@@ -702,7 +702,7 @@ def test_labels_that_are_no_numbers_are_refused(spark):
     df = spark.createDataFrame(rows, "tic string, datadate date, x double, y_return double")
     model = M.candidate_models(30, rounds=2)["boosted"]
     with pytest.raises(Exception, match="finite"):
-        M._all_fits({k: (df, ["x"], model, None) for k in (1, 2)})
+        M._fits_together({k: (df, ["x"], model, None) for k in (1, 2)})
 
 
 def test_works_of_several_steps_are_made_together(spark):
