@@ -719,3 +719,17 @@ def test_works_of_several_steps_are_made_together(spark):
         return seen
 
     assert M._together([work(n) for n in (0, 1, 2)]) == [0, 2, 4]
+
+
+def test_cuts_of_a_sample_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    from stratapanel.operators import boosting
+    from stratapanel.operators import models as M
+
+    rng = np.random.default_rng(14)
+    rows = [(f"T{i:03}", d("2020-03-31"), float(x), float(x * x + z)) for i, (x, z) in enumerate(rng.normal(0, 1, (300, 2)))]
+    df = spark.createDataFrame(rows, "tic string, datadate date, x double, y_return double").coalesce(1)
+    model = M.candidate_models(300, rounds=3)["boosted"]
+    monkeypatch.setattr(boosting, "SAMPLE", 60)
+    both = M._fits_together({i: (df.orderBy(o).coalesce(1), ["x"], model, None) for i, o in enumerate((F.asc("tic"), F.desc("tic")))})
+    a, b = ({r.tic: r.prediction for r in both[i].transform(df).collect()} for i in (0, 1))
+    assert all(abs(a[t] - b[t]) < 1e-9 for t in a)
